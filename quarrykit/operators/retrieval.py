@@ -15,6 +15,7 @@ from quarrykit.config import ENTRY_TERMS, SearchOptions
 from quarrykit.functions import paths as P
 from quarrykit.functions import text as T
 from quarrykit.operators import index as I
+from quarrykit.session import checkpointed
 
 
 @dataclass
@@ -73,7 +74,7 @@ def symbol_lane(q: DataFrame, c: Corpus, df: DataFrame, stats: DataFrame) -> Dat
     exact = q.select("repo", "question_id", F.explode("identifiers").alias("identifier")).join(named, ["repo", "identifier"]).select(
         "question_id", "symbol_id", F.lit(1.5).alias("score")
     )
-    parts = c.symbols.select("repo", "symbol_id", F.array_distinct(F.filter(F.transform(T.split_identifier(F.col("name")), T.stem), lambda t: F.length(t) >= 2)).alias("parts"))
+    parts = c.symbols.select("repo", "symbol_id", F.array_distinct(F.filter(F.transform(T.split_identifier(F.col("name")), lambda t: T.stem(t)), lambda t: F.length(t) >= 2)).alias("parts"))
     terms = parts.select("repo", "symbol_id", F.explode("parts").alias("term"))
     weighted = terms.join(df, ["repo", "term"], "left").join(stats, "repo").select(
         "repo", "symbol_id", "term", I.idf(F.col("blocks"), F.coalesce("df", F.lit(0))).alias("w")
@@ -128,7 +129,7 @@ def search(questions: DataFrame, c: Corpus, o: SearchOptions = SearchOptions())
     q = analysed(questions, o)
     terms = q.select("repo", "question_id", F.explode("terms").alias("term"))
     lex_terms = bm25(terms, c.postings, c.chunks, ["repo"], "chunk_id", "question_id", o)
-    lexical = lex_terms.groupBy("question_id", "chunk_id").agg(F.round(F.sum("weight"), 12).alias("bm25"))
+    lexical = checkpointed(lex_terms.groupBy("question_id", "chunk_id").agg(F.round(F.sum("weight"), 12).alias("bm25")))
     df = I.document_frequencies(c.postings, ["repo"])
     stats = I.corpus_stats(c.chunks, I.lengths(c.postings, ["repo", "chunk_id"]), ["repo"], "chunk_id")
     lanes = [lexical.select("question_id", "chunk_id", "bm25")]
@@ -155,7 +156,7 @@ def search(questions: DataFrame, c: Corpus, o: SearchOptions = SearchOptions())
     ) * weight
     ranked = cand.withColumn("score", F.round(fused, 12))
     if o.import_expansion:
-        ranked = expanded(ranked, c.edges, o)
+        ranked = expanded(checkpointed(ranked), c.edges, o)
     return capped_top_k(ranked, "question_id", "file_id", "chunk_id", o.per_file, o.k).select(
         "question_id", "rank", "chunk_id", "file_id", F.round("score", 6).alias("score"), F.round("bm25", 6).alias("bm25"), F.round("symbol", 6).alias("symbol"),
         F.round("path", 6).alias("path"), F.round("entry", 6).alias("entry"), "names",

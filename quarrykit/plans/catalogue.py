@@ -1,6 +1,29 @@
-def queries():
-    return {}
+"""All queries of the core and, where it can be said, the SQL that checks them."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _parts():
+    from quarrykit.plans import evaluation, files, graph, requests, retrieval, text
+
+    return files, text, retrieval, graph, evaluation, requests
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {}
+    for p in _parts():
+        out |= p.QUERIES
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for p in _parts():
+        out |= p.SQL
+    return out
