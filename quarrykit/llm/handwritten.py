@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm.origin import evidence, fingerprints, tokens
-from quarrykit.session import spread
+from quarrykit.session import checkpointed, spread
 
 CODE_PATH = r"(?i)\.(?:js|mjs|cjs|jsx|ts|tsx)$"
 OWNERS = 3  # fewest unrelated owners in whose files a recurring fingerprint stands
@@ -51,7 +51,7 @@ def classified(files: DataFrame) -> DataFrame:
     made distinct with map-side combining, so a fingerprint in a third of all files is one
     row for each owner.  Only recurring fingerprints go on into the join.
     """
-    f = features(files)
+    f = checkpointed(features(files))
     owner = F.xxhash64(F.coalesce(F.split_part("repo", F.lit("/"), F.lit(1)), F.lit("")))
     prints = f.select("file_id", owner.alias("owner"), F.explode("prints").alias("print"))
     recurring = prints.select("print", "owner").distinct().groupBy("print").agg(F.count("*").alias("owners")).where(F.col("owners") >= OWNERS).select("print")
