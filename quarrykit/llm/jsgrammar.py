@@ -1276,7 +1276,7 @@ class Parser:
             self.expect("=>")
             self.return_type()
             return
-        if self.is_p("(") and self.try_function_type():
+        if self.is_p("(") and not (self.flow and self.no_flow_arrow) and self.try_function_type():
             return
         self.eat("|") or self.eat("&")
         self.union_type()
