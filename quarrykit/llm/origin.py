@@ -8,12 +8,13 @@ not, can be recognised across repositories.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
 
 _TOKEN = re.compile(
-    r"//[^\n]*|/\*[\s\S]*?\*/|([A-Za-z_$][\w$]*)|(\d[\w.]*)|(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|([^\s\w])"
+    r"//[^\n]*|/\*[\s\S]*?\*/|[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[^\s\w]"
 )
 _HEAD = re.compile(r"﻿?(?:#![^\n]*\n)?\s*((?:/\*[\s\S]*?\*/\s*|//[^\n]*(?:\n\s*|\Z))+)")
 
@@ -50,15 +51,30 @@ _BANNER = re.compile(
 )
 
 
-def tokens(text: str) -> list[tuple[int, str]]:
-    """(kind, text) of every token but comments; kinds 1 word, 2 number, 3 string, 4 other."""
-    return [(m.lastindex, m[0]) for m in _TOKEN.finditer(text) if m.lastindex]
+def tokens(text: str) -> list[str]:
+    """All tokens but comments."""
+    found = _TOKEN.findall(text)
+    if "//" in text or "/*" in text:
+        return [t for t in found if t[:2] != "//" and t[:2] != "/*"]
+    return found
+
+
+WORD, NUMBER, STRING, OTHER = 1, 2, 3, 4
+_KIND = {c: NUMBER for c in "0123456789"} | {c: STRING for c in "\"'`"}
+
+
+def kind_of(t: str) -> int:
+    c = t[0]
+    if k := _KIND.get(c):
+        return k if k == NUMBER or len(t) > 1 else OTHER
+    return WORD if c.isalpha() or c in "_$" else OTHER
 
 
 _hash: dict[str, int] = {}
+_shape: dict[str, str] = {}
 
 
-def _token_hash(t: str) -> int:
+def _hashed(t: str) -> int:
     h = _hash.get(t)
     if h is None:
         h = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
@@ -69,35 +85,53 @@ def _token_hash(t: str) -> int:
     return h
 
 
-def fingerprints(toks: list[tuple[int, str]], k: int = 20, w: int = 24) -> list[int]:
-    """Winnowed 64-bit fingerprints of all runs of k tokens (strings and numbers by their text).
+def _shaped(t: str) -> str:
+    """One character for the shape of a token: keywords by their first letter, punctuation as it is."""
+    c = _shape.get(t)
+    if c is None:
+        k = kind_of(t)
+        c = t[0] if k == OTHER or t in _KEYWORDS else "WNSO"[k - 1]
+        if len(t) <= 40:
+            if len(_shape) >= 200_000:
+                _shape.clear()
+            _shape[t] = c
+    return c
 
-    Of every w successive runs at least one is kept, so two files that share k + w - 1
-    tokens in a row share a fingerprint.  A text shorter than k tokens has none.
-    """
-    if len(toks) < k:
-        return []
-    h = np.fromiter((_token_hash(t) for _, t in toks), np.uint64, len(toks))
+
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k values."""
     n = len(h) - k + 1
     roll = np.zeros(n, np.uint64)
     for j in range(k):
         roll = roll * _BASE + h[j : j + n]
     roll ^= roll >> np.uint64(29)
     roll *= _MIX
-    w = min(w, n)
+    return roll
+
+
+def fingerprints(toks: list[str], k: int = 20, w: int = 24) -> list[int]:
+    """Winnowed 64-bit fingerprints of all runs of k tokens (strings and numbers by their text).
+
+    Of every w successive runs at least one is kept, so two files that share k + w - 1
+    tokens in a row share a fingerprint.  A text shorter than k tokens has none.
+    """
+    if len(toks) < k:
+        return []
+    roll = _rolled(np.fromiter(map(_hashed, toks), np.uint64, len(toks)), k)
+    w = min(w, len(roll))
     return np.unique(np.lib.stride_tricks.sliding_window_view(roll, w).min(axis=1)).view(np.int64).tolist()
 
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _repetition(toks: list[tuple[int, str]], k: int = 12) -> tuple[int, float]:
+def _repetition(toks: list[str], k: int = 12) -> tuple[int, float]:
     """Number of token shapes (runs of k kinds) and the share of distinct ones."""
-    kinds = "".join(t if n == 4 else t[0] if n == 1 and t in _KEYWORDS else "wns"[n - 1] for n, t in toks)
-    n = len(kinds) - k + 1
-    if n <= 0:
-        return 0, 1.0
-    return n, len({kinds[i : i + k] for i in range(n)}) / n
+    n = len(toks) - k + 1
+    if n < 150:
+        return max(0, n), 1.0
+    shapes = np.frombuffer("".join(map(_shaped, toks)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return n, len(np.unique(_rolled(shapes, k))) / n
 
 
 _JS_START = re.compile(r"(?:\s|//[^\n]*\n|/\*[\s\S]*?\*/|\ufeff|[\"']use strict[\"'];?)*(?:export|const|let|var|function|class|exports|module|async|Object|import|\(|!)")
@@ -109,7 +143,7 @@ def head_comment(text: str) -> str:
     return m[1] if m else ""
 
 
-def evidence(path: str, text: str, toks: list[tuple[int, str]]) -> list[str]:
+def evidence(path: str, text: str, toks: list[str]) -> list[str]:
     """Reasons from the file itself, in a fixed order; none for a file that looks hand-written."""
     out = []
     head = head_comment(text)
@@ -117,35 +151,44 @@ def evidence(path: str, text: str, toks: list[tuple[int, str]]) -> list[str]:
         talk = _TALK.search(head)
         if (_GENERATED.search(head) and (not talk or _NO_EDIT.search(head))) or (_NO_EDIT.search(head) and not talk):
             out.append("generated-header")
-    body = text
-    n = len(text)
-    words = [t for k, t in toks if k == 1]
-    if _COMPILED.search(body):
+    if _COMPILED.search(text):
         out.append("compiled")
-    if _BUNDLE.search(body):
+    if _BUNDLE.search(text):
         out.append("bundle")
+    n = len(text)
+    counted = Counter(toks)
+    words = names = short = code = strings = numbers = flow = symbols = 0
+    for t, c in counted.items():
+        k = kind_of(t)
+        size = len(t) * c
+        code += size
+        if k == WORD:
+            words += c
+            if t in _KEYWORDS:
+                flow += c
+            else:
+                names += c
+                if len(t) <= 3:
+                    short += c
+        elif k == STRING:
+            strings += size
+        else:
+            symbols += size
+            numbers += c if k == NUMBER else 0
     if n >= 200 and words:
-        code = sum(len(t) for _, t in toks)
-        strings = sum(len(t) for k, t in toks if k == 3)
-        numbers = sum(1 for k, _ in toks if k == 2)
-        names = [w for w in words if w not in _KEYWORDS]
-        short = sum(len(w) <= 3 for w in names) / max(1, len(names))
         lines = text.count("\n") + 1
-        blank = sum(text.count(c) for c in " \t\r\n") / n
-        longest = max(map(len, text.split("\n")))
-        strings_share = strings / max(1, code)
-        if len(words) >= 25 and short >= 0.55 and blank <= 0.10 and (longest >= 200 or n / lines >= 60) and strings_share < 0.6:
-            out.append("minified")
-        starts = re.match(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/|﻿|[\"']use strict[\"'];?)*(?:export\s+default\b|module\.exports\s*=|export\s+const\s+\w+(?:\s*:\s*[^=]+)?\s*=|exports\.\w+\s*=)", text)
-        if starts:
-            lit = strings + sum(len(t) for k, t in toks if k in (2, 4))
-            flow_words = sum(w in _KEYWORDS for w in words) - 2
-            if len(toks) >= 3 and lit / max(1, code) >= 0.9 and flow_words <= 1 and (strings >= 1000 or numbers >= 60 or (len(toks) >= 150 and strings + numbers > 0)):
+        if words >= 25 and short >= 0.55 * max(1, names) and strings < 0.6 * code:
+            blank = (text.count(" ") + text.count("\t") + text.count("\r") + lines - 1) / n
+            if blank <= 0.10 and (n / lines >= 60 or max(map(len, text.split("\n"))) >= 200):
+                out.append("minified")
+        if len(toks) >= 3 and (strings + symbols) >= 0.9 * code and flow - 2 <= 1 and (strings >= 1000 or numbers >= 60 or (len(toks) >= 150 and strings + numbers > 0)):
+            if _LITERAL_MODULE.match(text):
                 out.append("data")
-    shapes, distinct = _repetition(toks)
-    imports = re.search(r"(?m)^\s*(?:import\b|(?:const|var|let) .*= require\()", text)
-    if shapes >= 150 and not imports and distinct <= 0.16 and "data" not in out and "minified" not in out and _JS_START.match(text[len(head) :] if text.startswith(head) else text):
-        out.append("repetitive")
+    imports = _IMPORTS.search(text)
+    if not imports and "data" not in out and "minified" not in out:
+        shapes, distinct = _repetition(toks)
+        if shapes >= 150 and distinct <= 0.16 and _JS_START.match(text[len(head) :] if text.startswith(head) else text):
+            out.append("repetitive")
     if _GEN_PATH.search(path) and words and not imports:
         out.append("generated-path")
     if _PKG_PATH.search(path):
@@ -155,3 +198,9 @@ def evidence(path: str, text: str, toks: list[tuple[int, str]]) -> list[str]:
     if _VENDOR_PATH.search(path) and words and not imports:
         out.append("vendor-path")
     return out
+
+
+_IMPORTS = re.compile(r"(?m)^\s*(?:import\b|(?:const|var|let) .*= require\()")
+_LITERAL_MODULE = re.compile(
+    r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/|\ufeff|[\"']use strict[\"'];?)*(?:export\s+default\b|module\.exports\s*=|export\s+const\s+\w+(?:\s*:\s*[^=]+)?\s*=|exports\.\w+\s*=)"
+)
