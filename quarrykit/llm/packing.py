@@ -285,7 +285,7 @@ def containers(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, n
         n = buckets_for(count, group)
         last = n == 1 or level >= 6
         placed = checkpointed(
-            rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), F.lit(n)))
+            spread(rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), F.lit(n))), "g")
             .groupBy("g")
             .applyInPandas(packer(level, last), "doc_id BIGINT, piece_no INT, tokens INT, container_id STRING, closed BOOLEAN")
         )
