@@ -29,6 +29,11 @@ _NO_EDIT = re.compile(
     r"(?i)\bdo not (?:edit|modify|change|touch)\b|\bdon'?t (?:edit|modify) (?:this|by hand)|never (?:by hand|edit)|hand[- ]edits? do(?:es)? not|manual (?:edits|changes) will be|"
     r"changes (?:to this file )?will be (?:lost|overwritten)|please edit \S+ instead|will be overwritten|edits? (?:here )?(?:are|will be) lost|not edit(?:ed)? by hand"
 )
+_TAIL = re.compile(r"(?:\A|\n)[ \t]*(//[^\n]*|/\*(?:(?!\*/)[\s\S])*\*/)\s*\Z")
+_OUTPUT = re.compile(
+    r"(?i)^[/*!\s]*(?:end of (?:generated |tool |compiler )?(?:output|code|file)\b.*\b(?:of|by|from)\b|[\w.-]+: \d+ (?:lines?|symbols?|files?|bytes) (?:emitted|generated|written|produced)"
+    r"|(?:auto-?)?(?:generated|emitted|produced|wrote) \d+ \w+ (?:from|by|with)\b|(?:auto-?)?generated (?:by|from)\b)|\bdo not edit\b"
+)
 _TALK = re.compile(r"(?i)\b(?:whose|which|that|says?|when|every file|skip|files? (?:with|marked)|if the|look for|detect)\b")
 # Marks left by bundlers and compilers in code.
 _COMPILED = re.compile(
@@ -151,6 +156,8 @@ def evidence(path: str, text: str, toks: list[str]) -> list[str]:
         talk = _TALK.search(head)
         if (_GENERATED.search(head) and (not talk or _NO_EDIT.search(head))) or (_NO_EDIT.search(head) and not talk):
             out.append("generated-header")
+    if (tail := _TAIL.search(text, max(0, len(text) - 2_000))) and _OUTPUT.search(tail[1]) and not _TALK.search(tail[1]):
+        out.append("generated-trailer")
     if _COMPILED.search(text):
         out.append("compiled")
     if _BUNDLE.search(text):
