@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import math
 import os
 import tempfile
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,38 @@ def session(app: str = "quarrykit", master: str | None = None, **conf: str) -> S
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once for each application.
+
+    It is zipped into the driver's folder of Spark files, which Spark serves to its executors.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # the package runs from an archive that was shipped already
+        return
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for folder, _, names in sorted(os.walk(here)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.writestr(zipfile.ZipInfo(os.path.join(os.path.basename(here), os.path.relpath(full, here))), open(full, "rb").read())
+    home = os.path.join(SparkFiles.getRootDirectory(), "shipped")
+    os.makedirs(home, exist_ok=True)
+    path = os.path.join(home, f"{os.path.basename(here)}.zip")
+    with open(path, "wb") as f:
+        f.write(buffer.getvalue())
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +72,7 @@ def partitions(spark: SparkSession, least: int = 0) -> int:
 
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Rows spread evenly by a hash of the keys for a step that costs far more CPU than its shuffle."""
+    ship(df.sparkSession)
     return df.repartition(partitions(df.sparkSession), *keys)
 
 
