@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm.alignment import coverage, gram_hashes, words
-from quarrykit.session import spread
+from quarrykit.session import checkpointed, spread
 
 SEED = 3  # words of a seed
 RARE = 3  # a seed stands in at most so many passages
@@ -35,8 +35,12 @@ def _passage_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _document_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ws = [words(t) for t in b.text]
-        yield pd.DataFrame({"doc_id": b.doc_id, "doc_words": ws, "grams": [gram_hashes(w, SEED) for w in ws]})
+        yield pd.DataFrame({"doc_id": b.doc_id, "grams": [gram_hashes(words(t), SEED) for t in b.text]})
+
+
+def _word_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"doc_id": b.doc_id, "doc_words": [words(t) for t in b.text]})
 
 
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,17 +60,19 @@ def alignments(documents: DataFrame, passages: DataFrame) -> DataFrame:
     rare = at.groupBy("gram").agg(F.countDistinct("item_id").alias("items")).where(F.col("items") <= RARE).select("gram")
     seeds = at.join(rare, "gram")
     d = documents.select("doc_id", "text").where("text <> ''")
-    d = spread(d, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(_document_batches, "doc_id BIGINT, doc_words ARRAY<STRING>, grams ARRAY<BIGINT>")
+    d = spread(d, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(_document_batches, "doc_id BIGINT, grams ARRAY<BIGINT>")
     grams = d.select("doc_id", F.posexplode("grams").alias("doc_pos", "gram"))
     if at.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
-    hits = (
+    hits = checkpointed(
         grams.join(seeds, "gram")
         .groupBy("doc_id", "item_id")
         .agg(F.collect_list(F.struct("doc_pos", "item_pos")).alias("hits"), F.countDistinct("item_pos").alias("seeds"))
         .where(F.col("seeds") >= HITS)
     )
-    texts = d.select("doc_id", "doc_words")
+    # only candidate documents are read and split into words again
+    own = documents.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = own.mapInPandas(_word_batches, "doc_id BIGINT, doc_words ARRAY<STRING>")
     return (
         hits.join(texts, "doc_id").join(p.select("item_id", "item_words"), "item_id")
         .select("doc_id", "item_id", "doc_words", "item_words", "hits")
