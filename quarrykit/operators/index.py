@@ -74,17 +74,30 @@ def chunks(extracted: DataFrame, ingested: DataFrame) -> DataFrame:
 
     A null end is the end of the file; chunks that begin after it are left out.
     """
-    src = ingested.dropDuplicates(["file_id"]).select("file_id", "path", F.coalesce("content", F.lit("")).alias("content"))
-    n = T.line_count(F.col("content"))
+    content = F.coalesce("content", F.lit(""))
+    src = ingested.dropDuplicates(["file_id"]).select("file_id", "path", T.lines(content).alias("lines"), T.line_count(content).alias("n"))
+    n = F.col("n")
+    # a file is split into lines once, before the join, not once for each of its chunks
     c = extracted.dropDuplicates(["chunk_id"]).join(src, "file_id").withColumn("end_line", F.least(F.coalesce("end_line", n), n))
     c = c.where(F.col("start_line") <= F.col("end_line"))
-    block = T.line_slice(F.col("content"), F.col("start_line"), F.col("end_line"))
+    block = F.array_join(F.slice("lines", F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.greatest("start_line", F.lit(1)) + 1, F.lit(0))), "\n")
     return c.select("chunk_id", "file_id", "repo", "path", "start_line", "end_line", block.alias("text")).withColumn("chunk_hash", T.fingerprint(F.col("text")))
 
 
 def term_frequencies(blocks: DataFrame, keys: list[str], text: str = "text", verbs: bool = False) -> DataFrame:
-    """keys, term, tf."""
-    return blocks.select(*keys, F.explode(T.terms(F.col(text), verbs)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """keys, term, tf.
+
+    Rows are exploded to identifiers and then to parts before anything is computed, so that every
+    expression is a scalar of generated code; ``functions.text.terms`` says the same of one text.
+    """
+    ids = blocks.select(*keys, F.explode(T.identifiers(F.col(text))).alias("id"))
+    parts = F.regexp_replace(F.regexp_replace("id", "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    parts = F.trim(F.regexp_replace(F.lower(parts), "[^a-z0-9]+", " "))
+    named = ids.select(*keys, F.lower("id").alias("id"), parts.alias("parts"))
+    whole = F.when(F.instr("parts", " ") > 0, F.concat(F.regexp_replace("id", "[^a-z0-9]", ""), F.lit(" "), F.col("parts"))).otherwise(F.col("parts"))
+    each = named.select(*keys, F.explode(F.split(whole, " ")).alias("part")).where("part <> ''")
+    found = each.select(*keys, T.stem(F.col("part"), verbs).alias("term")).where(T.keep(F.col("term")))
+    return found.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(postings: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,13 +8,13 @@ from quarrykit.operators import evaluation as V
 from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
 from quarrykit.plans.retrieval import LEXICAL, lexical_top
-from quarrykit.session import table
+from quarrykit.session import checkpointed, table
 
 LABELS = ["SUPPORTED", "PARTIALLY_SUPPORTED", "UNSUPPORTED", "CONTRADICTED"]
 
 
 def _scores(s, d):
-    return V.question_scores(C.questions(s, d), lexical_top(s, d))
+    return checkpointed(V.question_scores(C.questions(s, d), checkpointed(lexical_top(s, d))))
 
 
 def _aggregate(s, d):

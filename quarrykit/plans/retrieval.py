@@ -11,13 +11,13 @@ from quarrykit.operators import retrieval as R
 from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
 from quarrykit.plans.text import PLACED
-from quarrykit.session import table
+from quarrykit.session import checkpointed, table
 
 
 def _passages(s, d):
     """Every passage as a question over all documents: BM25, the best ten."""
     docs = table(s, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    post = I.term_frequencies(docs, ["doc_id"])
+    post = checkpointed(I.term_frequencies(docs, ["doc_id"]))
     terms = table(s, d, "eval_passages").select("item_id", F.explode(T.question_terms(F.col("text"))).alias("term"))
     hits = R.bm25(terms, post, docs, [], "doc_id", "item_id")
     scored = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum("weight"), 9).alias("score"))
@@ -27,7 +27,7 @@ def _passages(s, d):
 def lexical(s, d):
     """Questions over the chunks of their repository, by terms alone."""
     c = C.chunks(s, d)
-    post = I.term_frequencies(c, ["repo", "chunk_id"])
+    post = checkpointed(I.term_frequencies(c, ["repo", "chunk_id"]))
     terms = C.questions(s, d).select("repo", "question_id", F.explode(T.question_terms(F.col("question"))).alias("term"))
     hits = R.bm25(terms, post, c, ["repo"], "chunk_id", "question_id")
     return hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum("weight"), 9).alias("score"), F.count("*").alias("terms"))
@@ -80,8 +80,6 @@ def _control(s, d):
 
 
 def _features(s, d):
-    from quarrykit.session import checkpointed
-
     c = C.corpus(s, d)
     q = C.questions(s, d)
     r = checkpointed(R.search(q, c))

@@ -68,7 +68,7 @@ def _vocabulary(s, d):
 
 def _stats(s, d):
     c = C.chunks(s, d)
-    st = I.corpus_stats(c, I.lengths(I.term_frequencies(c, ["repo", "chunk_id"]), ["repo", "chunk_id"]), ["repo"], "chunk_id")
+    st = I.corpus_stats(c.select("repo", "chunk_id"), I.lengths(I.term_frequencies(c, ["repo", "chunk_id"]), ["repo", "chunk_id"]), ["repo"], "chunk_id")
     return st.select("repo", "blocks", F.round("mean_length", 6).alias("mean_length"))
 
 
