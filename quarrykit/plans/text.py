@@ -10,7 +10,6 @@ from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
 from quarrykit.session import table
 
-WORDS = F.lit(" ")
 
 
 def _document_terms(s, d):

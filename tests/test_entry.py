@@ -23,7 +23,7 @@ def duck():
 
 def canon(df):
     df = df[sorted(df.columns)]
-    cell = lambda v: "" if v is None or v is pd.NaT or v != v else str(round(float(v), 6)) if hasattr(v, "__float__") and not isinstance(v, str) else str(v)
+    cell = lambda v: "" if pd.api.types.is_scalar(v) and pd.isna(v) else str(round(float(v), 6)) if hasattr(v, "__float__") and not isinstance(v, str) else str(v)
     return sorted(tuple(cell(v) for v in r) for r in df.itertuples(index=False, name=None))
 
 
