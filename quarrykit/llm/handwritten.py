@@ -23,8 +23,8 @@ from quarrykit.session import checkpointed, spread
 
 CODE_PATH = r"(?i)\.(?:js|mjs|cjs|jsx|ts|tsx)$"
 OWNERS = 3  # fewest unrelated owners in whose files a recurring fingerprint stands
-SHARE = 0.75  # least share of a file's fingerprints that recur
-FEWEST = 6  # fewest fingerprints on which the share is trusted
+SHARE = 0.9  # least share of a file's fingerprints that recur
+FEWEST = 16  # fewest fingerprints on which the share is trusted
 
 FEATURES = "file_id BIGINT, repo STRING, path STRING, reasons ARRAY<STRING>, prints ARRAY<BIGINT>"
 
