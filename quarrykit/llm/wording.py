@@ -20,6 +20,7 @@ FUNCTION_WORDS = frozenset(
 PHRASES = [
     (r"\b(?:what is the reason|for what reason|what s the reason)(?: that| why)?(?: the code has| the code)?\b", "why"),
     (r"\bwho calls\b", "what calls"),
+    (r"\btouches\b", "touch"),
     (r"\b(?:through|by|via|out of) (?:what|which)\b", "from which"),
     (r"\b(?:jointly|in combination)\b", "work together"),
     (r"^(?:tell me|explain|please tell me|can you tell me|do you know|i wonder)\b", ""),
@@ -46,6 +47,8 @@ _COMMA = re.compile(
     r"^(?:as of (?:today|now)|in this (?:repository|repo|project|codebase)|for the record|to be clear|note that|currently|just curious|hi|hello|hey|please|so|ok|okay|well|quick question|question|by the way|btw|fyi|at present|today)\b[ ,:]+",
     re.I,
 )
+# Two-letter function words with their letters swapped.
+_SWAPPED = {w[::-1]: w for w in "if is it of to in at be on an by".split() if w[::-1] not in ("no",)}
 _WORD = re.compile(r"[\w$]+(?:['’][a-z]+)?(?:-[\w$]+)*")
 _ZERO = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD], None)
 
@@ -96,11 +99,44 @@ def core(text: str) -> str:
     return t
 
 
+@lru_cache(maxsize=4)
+def _repo_parts(repos: frozenset[str]) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Names that stand alone, first parts and last parts of repository names.
+
+    A first part stands alone if it is a name itself or goes with several last parts.
+    """
+    with_parts: dict[str, set[str]] = {}
+    for r in repos:
+        if "-" in r:
+            a, b = r.rsplit("-", 1)
+            with_parts.setdefault(a, set()).add(b)
+    alone = {r for r in repos if "-" not in r} | {a for a, b in with_parts.items() if len(b) > 1}
+    return frozenset(alone | repos), frozenset(with_parts.keys() | {r for r in repos if "-" not in r}), frozenset(b for x in with_parts.values() for b in x)
+
+
+def _slips(w: str, among: frozenset[str], most: int) -> int:
+    if w in among:
+        return 0
+    return min((osa(w, r, most) for r in among if abs(len(r) - len(w)) <= most), default=most + 1)
+
+
+@lru_cache(maxsize=100_000)
+def is_repo(word: str, repos: frozenset[str]) -> bool:
+    """A repository's short name, known or put together of known parts, with up to two slips in a name of two parts."""
+    alone, first, last = _repo_parts(repos)
+    if word in alone:
+        return True
+    if "-" in word:
+        a, b = word.rsplit("-", 1)
+        d = _slips(a, first, 2)
+        return d <= 2 and d + _slips(b, last, 2) <= 2
+    return False
+
+
 def canonical(text: str | None, repos: frozenset[str]) -> list[str]:
     """Tokens of a text in canonical form; none for an empty text.
 
-    Identifiers lose their case and underscores; a token that is a repository's short name,
-    or one slip away from a hyphenated one, becomes "§".
+    Identifiers lose their case and underscores; a repository's short name becomes "§".
     """
     if not text:
         return []
@@ -108,15 +144,13 @@ def canonical(text: str | None, repos: frozenset[str]) -> list[str]:
     words = []
     for w in _WORD.findall(t):
         low = w.lower().replace("’", "'")
-        if low in repos:
+        if is_repo(low, repos):
             words.append("§")
             continue
         if "-" in low:
-            if any(abs(len(r) - len(low)) <= 2 and osa(r, low, 2) <= 2 for r in repos if "-" in r):
-                words.append("§")
-                continue
             words += [x for x in low.split("-") if x]
             continue
+        low = _SWAPPED.get(low, low)
         words.append(low.replace("_", "").replace("'", ""))
     s = " ".join(words)
     for rx, to in _PHRASES:
