@@ -182,3 +182,25 @@ def excerpt(text: Column, most_lines: int = 40, width: int = 140) -> Column:
     return F.array_join(
         F.transform(F.slice(lines(text), 1, most_lines), lambda x, i: F.concat((i + 1).cast("string"), F.lit("| "), F.substring(x, 1, width))), "\n"
     )
+
+
+def quoted_lines(block: Column, first: Column, quote: Column) -> Column:
+    """(from_line, to_line) of the lines of a block that a quote covers, or null.
+
+    The quote is one passage apart from white space; of several places the first counts, and the
+    shortest run of lines that holds it.
+    """
+    q = squeezed(F.array_join(F.transform(F.split(quote, "\n"), lambda x: F.regexp_replace(x, r"^L\d+\|\s?", "")), " "))
+    rows = F.transform(lines(block), squeezed)
+    n = F.size(rows)
+    joined = lambda a, b: F.array_join(F.filter(F.slice(rows, a, b - a + 1), lambda x: x != ""), " ")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(rows, i) != "")
+    begins = lambda i: (F.instr(joined(i, n), q) > 0) & (F.instr(joined(i, n), q) <= F.length(F.element_at(rows, i)))
+    start = F.try_element_at(F.filter(starts, begins), F.lit(1))
+    end = F.try_element_at(F.filter(F.sequence(F.coalesce(start, F.lit(1)), n), lambda j: F.contains(joined(F.coalesce(start, F.lit(1)), j), q)), F.lit(1))
+    return F.when((F.length(q) >= 3) & start.isNotNull(), F.struct((first + start - 1).alias("from_line"), (first + end - 1).alias("to_line")))
+
+
+def cache_name(key: Column) -> Column:
+    """File name of a cache entry."""
+    return F.sha2(key, 256)

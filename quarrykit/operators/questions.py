@@ -149,3 +149,42 @@ def answer_metrics(answers: DataFrame) -> DataFrame:
         F.count_if(~neg & ok).alias("positives_answered"), F.count_if(~neg & refused).alias("positives_refused"), F.count_if(neg & refused).alias("negatives_refused"), F.count_if(neg & ok).alias("negatives_answered"),
         F.count_if(~neg & ok & F.col("cites_expected") & F.col("mentions_met")).alias("correct"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.median("evidence_chars").alias("median_chars"), F.max("evidence_chars").alias("most_chars"),
     )
+
+
+def entry_blocks(manifest_lines: DataFrame, entry_lines: DataFrame, chunks: DataFrame, shown: DataFrame, most: int = 2) -> DataFrame:
+    """question_id, chunk_id, place: the chunks with the declaring line and the entry's first export, not shown yet, at most ``most``.
+
+    manifest_lines, entry_lines and shown: question_id, file_id with line, or start_line and end_line.
+    """
+    want = manifest_lines.select("question_id", "file_id", "line", F.lit(0).alias("o")).unionByName(entry_lines.select("question_id", "file_id", "line", F.lit(1).alias("o")))
+    w, s = want.alias("w"), shown.alias("s")
+    on = (F.col("w.question_id") == F.col("s.question_id")) & (F.col("w.file_id") == F.col("s.file_id")) & F.col("w.line").between(F.col("s.start_line"), F.col("s.end_line"))
+    left, c = w.join(s, on, "left_anti").alias("w"), chunks.alias("c")
+    hit = left.join(c, (F.col("w.file_id") == F.col("c.file_id")) & F.col("w.line").between(F.col("c.start_line"), F.col("c.end_line")))
+    one = hit.groupBy("w.question_id", "c.chunk_id").agg(F.min("w.o").alias("o"))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("o", "chunk_id"))
+    return one.withColumn("place", place).where(F.col("place") <= most).drop("o")
+
+
+def kept_verdicts(fresh: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
+    """Fresh rows with the verdict recorded for their key; a recorded verdict whose key is gone is an error, raised when it is run."""
+    orphan = recorded.join(fresh.select(*keys), keys, "left_anti").select(*keys, F.raise_error(F.lit("a recorded verdict would be lost")).cast("string").alias("verdict"))
+    out = fresh.join(recorded.select(*keys, "verdict"), keys, "left")
+    return out.unionByName(orphan, allowMissingColumns=True)
+
+
+def validated_again(records: DataFrame, replies: DataFrame, reason: str = "quote too long") -> DataFrame:
+    """Records (reply_id, reason, ...) of which only those refused for ``reason`` take the outcome of a new validation; all others stay."""
+    again = records.where(F.col("reason") == reason).drop("reason").join(replies.select("reply_id", "reason"), "reply_id")
+    return records.where(~F.coalesce(F.col("reason") == reason, F.lit(False))).unionByName(again.select(*records.columns))
+
+
+def fixture_passes(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """question_id, passed: a positive passes if its path comes first, a negative if no hostile path does.
+
+    results: question_id, rank, path; expected: question_id, path (null for a negative), hostile (array of paths).
+    """
+    first = results.where("rank = 1").select("question_id", F.col("path").alias("first_path"))
+    j = expected.join(first, "question_id", "left")
+    ok = F.when(F.col("path").isNotNull(), F.col("first_path").eqNullSafe(F.col("path"))).otherwise(~F.coalesce(F.array_contains("hostile", F.col("first_path")), F.lit(False)))
+    return j.select("question_id", ok.alias("passed"))

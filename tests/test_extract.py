@@ -68,3 +68,32 @@ def test_package_choice(spark):
     p = spark.createDataFrame([("o/kit", "kit"), ("o/kit", "@s/other"), ("o/one", "solo")], "repo STRING, package STRING")
     q = spark.createDataFrame([("o/kit", 1, "What is the entry point of other?"), ("o/kit", 2, "What is the entry point?"), ("o/one", 3, "main file?"), ("o/kit", 4, "Where is x?"), ("o/kit", 5, "entry point of kit and other?")], "repo STRING, question_id INT, question STRING")
     assert {r.question_id: r.package for r in Q.chosen_package(q, p).collect()} == {1: "@s/other", 2: "kit", 3: "solo"}
+
+
+def test_quoted_lines(spark):
+    from quarrykit.functions.text import quoted_lines
+
+    df = spark.createDataFrame([("a\n b  c\n\nd e\nf", "c d"), ("a\nb", "zz"), ("x\nlong line\nlong line", "L7| long line"), ("ab", "ab")], "b STRING, q STRING")
+    got = [r[0] and tuple(r[0]) for r in df.select(quoted_lines(F.col("b"), F.lit(10), F.col("q"))).collect()]
+    assert got == [(11, 13), None, (11, 11), None]
+
+
+def test_records_and_reviews(spark):
+    rec = spark.createDataFrame([(1, "quote too long", "x"), (2, None, "y"), (3, "other", "z")], "reply_id INT, reason STRING, note STRING")
+    new = spark.createDataFrame([(1, None), (2, "never")], "reply_id INT, reason STRING")
+    assert {r.reply_id: r.reason for r in Q.validated_again(rec, new).collect()} == {1: None, 2: None, 3: "other"}
+    fresh = spark.createDataFrame([("a", 1), ("b", 2)], "k STRING, v INT")
+    assert {r.k: r.verdict for r in Q.kept_verdicts(fresh, spark.createDataFrame([("a", "ok")], "k STRING, verdict STRING"), ["k"]).collect()} == {"a": "ok", "b": None}
+    with pytest.raises(Exception, match="would be lost"):
+        Q.kept_verdicts(fresh, spark.createDataFrame([("c", "ok")], "k STRING, verdict STRING"), ["k"]).collect()
+
+
+def test_fixture_and_entry_blocks(spark):
+    res = spark.createDataFrame([(1, 1, "a"), (2, 1, "bad")], "question_id INT, rank INT, path STRING")
+    exp = spark.createDataFrame([(1, "a", []), (2, None, ["bad"]), (3, None, ["bad"])], "question_id INT, path STRING, hostile ARRAY<STRING>")
+    assert {r.question_id: r.passed for r in Q.fixture_passes(res, exp).collect()} == {1: True, 2: False, 3: True}
+    m, e = spark.createDataFrame([(1, 7, 3)], "question_id INT, file_id INT, line INT"), spark.createDataFrame([(1, 8, 1)], "question_id INT, file_id INT, line INT")
+    ch = spark.createDataFrame([(70, 7, 1, 5), (80, 8, 1, 9)], "chunk_id INT, file_id INT, start_line INT, end_line INT")
+    none = spark.createDataFrame([], "question_id INT, file_id INT, start_line INT, end_line INT")
+    assert [(r.chunk_id, r.place) for r in Q.entry_blocks(m, e, ch, none).orderBy("place").collect()] == [(70, 1), (80, 2)]
+    assert [r.chunk_id for r in Q.entry_blocks(m, e, ch, spark.createDataFrame([(1, 7, 1, 4)], none.schema)).collect()] == [80]
