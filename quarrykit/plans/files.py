@@ -147,14 +147,14 @@ w AS (SELECT file_id, raw, CASE WHEN raw = '' THEN 'empty' WHEN length(raw) > 40
 SELECT file_id, raw, reason, CASE WHEN reason IS NULL THEN array_to_string({_SEG}, '/') END AS path, CASE WHEN contains(raw, '/') THEN substr(raw, instr(raw, '/') + 1) END AS below_root FROM w""",
     "files_keys": """SELECT DISTINCT repo || '@' || sha AS "key", split_part(repo, '/', 1) AS owner, sha, regexp_matches(repo, '^[A-Za-z0-9][A-Za-z0-9-]{0,38}/[A-Za-z0-9._-]{1,100}$') AS good_ref, regexp_matches(sha, '^[0-9a-f]{40}$') AS good_sha, repo AS parsed FROM repos""",
     "ingest_skipped": """WITH b AS (SELECT DISTINCT ON (build_id) * FROM built_indexes), e AS (SELECT repo, unnest(map_entries(skipped)) AS e FROM b)
-SELECT repo, e.key AS reason, sum(e.value) AS entries, count(*) AS builds FROM e GROUP BY repo, e.key""",
-    "ingest_rejected": "WITH b AS (SELECT DISTINCT ON (build_id) * FROM built_indexes), e AS (SELECT unnest(map_entries(rejected_paths)) AS e FROM b) SELECT e.key AS reason, sum(e.value) AS entries FROM e GROUP BY e.key",
+SELECT repo, e.key AS reason, CAST(sum(e.value) AS BIGINT) AS entries, count(*) AS builds FROM e GROUP BY repo, e.key""",
+    "ingest_rejected": "WITH b AS (SELECT DISTINCT ON (build_id) * FROM built_indexes), e AS (SELECT unnest(map_entries(rejected_paths)) AS e FROM b) SELECT e.key AS reason, CAST(sum(e.value) AS BIGINT) AS entries FROM e GROUP BY e.key",
     "ingest_parse_status": """WITH b AS (SELECT DISTINCT ON (build_id) * FROM built_indexes), e AS (SELECT repo, unnest(map_entries(parse_status)) AS e FROM b), x AS (SELECT repo, e.key AS language, unnest(map_entries(e.value)) AS s FROM e)
-SELECT repo, language, coalesce(sum(s.value) FILTER (s.key = 'ast'), 0) AS ast, coalesce(sum(s.value) FILTER (s.key = 'ast-with-errors'), 0) AS "ast-with-errors", coalesce(sum(s.value) FILTER (s.key = 'fallback'), 0) AS fallback, coalesce(sum(s.value) FILTER (s.key = 'text'), 0) AS text FROM x GROUP BY repo, language""",
-    "ingest_fallbacks": "WITH b AS (SELECT DISTINCT ON (build_id) * FROM built_indexes), e AS (SELECT unnest(map_entries(parse_fallback_reasons)) AS e FROM b) SELECT e.key AS reason, sum(e.value) AS files FROM e GROUP BY e.key",
+SELECT repo, language, CAST(coalesce(sum(s.value) FILTER (s.key = 'ast'), 0) AS BIGINT) AS ast, CAST(coalesce(sum(s.value) FILTER (s.key = 'ast-with-errors'), 0) AS BIGINT) AS "ast-with-errors", CAST(coalesce(sum(s.value) FILTER (s.key = 'fallback'), 0) AS BIGINT) AS fallback, CAST(coalesce(sum(s.value) FILTER (s.key = 'text'), 0) AS BIGINT) AS text FROM x GROUP BY repo, language""",
+    "ingest_fallbacks": "WITH b AS (SELECT DISTINCT ON (build_id) * FROM built_indexes), e AS (SELECT unnest(map_entries(parse_fallback_reasons)) AS e FROM b) SELECT e.key AS reason, CAST(sum(e.value) AS BIGINT) AS files FROM e GROUP BY e.key",
     "ingest_late_files": """WITH f AS (SELECT DISTINCT ON (file_id) build_id, ingested_at FROM ingested_files), b AS (SELECT DISTINCT ON (build_id) build_id, built_at FROM built_indexes)
 SELECT build_id, count(*) AS files, count(*) FILTER (ingested_at > built_at + INTERVAL 1 HOUR) AS late, count(*) FILTER (ingested_at IS NULL) AS unknown FROM f JOIN b USING (build_id) GROUP BY build_id""",
-    "repo_summary": f"""WITH f AS (SELECT repo, count(*) AS files, sum(length(content)) AS chars, count(DISTINCT sha) AS commits FROM {D.FILES} GROUP BY repo),
+    "repo_summary": f"""WITH f AS (SELECT repo, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS chars, count(DISTINCT sha) AS commits FROM {D.FILES} GROUP BY repo),
 c AS (SELECT repo, count(DISTINCT chunk_id) AS chunks FROM extracted_chunks GROUP BY repo), s AS (SELECT repo, count(DISTINCT symbol_id) AS symbols, count(DISTINCT symbol_id) FILTER (exported) AS exported FROM extracted_symbols GROUP BY repo)
 SELECT repo, files, chars, commits, coalesce(chunks, 0) AS chunks, coalesce(symbols, 0) AS symbols, coalesce(exported, 0) AS exported FROM f LEFT JOIN c USING (repo) LEFT JOIN s USING (repo)""",
     "repo_languages": f"WITH f AS (SELECT {D.language_of('path')} AS language, {D.file_class('path')} AS file_class FROM {D.FILES}) SELECT language, file_class, count(*) AS files, grouping(language, file_class) AS level FROM f GROUP BY CUBE (language, file_class)",

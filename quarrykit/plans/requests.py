@@ -86,7 +86,7 @@ SELECT event_id, used < 3 AS admitted, CASE WHEN used < 3 THEN 0 ELSE opened + {
     "state_ttl_cache": f"""WITH RECURSIVE {_E}, b AS (SELECT event_id, user_id, k, t AS stored, false AS hit FROM e WHERE k = 1 UNION ALL
   SELECT e.event_id, e.user_id, e.k, CASE WHEN e.t - b.stored < {DAY} THEN b.stored ELSE e.t END, e.t - b.stored < {DAY} FROM b JOIN e ON e.user_id IS NOT DISTINCT FROM b.user_id AND e.k = b.k + 1) SELECT event_id, hit FROM b""",
     "state_in_flight": """WITH e AS (SELECT (epoch_us(ts) // 1000) AS t, (epoch_us(ts) // 1000) + CAST(floor(coalesce(value, 0) * 60000) AS BIGINT) AS d FROM (SELECT DISTINCT ON (event_id) * FROM events)), k AS (SELECT t, 1 AS n FROM e UNION ALL SELECT d, -1 FROM e), p AS (SELECT t, sum(n) AS n FROM k GROUP BY t)
-SELECT t, sum(n) OVER (ORDER BY t) AS open FROM p""",
+SELECT t, CAST(sum(n) OVER (ORDER BY t) AS BIGINT) AS open FROM p""",
     "state_cooldown": """WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t, CASE WHEN event_type = 'error' THEN CAST(floor(coalesce(value, 0) * 60000) AS BIGINT) END AS w FROM (SELECT DISTINCT ON (event_id) * FROM events))
 SELECT event_id, max(CASE WHEN w > 0 THEN t + w END) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS until FROM e""",
     "state_latest": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (epoch_us(ts) // 1000) DESC, event_id DESC) AS r FROM (SELECT DISTINCT ON (event_id) * FROM events)) WHERE r = 1",

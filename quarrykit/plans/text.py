@@ -145,7 +145,7 @@ e AS (SELECT file_id, g, CASE WHEN g = last THEN n ELSE least(n, b) END AS e FRO
 c AS (SELECT file_id, e, coalesce(max(e) OVER (PARTITION BY file_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS s FROM e)
 SELECT file_id, s AS start_line, e AS end_line FROM c WHERE e >= s""",
     "chunk_fingerprints": f"SELECT chunk_id, end_line, left(sha1(text), 12) AS chunk_hash, length(text) AS chars FROM {D.CHUNKS}",
-    "index_vocabulary": f"WITH c AS (SELECT * FROM {D.CHUNKS}) SELECT repo, term, count(*) AS df, sum(tf) AS occurrences FROM {D.postings('c', 'repo, chunk_id')} GROUP BY repo, term",
+    "index_vocabulary": f"WITH c AS (SELECT * FROM {D.CHUNKS}) SELECT repo, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM {D.postings('c', 'repo, chunk_id')} GROUP BY repo, term",
     "index_corpus_stats": f"""WITH c AS (SELECT * FROM {D.CHUNKS}), l AS (SELECT repo, chunk_id, sum(tf) AS n FROM {D.postings('c', 'repo, chunk_id')} GROUP BY repo, chunk_id)
 SELECT repo, count(*) AS blocks, round(avg(coalesce(n, 0)), 6) AS mean_length FROM c LEFT JOIN l USING (repo, chunk_id) GROUP BY repo""",
     "text_permalinks": f"SELECT chunk_id, '/' || repo || '/blob/' || sha || '/' || array_to_string(list_transform(string_split(path, '/'), lambda s_: url_encode(s_)), '/') || '#L' || start_line || '-L' || end_line AS link FROM {D.CHUNKS}",
