@@ -79,6 +79,7 @@ def wants_non_source(question: Column) -> Column:
 
 
 def entry_intent(question: Column) -> Column:
+    # Phrases that announce the intent.
     return question.rlike(
         r"(?i)(?<![A-Za-z0-9_])(entry[- ]?points?|main (file|module)|bin|cli|command[- ]line|start ?up|bootstrap)(?![A-Za-z0-9_])"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions import paths as P
 
+# What may be logged, and the headers that may be kept.
 SAFE = r"^[A-Za-z0-9_:.-]{1,60}\z"
 LIMIT_HEADERS = [
     "retry-after", "x-ratelimit-limit-requests", "x-ratelimit-limit-tokens", "x-ratelimit-remaining-requests", "x-ratelimit-remaining-tokens", "x-ratelimit-reset-requests", "x-ratelimit-reset-tokens",

@@ -119,6 +119,7 @@ def enclosing_symbol(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 def imported_name(question: Column) -> Column:
     """What a question about importers asks for, or null: four ways to put it."""
     q = F.regexp_replace(F.trim(question), r"[?.!\s]+\z", "")
+    # The forms such a question takes.
     forms = [
         r"(?i)(?<![A-Za-z0-9_])(?:which|what)\s+(?:[A-Za-z0-9_]+\s+){0,2}?(?:modules?|files?|packages?|components?)\s+(?:import|imports|importing|require|requires)\s+(.+)\z",
         r"(?i)(?<![A-Za-z0-9_])who\s+(?:imports|requires)\s+(.+)\z",

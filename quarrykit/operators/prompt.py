@@ -94,5 +94,6 @@ def affirmed(text: Column, pattern: str, reach: int = 60) -> Column:
     gap = r"(?:[^.;:!?]*)"
     clauses = F.flatten(F.transform(F.split(text, r"[.;:!?]"), lambda c: F.split(c, r"(?i)(?<![A-Za-z0-9_])(?:but|however|although|while)(?![A-Za-z0-9_])")))
     before = lambda c: F.regexp_extract(c, rf"(?i)^({gap}?)(?:{pattern})", 1)
+    # Words that negate.
     negated = lambda s: F.right(s, F.lit(reach)).rlike(r"(?i)(?<![A-Za-z0-9_])(?:not|never|no|cannot|without|nor|neither|none|lacks?|fails? to)(?![A-Za-z0-9_])|n['’]t(?![A-Za-z0-9_])")
     return F.exists(clauses, lambda c: c.rlike(f"(?i){pattern}") & ~negated(before(c)))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
 
+# Kinds of entry in their order, how a manifest declares one, words that say nothing.
 KINDS = ["main", "module", "exports", "browser", "bin", "types"]
 DECLARES = r"^\s*\"(?:main|module|exports|bin|browser|types)\"\s*:"
 WEAK = "the and for how does where what when which who why are was its from with that this into each all any can get set use run has have not".split()
 
 
 def asks_for_entry(question: Column) -> Column:
+    # Phrases that ask for an entry point.
     return question.rlike(
         r"(?i)(?<![A-Za-z0-9_])(?:entry[\s-]?(?:points?|files?|modules?)|package\s+(?:exports?|entr(?:y|ies))|main\s+(?:file|module|entry)|exports?\s+(?:field|map))(?![A-Za-z0-9_])"
     )
