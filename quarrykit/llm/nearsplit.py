@@ -134,9 +134,9 @@ def class_pairs(classes: DataFrame, texts: DataFrame) -> DataFrame:
     )
     exact = cand.where(F.col("eval_id") == F.col("train_id")).select("eval_id", "train_id")
     near = cand.where(F.col("eval_id") != F.col("train_id")).select("eval_id", "train_id", "eval_tokens", "train_tokens")
-    total = texts.agg(F.count("*").alias("texts"))
+    least = max(COMMON_TEXTS, COMMON_SHARE * texts.count())
     seen = texts.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    common = seen.crossJoin(F.broadcast(total)).where((F.col("n") >= COMMON_TEXTS) & (F.col("n") >= COMMON_SHARE * F.col("texts"))).select("token")
+    common = seen.where(F.col("n") >= least).select("token")
     differing = near.select(
         "eval_id", "train_id", F.explode(F.array_distinct(F.concat("eval_tokens", "train_tokens"))).alias("token")
     ).join(common, "token").groupBy("eval_id", "train_id").agg(F.collect_list("token").alias("common"))
