@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import xxhash
 
@@ -52,42 +53,79 @@ def gram_hashes(ws: list[str], n: int) -> list[int]:
     return [xxhash.xxh64_intdigest(" ".join(ws[i : i + n])) - (1 << 63) for i in range(len(ws) - n + 1)]
 
 
-def smith_waterman(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
-    """Best local alignment: (matches, first and last place + 1 in a, the same in b).  Match 2, mismatch and gap -1.
+def local_alignments(a: list[str], b: list[str], least: int = 1, enough: int | None = None) -> Iterator[list[tuple[int, int]]]:
+    """Local alignments as lists of matching places (in a, in b), best score first, no match in two of them.
 
+    Match 2, mismatch and gap -1 (Waterman and Eggert: the matches of one alignment are no matches
+    in the next).  Ends below the score `least`, or after an alignment of `enough` matches.
     A word of b that two words of a make up, or the reverse, is matched by the caller's normal form, not here.
     """
-    n, m = len(a), len(b)
-    best = (0, 0, 0, 0, 0, 0)
-    prev = [(0, 0, 0, 0)] * (m + 1)  # score, matches, start in a, start in b
-    for i in range(1, n + 1):
-        cur = [(0, 0, i, 0)]
-        x = a[i - 1]
-        for j in range(1, m + 1):
-            p = prev[j - 1]
-            if x == b[j - 1]:
-                c = (p[0] + 2, p[1] + 1, p[2], p[3]) if p[0] else (2, 1, i - 1, j - 1)
+    m = len(b)
+    places: dict[str, set[int]] = {}
+    for j, y in enumerate(b, 1):
+        places.setdefault(y, set()).add(j)
+    equal = [set(places.get(x, ())) for x in a]
+    while True:
+        best, end, ways, prev = 0, (0, 0), [bytearray(m + 1)], [0] * (m + 1)
+        for i, row in enumerate(equal, 1):
+            cur, way, left = [0] * (m + 1), bytearray(m + 1), 0
+            if row or any(prev):
+                for j in range(1, m + 1):
+                    s = prev[j - 1]
+                    if j in row:
+                        s += 2
+                        way[j] = 1
+                        if s > best:
+                            best, end = s, (i, j)
+                    else:
+                        w = 1
+                        if prev[j] > s:
+                            s, w = prev[j], 2
+                        if left > s:
+                            s, w = left, 3
+                        s -= 1
+                        if s > 0:
+                            way[j] = w
+                        else:
+                            s = 0
+                    cur[j] = left = s
+            ways.append(way)
+            prev = cur
+        if best < max(1, least):
+            return
+        i, j = end
+        pairs = []
+        while w := ways[i][j]:
+            if w == 1:
+                i, j = i - 1, j - 1
+                if j + 1 in equal[i]:
+                    pairs.append((i, j))
+            elif w == 2:
+                i -= 1
             else:
-                s, g, h = p[0] - 1, prev[j][0] - 1, cur[j - 1][0] - 1
-                if s >= g and s >= h:
-                    c = (s, p[1], p[2], p[3])
-                elif g >= h:
-                    c = (g, *prev[j][1:])
-                else:
-                    c = (h, *cur[j - 1][1:])
-                if c[0] <= 0:
-                    c = (0, 0, i, j)
-            cur.append(c)
-            if c[0] > best[0]:
-                best = (c[0], c[1], c[2], i, c[3], j)
-        prev = cur
-    return best[1], best[2], best[3], best[4], best[5]
-
-
-def stretches(item: list[str], doc: list[str], hits: list[tuple[int, int]], slack: int = 10) -> list[tuple[int, int, int, int, int]]:
-    """Local alignments of an item with the places of a document at which seeds hit.
-
-    hits: (place in the document, place in the item).  Hits on near diagonals share a window.
+                j -= 1
+        pairs.reverse()
+        yield pairs
+        if enough is not None and len(pairs) >= enough:
+            return
+        for i, j in pairs:
+            equal[i].discard(j + 1)
+
+
+def smith_waterman(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
+    """Best local alignment: (matches, first and last place + 1 in a, the same in b)."""
+    p = next(local_alignments(a, b), None)
+    return (len(p), p[0][0], p[-1][0] + 1, p[0][1], p[-1][1] + 1) if p else (0, 0, 0, 0, 0)
+
+
+LEAST_SCORE = 6  # of a stretch: three words in a row
+
+
+def stretches(item: list[str], doc: list[str], hits: list[tuple[int, int]], slack: int = 10) -> list[list[tuple[int, int]]]:
+    """Local alignments of an item with the places of a document at which seeds hit, as matching places.
+
+    hits: (place in the document, place in the item).  Hits on near diagonals share a window; every
+    stretch of a window is given, not the best alone, for a window may hold several.
     """
     windows: list[list[int]] = []
     for d, i in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
@@ -98,24 +136,40 @@ def stretches(item: list[str], doc: list[str], hits: list[tuple[int, int]], slac
                 break
         else:
             windows.append([lo, hi])
-    out = []
+    out = set()
     for lo, hi in windows:
         lo, hi = max(0, lo), min(len(doc), hi)
-        r = smith_waterman(item, doc[lo:hi])
-        if r[0]:
-            out.append((r[0], r[1], r[2], lo + r[3], lo + r[4]))
-    return out
+        for pairs in local_alignments(item, doc[lo:hi], min(LEAST_SCORE, 2 * len(item)), len(item) - 2):
+            out.add(tuple((i, lo + j) for i, j in pairs))
+    return [list(p) for p in sorted(out)]
+
+
+def _spanned(pairs: list[tuple[int, int]]) -> int:
+    return pairs[-1][0] - pairs[0][0] + 1 if pairs else 0
+
 
+def coverage(item: list[str], doc: list[str], hits: list[tuple[int, int]], pure: float = 0.75) -> tuple[int, int]:
+    """Matched words and spanned words of an item in a document: one stretch, or two in order with other text between.
 
-def coverage(item: list[str], doc: list[str], hits: list[tuple[int, int]]) -> tuple[int, int]:
-    """Matched words and spanned words of an item in a document: one stretch, or two in order with other text between."""
+    The most words of which the share `pure` of the spanned ones match; if none is so pure, the most.
+    """
     st = stretches(item, doc, hits)
-    best = (0, 0)
+    best = (False, 0, 0)
+
+    def offer(matched: int, spanned: int) -> None:
+        nonlocal best
+        best = max(best, (matched >= pure * spanned, matched, -spanned))
+
     for x in st:
-        best = max(best, (x[0], x[2] - x[1]))
+        # other text in the place of words of the item is an interruption too
+        offer(len(x), _spanned(x) - max((q[0] - p[0] - 1 for p, q in zip(x, x[1:])), default=0))
     for x in st:
         for y in st:
-            if x is not y and x[2] <= y[1] + 2 and x[4] <= y[3] + 2:
-                over = max(0, x[2] - y[1])
-                best = max(best, (x[0] + y[0] - over, x[2] - x[1] + y[2] - y[1] - over))
-    return best
+            if x[0][0] < y[0][0] and x[-1][0] < y[-1][0] and x[0][1] < y[0][1] and x[-1][1] < y[-1][1]:
+                if len(x) + len(y) < best[1]:
+                    continue
+                for cut in range(y[0][0], max(x[-1][0] + 1, y[0][0]) + 1):
+                    head = [p for p in x if p[0] < cut]
+                    tail = [p for p in y if p[0] >= cut and (not head or p[1] > head[-1][1])]
+                    offer(len(head) + len(tail), _spanned(head) + _spanned(tail))
+    return best[1], -best[2]

@@ -47,7 +47,7 @@ def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for d, i, dw, iw, hits in zip(b.doc_id, b.item_id, b.doc_words, b.item_words, b.hits):
-            matched, spanned = coverage(list(iw), list(dw), [(h["doc_pos"], h["item_pos"]) for h in hits])
+            matched, spanned = coverage(list(iw), list(dw), [(h["doc_pos"], h["item_pos"]) for h in hits], PURE)
             rows.append((d, i, len(iw), matched, spanned))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_length", "matched", "spanned"])
 
