@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.wording import canonical, name_string, same
+from quarrykit.llm.wording import FRAME_WORDS, canonical, frame_like, name_string, same, without_slips
 from quarrykit.session import checkpointed, spread
 
 EDITS = 4
-#: A word is spelt as it is meant if this many texts, and this share of all texts, have it.
-COMMON_TEXTS, COMMON_SHARE = 5, 0.0005
+#: A word is spelt as it is meant if it stands in this many contexts, unless it is a slip of a word so many times as frequent.
+COMMON_CONTEXTS, RARER = 5, 50
+#: Function words stand in nearly every text: a word one slip from one is meant as it is spelt from this share of all texts on.
+REAL_SHARE = 0.0005
 MOST_REPOS = 200_000
 
 
@@ -109,19 +111,34 @@ def _emit(side: str):
     return run
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each token of a class with a hash of the tokens around it, slips of frame words left out."""
     for b in batches:
-        keep = [
-            same(list(x), list(y), frozenset(c)) for x, y, c in zip(b.eval_tokens, b.train_tokens, b.common)
-        ]
-        yield b.loc[keep, ["eval_id", "train_id"]]
+        rows = []
+        for kind, toks in zip(b.record_kind, b.tokens):
+            kept = [t for t in toks if t != "§" and (t in FRAME_WORDS or not frame_like(t))]
+            rows += [(t, _key(kind, 0, 0, " ".join(x for x in kept if x != t))) for t in set(toks)]
+        yield pd.DataFrame(rows, columns=["token", "context"])
 
 
-def class_pairs(classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(texts: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y, c in zip(b.eval_tokens, b.train_tokens, b.common):
+                x, y, seen = list(x), list(y), {w["token"]: w["n"] for w in c}
+                real = frozenset(t for t, n in seen.items() if n >= REAL_SHARE * texts)
+                keep.append(same(x, y, without_slips(x, y, seen, COMMON_CONTEXTS, RARER), real=real))
+            yield b.loc[keep, ["eval_id", "train_id"]]
+
+    return run
+
+
+def class_pairs(classes: DataFrame) -> DataFrame:
     """Verified pairs (eval_id, train_id) of classes with a holdout and a tuning record.
 
-    classes: class_id, record_kind, tokens, names, holdout, tuning (counts); texts: one row for
-    each record with its tokens, from which it is counted how common a word is.
+    classes: class_id, record_kind, tokens, names, holdout, tuning (counts).  How common a word is, is
+    counted over the different contexts it stands in: copies of one text are one context.
     """
     ev = classes.where("holdout > 0").select("record_kind", "class_id", "names").mapInPandas(_emit("eval"), "key BIGINT, eval_id BIGINT")
     tr = spread(classes.where("tuning > 0").select("record_kind", "class_id", "names"), "class_id").mapInPandas(_emit("train"), "key BIGINT, train_id BIGINT")
@@ -134,14 +151,14 @@ def class_pairs(classes: DataFrame, texts: DataFrame) -> DataFrame:
     )
     exact = cand.where(F.col("eval_id") == F.col("train_id")).select("eval_id", "train_id")
     near = cand.where(F.col("eval_id") != F.col("train_id")).select("eval_id", "train_id", "eval_tokens", "train_tokens")
-    least = max(COMMON_TEXTS, COMMON_SHARE * texts.count())
-    seen = texts.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    common = seen.where(F.col("n") >= least).select("token")
+    seen = spread(classes.select("record_kind", "class_id", "tokens"), "class_id").mapInPandas(_contexts, "token STRING, context BIGINT")
+    seen = seen.groupBy("token").agg(F.countDistinct("context").alias("n"))
+    common = seen.where(F.col("n") >= COMMON_CONTEXTS)
     differing = near.select(
         "eval_id", "train_id", F.explode(F.array_distinct(F.concat("eval_tokens", "train_tokens"))).alias("token")
-    ).join(common, "token").groupBy("eval_id", "train_id").agg(F.collect_list("token").alias("common"))
-    checked = near.join(differing, ["eval_id", "train_id"], "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
-    return exact.unionByName(checked.mapInPandas(_verify, "eval_id BIGINT, train_id BIGINT"))
+    ).join(common, "token").groupBy("eval_id", "train_id").agg(F.collect_list(F.struct("token", "n")).alias("common"))
+    checked = near.join(differing, ["eval_id", "train_id"], "left").withColumn("common", F.coalesce("common", F.array().cast("array<struct<token:string,n:bigint>>")))
+    return exact.unionByName(checked.mapInPandas(_verify(classes.count()), "eval_id BIGINT, train_id BIGINT"))
 
 
 def overlaps(questions: DataFrame, support: DataFrame, repos: DataFrame) -> DataFrame:
@@ -154,7 +171,7 @@ def overlaps(questions: DataFrame, support: DataFrame, repos: DataFrame) -> Data
         F.count_if(F.col("split") == "holdout").alias("holdout"),
         F.count_if(F.col("split") == "tuning").alias("tuning"),
     )
-    pairs = class_pairs(classes, r)
+    pairs = class_pairs(classes)
     side = lambda split, name: r.where(F.col("split") == split).select(
         F.col("class_id").alias(f"{name}_id"), F.col("id").alias(f"{split}_id"), F.col("repo").alias(f"{split}_repo"), "record_kind"
     )

@@ -181,27 +181,40 @@ def name_string(tokens: list[str]) -> str:
 _FRAMES = FRAME_WORDS | {w for w in FUNCTION_WORDS if len(w) > 1}
 
 
-def _may_skip(t: str, common: frozenset[str]) -> bool:
-    return t in FRAME_WORDS or t == "§" or (t not in common and frame_like(t))
+def _may_skip(t: str, real: frozenset[str]) -> bool:
+    return t in FRAME_WORDS or t == "§" or (t not in real and frame_like(t))
 
 
-def same(a: list[str], b: list[str], common: frozenset[str], slips: float = 3) -> bool:
+def without_slips(a: list[str], b: list[str], seen: dict[str, int], least: int, ratio: int) -> frozenset[str]:
+    """The words of two texts that are spelt right: seen in `least` contexts, and not `ratio` times rarer than
+    the word one slip away that stands in the other text."""
+    out = {t for t in {*a, *b} if seen.get(t, 0) >= least}
+    for mine, others in ((set(a) - set(b), set(b) - set(a)), (set(b) - set(a), set(a) - set(b))):
+        for x in mine & out:
+            if any(seen.get(y, 0) >= ratio * seen[x] and osa(x, y, _most_slips(x, y)) <= _most_slips(x, y) for y in others):
+                out.discard(x)
+    return frozenset(out)
+
+
+def same(a: list[str], b: list[str], common: frozenset[str], slips: float = 3, real: frozenset[str] | None = None) -> bool:
     """Whether two canonical texts say the same.
 
     common: the words that are spelt right because many texts have them.  Two different
-    common words are different names, never a slip.
+    common words are different names, never a slip.  real: the words that are no slip of a function
+    word, which stands in nearly every text; if not given, the common ones.
     """
+    real = common if real is None else real
     if a == b:
         return True
     if not a or not b or abs(len(a) - len(b)) > 3:
         return False
     n, m = len(a), len(b)
     big = 99
-    skip = [_may_skip(t, common) for t in b]
+    skip = [_may_skip(t, real) for t in b]
     prev = [j if all(skip[:j]) else big for j in range(m + 1)]
     prev2 = None
     for i in range(1, n + 1):
-        skip_a = _may_skip(a[i - 1], common)
+        skip_a = _may_skip(a[i - 1], real)
         cost_a = 1 if a[i - 1] in FRAME_WORDS or a[i - 1] == "§" else 0.5
         cur = [prev[0] + cost_a if skip_a else big]
         for j in range(1, m + 1):
@@ -220,6 +233,11 @@ def same(a: list[str], b: list[str], common: frozenset[str], slips: float = 3) -
     return prev[m] <= slips
 
 
+def _most_slips(x: str, y: str) -> int:
+    shortest = min(len(x), len(y))
+    return 1 if shortest <= 4 else 2 if shortest <= 9 else 3
+
+
 def _token_cost(x: str, y: str, common: frozenset[str]) -> int:
     if x == y:
         return 0
@@ -227,7 +245,6 @@ def _token_cost(x: str, y: str, common: frozenset[str]) -> int:
         return 99
     if x in common and y in common:
         return 99
-    shortest = min(len(x), len(y))
-    most = 1 if shortest <= 4 else 2 if shortest <= 9 else 3
+    most = _most_slips(x, y)
     d = osa(x, y, most)
     return d if d <= most else 99

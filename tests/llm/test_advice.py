@@ -1,8 +1,20 @@
 """Cases that were once left out, problem by problem."""
 
+from quarrykit.llm import nearsplit as N
 from quarrykit.llm.alignment import coverage
 
 
+# ---- 3
+def test_a_slip_copied_often_stays_a_slip(spark):
+    repos = spark.createDataFrame([("a/one", "tuning"), ("b/two", "holdout")], "repo STRING, split STRING")
+    right = [(i, "a/one", f"Where is the {w} mask updated?") for i, w in enumerate("cache ledger parcel banner locale coupon".split())]
+    names = [(40 + i, r, f"Where is the {w} {x} stored?") for i, (r, w, x) in enumerate((r, w, x) for r, w in (("a/one", "parcel"), ("b/two", "parcels")) for x in "tray shelf crate ridge lamp moss".split())]
+    slips = [(20 + i, "b/two", "Where is the cache maks updated?") for i in range(8)]
+    qs = spark.createDataFrame(right + slips + names, "question_id BIGINT, repo STRING, question STRING")
+    sup = spark.createDataFrame([], "support_id BIGINT, repo STRING, claim STRING")
+    assert sorted((r.id_a, r.id_b) for r in N.found_pairs(qs, sup, repos).collect()) == [(0, 20 + i) for i in range(8)]
+
+
 # ---- 7
 def test_unequal_stretches_of_one_window():
     item = [f"w{i}" for i in range(57)]
