@@ -1,6 +1,6 @@
 """Canonical form of a short statement or question, and whether two of them say the same.
 
-A text is brought to one spelling, its core sentence is kept, repository names become one
+A text is brought to one spelling, remarks to the reader go, repository names become one
 token, fixed turns of phrase become one form, function words go.  What is left is compared
 token by token: tokens must be equal or differ by a slip of the key.
 """
@@ -79,12 +79,37 @@ def osa(a: str, b: str, most: int) -> int:
     return min(prev[len(b)], most + 1)
 
 
-def core(text: str) -> str:
-    """The longest sentence, without list marks, lead-in and closing remark."""
+# Words by which a sentence speaks to the reader, the verbs a request begins with, and words of remarks.
+_ADDRESS = frozenset("i i'm i'd i've im me my we us our you your please pls thanks thank thx sorry hi hello hey cheers".split())
+_REQUEST = frozenset("cite name see give show quote answer reply respond keep list note explain describe mention point check be".split())
+_REMARK = _ADDRESS | _REQUEST | frozenset("short brief briefly line lines code file files source sources path answer answers question quick urgent reference references".split())
+_IDENTIFIER = re.compile(r"`|[a-z][A-Z]|\w_\w|\d|[A-Za-z]\.[A-Za-z]|\w\(\)")
+_ASKING = re.compile(r"(?i)\b(?:what|which|where|why|how|who|when|whose)\b")
+
+
+def _is_remark(sentence: str) -> bool:
+    """Whether a sentence only speaks to the reader: it names no code and asks nothing about it."""
+    if _IDENTIFIER.search(sentence) or (sentence.rstrip(" \"')]").endswith("?") and _ASKING.search(sentence)):
+        return False
+    w = [x.lower().replace("’", "'") for x in _WORD.findall(sentence)]
+    if not w or _ADDRESS & set(w) or w[0] in _REQUEST:
+        return True
+    if len(w) <= 4 and any(osa(w[0], x, 1) <= 1 for x in _REQUEST if len(x) > 2):
+        return True
+    return all(x in FUNCTION_WORDS or any(osa(x, y, 1) <= (len(y) > 3) for y in _REMARK) for x in w)
+
+
+def statements(text: str) -> list[str]:
+    """All sentences but remarks to the reader, without list marks and lead-in; the longest if all are remarks."""
     t = unicodedata.normalize("NFKC", text).translate(_ZERO).strip()
     t = re.sub(r"\s*\([^()]{0,40}\)\s*$", "", t)
     parts = [p for p in _SENTENCE.split(t) if p and p.strip()]
-    t = max(parts, key=lambda p: (len(_WORD.findall(p)), len(p))) if parts else t
+    if len(parts) > 1:
+        parts = [p for p in parts if not _is_remark(p)] or [max(parts, key=lambda p: (len(_WORD.findall(p)), len(p)))]
+    return [_without_lead(p) for p in parts]
+
+
+def _without_lead(t: str) -> str:
     for _ in range(3):
         before = t
         t = _LEAD.sub("", t.strip())
@@ -138,9 +163,10 @@ def canonical(text: str | None, repos: frozenset[str]) -> list[str]:
 
     Identifiers lose their case and underscores; a repository's short name becomes "§".
     """
-    if not text:
-        return []
-    t = core(text)
+    return [w for t in statements(text) for w in _canonical_sentence(t, repos)] if text else []
+
+
+def _canonical_sentence(t: str, repos: frozenset[str]) -> list[str]:
     words = []
     for w in _WORD.findall(t):
         low = w.lower().replace("’", "'")

@@ -2,6 +2,7 @@
 
 from quarrykit.llm import nearsplit as N
 from quarrykit.llm.alignment import coverage
+from quarrykit.llm.wording import canonical, same
 
 
 # ---- 3
@@ -15,6 +16,15 @@ def test_a_slip_copied_often_stays_a_slip(spark):
     assert sorted((r.id_a, r.id_b) for r in N.found_pairs(qs, sup, repos).collect()) == [(0, 20 + i) for i in range(8)]
 
 
+def test_all_sentences_but_remarks_are_compared():
+    can = lambda t: canonical(t, frozenset())
+    for t in ["Where is X defined? I need this for the audit of tomorrow.", "We are new to all of this here.\nWhere is X defined?", "Where is X defined? Sort answer, please.", "Where is X defined? (see code) Please cite the lines."]:
+        assert can(t) == can("Where is X defined?"), t
+    first = "The cache mask is dropped once the last reader is gone."
+    assert not same(can(first + " The ledger is kept."), can(first + " The parcel is sent."), frozenset(["ledger", "parcel", "kept", "sent"]))
+    assert not same(can(first), can(first + "\nThe parcel is sent over."), frozenset())
+
+
 # ---- 7
 def test_unequal_stretches_of_one_window():
     item = [f"w{i}" for i in range(57)]
