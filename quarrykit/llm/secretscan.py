@@ -60,7 +60,7 @@ _RANDOM_ARG = re.compile(r"[(,][ \t]*[\"'`]([A-Za-z0-9]{32,64})[\"'`][ \t]*[,)]"
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`", re.S)
 _ARRAY_JOIN = re.compile(r"\[((?:\s*(?:\"[^\"\n\\]*\"|'[^'\n\\]*')\s*,?)+)\]\s*\.join\(\s*(?:\"\"|''|``)\s*\)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/=_-])")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/=_-])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:0x)?((?:[0-9a-fA-F]{2}){12,})(?![A-Za-z0-9])")
 _PCT = re.compile(r"[A-Za-z0-9_.~+-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+-]*){3,}")
 _ESC1 = re.compile(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\u\{([0-9a-fA-F]+)\}|\\([0-7]{3})")
@@ -440,28 +440,36 @@ def _decoded_kind(s: str, a: int, t, depth: int):
 def _scan_joined(s: str, depth: int):
     found = []
     for text, spans in _joined(s):
-        if len(text) > 4_000 and "PRIVATE KEY" not in text:
-            continue
         a, b = spans[0][0], spans[-1][1]
         strength = _names_before(s, a)
-        inner = scan_layer(text, depth)
-        hit = bool(inner) or "PRIVATE KEY" in text and _PEM.search(text) is not None or bool(strength and credible(text, strength + 1))
-        if not hit and depth < MAX_DEPTH:
-            hit = any(_decoded_kind(text, x, t, depth) for x, _, t in _decoded(text))
-        if not hit:
-            hit = 2 <= len(spans) <= 4 and random_looking(text) and _NOT_SECRET.search(text[:8]) is None
-        if hit:
-            if len(inner) == 1 and inner[0][2] == "url_password":
-                off = inner[0][0]  # point at the piece in which the value begins
-                for x, y in spans:
-                    if off < y - x:
-                        a = x + off
-                        break
-                    off -= y - x
+        if "PRIVATE KEY" in text and _PEM.search(text) or strength and credible(text, strength + 1):
+            found.append((a, b, "joined", depth))
+            continue
+        values = [(x, y) for x, y, *_ in scan_layer(text, depth)]
+        if depth < MAX_DEPTH:
+            values += [(x, y) for x, y, t in _decoded(text) if _decoded_kind(text, x, t, depth)]
+        if values:
+            found += [(*_in_pieces(spans, x, y), "joined", depth) for x, y in values]
+        elif len(spans) >= 2 and random_looking(text) and _NOT_SECRET.search(text[:8]) is None:
             found.append((a, b, "joined", depth))
     return found
 
 
+def _in_pieces(spans: list[tuple[int, int]], x: int, y: int) -> tuple[int, int]:
+    """Place in the source of the characters x to y of a joined text, whatever stands between its pieces."""
+    start = end = None
+    at = 0
+    for a, b in spans:
+        n = b - a
+        if start is None and x < at + n:
+            start = a + x - at
+        if y <= at + n:
+            end = a + y - at
+            break
+        at += n
+    return spans[0][0] if start is None else start, spans[-1][1] if end is None else end
+
+
 def _merge(s: str, found):
     """Overlapping findings become one; it keeps the earliest start, the kind of the widest part."""
     out: list[list] = []

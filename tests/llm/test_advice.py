@@ -1,7 +1,10 @@
 """Cases that were once left out, problem by problem."""
 
+import base64
+
 from quarrykit.llm import nearsplit as N
 from quarrykit.llm.alignment import coverage
+from quarrykit.llm.secretscan import redact, scan
 from quarrykit.llm.wording import canonical, same
 
 
@@ -25,6 +28,21 @@ def test_all_sentences_but_remarks_are_compared():
     assert not same(can(first), can(first + "\nThe parcel is sent over."), frozenset())
 
 
+# ---- 4
+def test_joined_pieces_of_any_number_and_length():
+    token = "ghp_" + "H6p71aKpLodsh5yxopBhDKzILWRh5VWfwgcH"
+    prose = [f"the ledger of row {i} is shown below the table, " for i in range(120)]
+    lines = [*prose, "mail it with " + token[:15], token[15:] + " and go on, ", *prose]
+    code = "const text =\n  " + " +\n  ".join(f'"{x}"' for x in lines) + ";\n"
+    found = scan(code)
+    assert [code.count("\n", 0, a) + 1 for a, *_ in found] == [122]
+    r = redact(code, found)
+    assert token[4:15] not in r and token[15:] not in r and len(r) == len(code) and r.count("ledger") == 240
+    key = "hGaLWZooC9YM6LoU46xLK4xwf0bNORDh2dt53oNZ"
+    assert scan("x = " + " + ".join(f'"{key[i : i + 8]}"' for i in range(0, 40, 8)))
+    assert scan("CFG=" + base64.b64encode(f'{{"api_key": "{token}"}}'.encode()).decode())
+
+
 # ---- 7
 def test_unequal_stretches_of_one_window():
     item = [f"w{i}" for i in range(57)]
