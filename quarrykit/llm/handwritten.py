@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +24,25 @@ from quarrykit.session import checkpointed, spread
 
 CODE_PATH = r"(?i)\.(?:js|mjs|cjs|jsx|ts|tsx)$"
 OWNERS = 3  # fewest unrelated owners in whose files a recurring fingerprint stands
-SHARE = 0.9  # least share of a file's fingerprints that recur
-FEWEST = 16  # fewest fingerprints on which the share is trusted
+# A recurring fingerprint comes from the one file of least hash that holds it.  Those of a library come from one
+# file, whatever was edited in the copy; imports and boilerplate that files have in common come from many.
+FEWEST, SHARE = 16, 0.5  # least share of a file's fingerprints that recur and come from one file, if it has so many
+FEWEST_SHORT, SHARE_SHORT = 6, 0.75  # the same for shorter files
+FEWEST_TOKENS = 40  # a file of still fewer fingerprints is a copy if its whole token stream, so long at least, recurs
 
-FEATURES = "file_id BIGINT, repo STRING, path STRING, reasons ARRAY<STRING>, prints ARRAY<BIGINT>"
+FEATURES = "file_id BIGINT, repo STRING, path STRING, reasons ARRAY<STRING>, prints ARRAY<BIGINT>, stream BIGINT"
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        reasons, prints = [], []
+        reasons, prints, streams = [], [], []
         for path, text in zip(b.path, b.content):
             toks = tokens(text) if text else []
             reasons.append(evidence(path, text, toks) if toks else [])
             prints.append(fingerprints(toks))
-        yield pd.DataFrame({"file_id": b.file_id, "repo": b.repo, "path": b.path, "reasons": reasons, "prints": prints})
+            short = len(prints[-1]) < FEWEST and len(toks) >= FEWEST_TOKENS
+            streams.append(xxhash.xxh64_intdigest("\0".join(toks).encode("utf-8", "surrogatepass")) - (1 << 63) if short else None)
+        yield pd.DataFrame({"file_id": b.file_id, "repo": b.repo, "path": b.path, "reasons": reasons, "prints": prints, "stream": pd.array(streams, "Int64")})
 
 
 def features(files: DataFrame) -> DataFrame:
@@ -54,16 +60,24 @@ def classified(files: DataFrame) -> DataFrame:
     f = checkpointed(features(files))
     owner = F.xxhash64(F.coalesce(F.split_part("repo", F.lit("/"), F.lit(1)), F.lit("")))
     prints = f.select("file_id", owner.alias("owner"), F.explode("prints").alias("print"))
-    recurring = prints.select("print", "owner").distinct().groupBy("print").agg(F.count("*").alias("owners")).where(F.col("owners") >= OWNERS).select("print")
-    shared = prints.select("file_id", "print").join(recurring, "print").groupBy("file_id").agg(F.count("*").alias("shared"))
+    recurring = (
+        prints.groupBy("print", "owner").agg(F.min(F.xxhash64("file_id")).alias("source"))
+        .groupBy("print").agg(F.count("*").alias("owners"), F.min("source").alias("source"))
+        .where(F.col("owners") >= OWNERS).select("print", "source")
+    )
+    shared = (
+        prints.select("file_id", "print").join(recurring, "print").groupBy("file_id", "source").agg(F.count("*").alias("n"))
+        .groupBy("file_id").agg(F.sum("n").alias("shared"), F.max("n").alias("same"))
+    )
+    streams = f.select("stream", owner.alias("owner")).where("stream IS NOT NULL").distinct().groupBy("stream").agg(F.count("*").alias("stream_owners"))
+    n, same = F.col("prints"), F.coalesce("same", F.lit(0)) / F.greatest("prints", F.lit(1))
+    copied = ((n >= FEWEST) & (same >= SHARE)) | ((n >= FEWEST_SHORT) & (same >= SHARE_SHORT)) | (F.coalesce("stream_owners", F.lit(0)) >= OWNERS)
     return (
-        f.select("file_id", "repo", "path", "reasons", F.size("prints").alias("prints"))
+        f.select("file_id", "repo", "path", "reasons", F.size("prints").alias("prints"), "stream")
         .join(shared, "file_id", "left")
+        .join(streams.where(F.col("stream_owners") >= OWNERS), "stream", "left")
         .withColumn("shared_share", F.round(F.coalesce("shared", F.lit(0)) / F.greatest("prints", F.lit(1)), 6))
-        .withColumn(
-            "reasons",
-            F.when((F.col("prints") >= FEWEST) & (F.col("shared_share") >= SHARE), F.array_append("reasons", F.lit("vendored-copy"))).otherwise(F.col("reasons")),
-        )
+        .withColumn("reasons", F.when(copied, F.array_append("reasons", F.lit("vendored-copy"))).otherwise(F.col("reasons")))
         .select("file_id", "repo", "path", "reasons", "prints", "shared_share", (F.size("reasons") == 0).alias("handwritten"))
     )
 

@@ -1,13 +1,29 @@
 """Cases that were once left out, problem by problem."""
 
 import base64
+import random
 
+from quarrykit.llm import handwritten as H
 from quarrykit.llm import nearsplit as N
 from quarrykit.llm.alignment import coverage
 from quarrykit.llm.secretscan import redact, scan
 from quarrykit.llm.wording import canonical, same
 
 
+# ---- 2
+def test_edited_and_small_libraries(spark):
+    rng = random.Random(21)
+    w = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    line = lambda: f"  {w()}({w()}.{w()}, {w()});"
+    lib = [line() for _ in range(40)]
+    small = "function pad(a, b) {\n" + "\n".join(line() for _ in range(5)) + "\n}\n"
+    edited = [x if k % 9 else line() for k, x in enumerate(lib)]
+    rows = [(i, f"o{i}/x", "src/util.js", "\n".join(lib)) for i in range(4)] + [(9, "o9/x", "src/a.js", "\n".join(edited))]
+    rows += [(20 + i, f"o{i}/x", "src/pad.js", small) for i in range(3)] + [(30, "o9/x", "src/own.js", "\n".join(line() for _ in range(40)))]
+    df = spark.createDataFrame(rows, "file_id BIGINT, repo STRING, path STRING, content STRING")
+    assert sorted(r.file_id for r in H.not_handwritten(df).collect()) == [0, 1, 2, 3, 9, 20, 21, 22]
+
+
 # ---- 3
 def test_a_slip_copied_often_stays_a_slip(spark):
     repos = spark.createDataFrame([("a/one", "tuning"), ("b/two", "holdout")], "repo STRING, split STRING")
