@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import math
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -71,28 +73,33 @@ def partitions(spark: SparkSession, least: int = 0) -> int:
 
 
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Rows spread evenly by a hash of the keys for a step that costs far more CPU than its shuffle."""
+    """Rows spread evenly by a hash of the keys for a step that costs far more CPU than its shuffle.
+
+    Without keys each row is spread by its place in the scan, which is the same when a task is run
+    again: copies of one row, however many, do not meet in one task.  The step's narrow results are made
+    distinct after it, so no text is sorted.
+    """
     ship(df.sparkSession)
-    return df.repartition(partitions(df.sparkSession), *keys)
+    return df.repartition(partitions(df.sparkSession), *(keys or [F.xxhash64(F.monotonically_increasing_id())]))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
 
     The folder is read from spark.checkpoint.dir; a private one is set only where that is
-    unset, as in tests on one machine.
+    unset and all executors are threads of this process, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         d = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(d or os.path.join(tempfile.gettempdir(), "quarrykit-checkpoints"))
+        if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            d = tempfile.mkdtemp(prefix="quarrykit-checkpoints-")
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
+        sc.setCheckpointDir(d)
     return df.checkpoint()
 
 
-def salted(key: Column, salt_source: Column, buckets: int) -> list[Column]:
-    """The key and a salt by which a hot key is split over so many partitions."""
-    return [key, F.pmod(F.xxhash64(salt_source), F.lit(buckets))]
-
-
 def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, math.ceil(rows / per_bucket))
