@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 
 # Characters that look like Latin letters or digits, and the letters they stand for.
@@ -48,9 +49,32 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(normal_text(text)) if text else []
 
 
+_hash: dict[str, int] = {}
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _hashed(w: str) -> int:
+    h = _hash.get(w)
+    if h is None:
+        h = xxhash.xxh64_intdigest(w)
+        if len(w) <= 40:
+            if len(_hash) >= 200_000:
+                _hash.clear()
+            _hash[w] = h
+    return h
+
+
 def gram_hashes(ws: list[str], n: int) -> list[int]:
     """A 64-bit hash of every run of n words, by position."""
-    return [xxhash.xxh64_intdigest(" ".join(ws[i : i + n])) - (1 << 63) for i in range(len(ws) - n + 1)]
+    if n < 1 or len(ws) < n:
+        return []
+    h = np.fromiter(map(_hashed, ws), np.uint64, len(ws))
+    roll = np.zeros(len(ws) - n + 1, np.uint64)
+    for j in range(n):
+        roll = roll * _BASE + h[j : j + len(roll)]
+        roll ^= roll >> np.uint64(31)
+    roll *= _MIX
+    return (roll ^ (roll >> np.uint64(29))).view(np.int64).tolist()
 
 
 def local_alignments(a: list[str], b: list[str], least: int = 1, enough: int | None = None) -> Iterator[list[tuple[int, int]]]:

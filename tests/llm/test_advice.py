@@ -4,6 +4,7 @@ import base64
 import random
 
 from quarrykit.llm import handwritten as H
+from quarrykit.llm import leakage as L
 from quarrykit.llm import nearsplit as N
 from quarrykit.llm.alignment import coverage
 from quarrykit.llm.secretscan import redact, scan
@@ -67,3 +68,28 @@ def test_unequal_stretches_of_one_window():
         assert coverage(item, doc, hits(doc)) == (32, 32)
     swapped = item[12:32] + ["x"] * 30 + item[:12]
     assert coverage(item, swapped, hits(swapped)) == (20, 20)
+
+
+def test_copied_and_short_passages(spark):
+    rng = random.Random(7)
+    w = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long, shorts = w(40), [w(1), w(2), w(3), w(4)]
+    items = [(i, "r", "k", long if i % 2 else long.upper() + "!") for i in range(6)] + [(10 + i, "r", "k", t) for i, t in enumerate(shorts)]
+    docs = [(1, f"{w(9)} {long} {w(9)}")] + [(2 + i, f"{w(5)} {t}. {w(5)}") for i, t in enumerate(shorts)] + [(9, w(60))]
+    p = spark.createDataFrame(items, "item_id BIGINT, repo STRING, kind STRING, text STRING")
+    got = L.found(spark.createDataFrame(docs * 2, "doc_id BIGINT, text STRING"), p).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, i) for i in range(6)] + [(2 + i, 10 + i) for i in range(4)]
+
+
+def test_no_leak_has_fewer_seeds_than_needed(spark):
+    """Half of a passage in two stretches, one word in eight changed: always more seeds than are asked for."""
+    rng = random.Random(8)
+    for n in (8, 20, 33, 57, 84, 200):
+        item = [f"v{i}" for i in range(n)]
+        for _ in range(40):
+            cut, half = rng.randint(0, n // 2), -(-n // 2)
+            held = [x if k % 8 != 4 else "zz" for k, x in enumerate(item[cut : cut + half + half // 7])]
+            at = rng.randint(0, len(held))
+            doc = held[:at] + ["other"] * 30 + held[at:]
+            own = {tuple(item[i : i + 3]) for i in range(n - 2)}
+            assert sum(tuple(doc[i : i + 3]) in own for i in range(len(doc) - 2)) >= L.least_seeds(n) or sum(x in item for x in held) < half
