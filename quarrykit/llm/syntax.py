@@ -5,8 +5,7 @@ syntax error is followed by panic-mode recovery, so that every error of a file i
 
 Defined results: null content counts as an empty file; an empty code file is valid, an empty
 JSON file is not; a leading byte-order mark is valid; a null path or one of no checked
-language gives no row; repeated rows give one row; nesting deeper than the parser's stack
-is status "unparsed", with one error, and is not reported as invalid.
+language gives no row; repeated rows give one row; nesting of any depth is parsed.
 """
 
 from __future__ import annotations
@@ -20,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.jsgrammar import FLOW, JS, TS, TSX, check
+from quarrykit.llm.jsgrammar import FLOW, JS, TS, TSX, check, room_for
 from quarrykit.session import spread
 
 JSON, JSONC = "json", "jsonc"
 LANGUAGE = {JS: "javascript", FLOW: "javascript", TS: "typescript", TSX: "tsx", JSON: "config", JSONC: "config"}
+DIALECTS = (JS, FLOW, TS, TSX, JSON, JSONC)
 CODE_PATH = r"\.(?:js|mjs|cjs|jsx|ts|tsx)$"
 CHECKED_PATH = r"(?i)\.(?:js|mjs|cjs|jsx|ts|tsx)$|(?:^|/)(?:package|tsconfig[^/]*)\.json$"
 _FIRST_COMMENT = re.compile(r"﻿?(?:#![^\n]*\n)?\s*(/\*[\s\S]*?\*/|(?://[^\n]*(?:\n[ \t]*|\Z))+)")
@@ -57,70 +57,97 @@ def dialect_of(path: str | None, text: str) -> str | None:
     if not path:
         return None
     d = _by_name(path.rsplit("/", 1)[-1])
-    if d == JS and "@flow" in text[:20_000]:
+    if d == JS and "@flow" in text:
         m = _FIRST_COMMENT.match(text)
         if m and re.search(r"@flow\b", m[1]):
             return FLOW
     return d
 
 
+class _Fault(Exception):
+    """A syntax error of a JSON text, already recorded."""
+
+
+class _End(Exception):
+    """The end of a JSON text within a value."""
+
+
 def check_json(text: str, comments: bool) -> list[tuple[int, str]]:
-    """Errors of a JSON text; ``comments`` also allows comments and trailing commas.  The first one ends it."""
-    pos = 1 if text[:1] == "﻿" else 0
+    """All errors of a JSON text; ``comments`` also allows comments and trailing commas.
 
-    def token():
-        nonlocal pos
+    Recursive descent; after an error the rest of the member is skipped up to the comma or bracket that ends it.
+    """
+    room_for(text)
+    pos = 1 if text[:1] == "\ufeff" else 0
+    errors: list[tuple[int, str]] = []
+    kind, value, start = 0, "", 0
+
+    def advance() -> None:
+        nonlocal pos, kind, value, start
         if comments:
             pos = _JSONC_SKIP.match(text, pos).end()
         m = _JSON_TOKEN.match(text, pos)
-        pos = m.end()
-        return m.lastindex, m[m.lastindex], m.start(m.lastindex)
-
-    def fail(t):
-        return [(t[2], "unexpected end of file" if t[0] == 5 else "malformed string" if t[1] == '"' else f"unexpected {t[1][:20]!r}")]
-
-    stack: list[str] = []
-    state = "value"
-    while True:
-        t = token()
-        k, v, _ = t
-        if state in ("value", "first"):
-            if k == 1 and v in "{[":
-                stack.append(v)
-                state = "key1" if v == "{" else "first"
-                continue
-            if k == 1 and v == "]" and state == "first":
-                stack.pop()
-            elif k == 1 and v == "]" and comments and stack and stack[-1] == "[":
-                stack.pop()
-            elif k not in (2, 3, 4):
-                return fail(t)
-            state = "after"
-        elif state in ("key", "key1"):
-            if k == 2:
-                c = token()
-                if c[1] != ":" or c[0] != 1:
-                    return fail(c)
-                state = "value"
-                continue
-            if k == 1 and v == "}" and (state == "key1" or comments):
-                stack.pop()
-                state = "after"
-            else:
-                return fail(t)
+        pos, kind, value, start = m.end(), m.lastindex, m[m.lastindex], m.start(m.lastindex)
+
+    def fault() -> None:
+        errors.append((start, "unexpected end of file" if kind == 5 else "malformed string" if value == '"' else f"unexpected {value[:20]!r}"))
+        raise _End if kind == 5 else _Fault
+
+    def skip_member() -> None:
+        depth = 0
+        while kind != 5:
+            if kind == 1:
+                if depth == 0 and value in ",]}":
+                    return
+                depth += (value in "{[") - (value in "}]")
+            advance()
+        raise _End
+
+    def item() -> None:
+        if kind == 1 and value == "{":
+            container("}", member)
+        elif kind == 1 and value == "[":
+            container("]", item)
+        elif kind in (2, 3, 4):
+            advance()
         else:
-            if k == 5:
-                return [] if not stack else fail(t)
-            if not stack or k != 1:
-                return fail(t)
-            if v == ",":
-                state = "key" if stack[-1] == "{" else "value"
-                continue
-            if (v == "}" and stack[-1] == "{") or (v == "]" and stack[-1] == "["):
-                stack.pop()
-            else:
-                return fail(t)
-            state = "after"
+            fault()
+
+    def member() -> None:
+        if kind != 2:
+            fault()
+        advance()
+        if kind != 1 or value != ":":
+            fault()
+        advance()
+        item()
+
+    def container(closer: str, part) -> None:
+        advance()
+        first = True
+        while not (kind == 1 and value == closer and (first or comments)):
+            first = False
+            try:
+                part()
+                if kind != 1 or value not in (",", closer):
+                    fault()
+            except _Fault:
+                skip_member()
+                if value != ",":
+                    break
+            if value == closer:
+                break
+            advance()
+        advance()
+
+    try:
+        advance()
+        item()
+        if kind != 5:
+            fault()
+    except (_Fault, _End):
+        pass
+    return errors
 
 
 def errors_of(text: str, dialect: str) -> list[tuple[int, str]]:
@@ -129,23 +156,30 @@ def errors_of(text: str, dialect: str) -> list[tuple[int, str]]:
     return check(text, dialect)
 
 
+_CONFLICT = re.compile(r"[ \t]*(?:<{7}|={7}|>{7}|\|{7})(?:[ \t\r\n]|\Z)")
+
+
 def first_cause(text: str, at: int, message: str) -> str:
-    """Class of the first error."""
-    if re.search(r"(?m)^[ \t]*(?:<{7}|={7}|>{7}|\|{7})(?:[ \t\r]|$)", text):
+    """Class of the first error.  A conflict marker counts only where the parser stumbles over it: on the line of the error or the one before."""
+    line = text.rfind("\n", 0, at) + 1
+    if _CONFLICT.match(text, line) or line and _CONFLICT.match(text, text.rfind("\n", 0, line - 1) + 1):
         return "merge-conflict"
     if "end of file" in message or "unterminated" in message:
         return "truncated"
-    if re.match(r"diff --git |--- [ab]/|@@ -\d", text.lstrip("﻿ \n")):
+    if re.match(r"diff --git |--- [ab]/|@@ -\d", text.lstrip("\ufeff \n")):
         return "patch"
-    if at <= 64 and re.match(r"\s*(?:<!DOCTYPE|<html|<\?xml|#!/bin/|# |import \w+, |SELECT\b|\{|version\b|\d{3}:|Access )", text.lstrip("﻿"), re.I):
+    if at <= 64 and re.match(r"\s*(?:<!DOCTYPE|<html|<\?xml|#!/bin/|# |import \w+, |SELECT\b|\{|version\b|\d{3}:|Access )", text.lstrip("\ufeff"), re.I):
         return "other-language"
     if "outside" in message or message in ("unexpected '}'", "unexpected ')'", "unexpected 'case'"):
         return "missing-start"
     return "malformed"
 
 
-def parse(path: str | None, text: str | None) -> dict | None:
-    """Everything problem 1 stores of one file, or None if its language is not checked."""
+def parse(path: str | None, text: str | None, acceptance: bool = True) -> dict | None:
+    """Everything problem 1 stores of one file, or None if its language is not checked.
+
+    accepted_by holds every dialect that the text is valid in; without ``acceptance`` only its own is tried.
+    """
     text = text or ""
     d = dialect_of(path, text)
     if d is None:
@@ -158,19 +192,13 @@ def parse(path: str | None, text: str | None) -> dict | None:
             starts = [0] + [m.end() for m in re.finditer("\n", text)]
         line = bisect_right(starts, at)
         out.append({"line": line, "col": at - starts[line - 1] + 1, "message": what})
-    status = "valid" if not errors else "unparsed" if errors[0][1] == "nesting too deep" else "invalid"
-    accepted = [d] if not errors else []
-    if status == "invalid" and text:
-        for other in (JS, FLOW, TS, TSX, JSON, JSONC):
-            if other != d and not errors_of(text, other):
-                accepted.append(other)
     return {
         "dialect": d,
         "language": LANGUAGE[d],
-        "status": status,
+        "status": "invalid" if errors else "valid",
         "errors": out,
-        "first_cause": first_cause(text, *errors[0]) if status == "invalid" else None,
-        "accepted_by": accepted,
+        "first_cause": first_cause(text, *errors[0]) if errors else None,
+        "accepted_by": [x for x in DIALECTS if (not errors if x == d else acceptance and not errors_of(text, x))],
     }
 
 
@@ -180,27 +208,35 @@ SCHEMA = (
 )
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse_batches(acceptance: bool):
     names = ["file_id", "build_id", "repo", "path", "dialect", "language", "status", "errors", "first_cause", "accepted_by"]
-    for b in batches:
-        rows = []
-        for i, build, repo, path, text in zip(b.file_id, b.build_id, b.repo, b.path, b.content):
-            if (p := parse(path, text)) is not None:
-                rows.append((i, build, repo, path, p["dialect"], p["language"], p["status"], p["errors"], p["first_cause"], p["accepted_by"]))
-        yield pd.DataFrame(rows, columns=names).astype({"file_id": "Int64", "build_id": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, build, repo, path, text in zip(b.file_id, b.build_id, b.repo, b.path, b.content):
+                if (p := parse(path, text, acceptance)) is not None:
+                    rows.append((i, build, repo, path, p["dialect"], p["language"], p["status"], p["errors"], p["first_cause"], p["accepted_by"]))
+            yield pd.DataFrame(rows, columns=names).astype({"file_id": "Int64", "build_id": "Int64"})
+
+    return run
+
+
+def _parsed(files: DataFrame, acceptance: bool) -> DataFrame:
+    src = files.select("file_id", "build_id", "repo", "path", "content").where(F.col("path").rlike(CHECKED_PATH))
+    return spread(src).mapInPandas(_parse_batches(acceptance), SCHEMA)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """One row per checked file with its status, all its errors and the dialects that accept it.
+    """One row per checked file with its status, all its errors, the first cause and every dialect that accepts it.
 
     files: file_id, build_id, repo, path, content; further columns are ignored.
     """
-    src = files.select("file_id", "build_id", "repo", "path", "content").where(F.col("path").rlike(CHECKED_PATH))
-    return spread(src, "file_id").dropDuplicates(["file_id"]).mapInPandas(_parse_batches, SCHEMA)
+    return _parsed(files, True).dropDuplicates(["file_id"])
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
-    return parse_files(files).where(F.col("status") == "invalid").select("file_id")
+    return _parsed(files, False).where(F.col("status") == "invalid").select("file_id").distinct()
 
 
 def rates(files: DataFrame) -> DataFrame:
@@ -219,7 +255,7 @@ def rates(files: DataFrame) -> DataFrame:
 
 def against_reports(files: DataFrame, indexes: DataFrame) -> DataFrame:
     """What the indexing runs reported of JavaScript files against what the parser finds, for each build."""
-    p = parse_files(files).where(F.col("language") == "javascript")
+    p = _parsed(files.where(F.col("path").rlike(r"(?i)\.(?:js|mjs|cjs|jsx)$")), False).select("file_id", "build_id", "status").dropDuplicates(["file_id"])
     seen = p.groupBy("build_id").agg(F.count("*").alias("js_measured"), F.count_if(F.col("status") == "invalid").alias("errors_measured"))
     told = indexes.dropDuplicates(["build_id"]).select("build_id", "repo", F.col("js_files").alias("js_reported"), F.col("with_errors").alias("errors_reported"))
     return told.join(seen, "build_id", "left").fillna(0, ["js_measured", "errors_measured"])

@@ -66,7 +66,9 @@ def test_never_hangs_on_noise():
 
 
 def test_deep_and_long_texts():
-    assert S.parse("a.js", "[" * 50_000 + "]" * 50_000)["status"] in ("unparsed", "valid")
+    assert S.parse("a.js", "[" * 50_000 + "]" * 50_000)["status"] == "valid"
+    assert S.parse("a.js", "x = " + "[" * 3_000)["status"] == "invalid" and S.parse("package.json", "[" * 20_000)["status"] == "invalid"
+    assert S.dialect_of("a.js", "/*" + " licence\n" * 9_000 + " @flow */\nlet a: number;") == "flow"
     assert S.parse("a.js", "a = 1;\n" * 50_000)["status"] == "valid"
     assert S.parse("a.js", "x = " + "a + " * 20_000 + "b")["status"] == "valid"
 
@@ -102,3 +104,11 @@ def test_frame_with_dirt(spark):
     got = {r.file_id: r for r in S.parse_files(df).collect()}
     assert got[1].first_cause == "truncated" and "ts" in got[7].accepted_by and got[3].status == "valid"
     assert S.rates(df.where("false")).count() == 0
+
+
+def test_all_json_errors_acceptance_and_cause():
+    assert [a for a, _ in S.check_json('[1, x, {"a" 1, "b": ?}, 2 3]', False)] == [4, 12, 20, 26]
+    assert len(S.check_json('{"a": [1, 2}, "b": }', False)) == 2 and S.check_json("[1] 2", False) and S.check_json("[1,]", False)
+    assert S.parse("a.ts", "export const a = 1;")["accepted_by"] == ["js", "flow", "ts", "tsx"] and S.parse("a.js", "export const a = 1;", False)["accepted_by"] == ["js"]
+    assert S.parse("a.js", "/*\n=======\n*/\nfunction f() {")["first_cause"] == "truncated"
+    assert S.parse("a.js", "f();\n<<<<<<< HEAD\ng();\n=======\nh();\n>>>>>>> x\n")["first_cause"] == "merge-conflict"
