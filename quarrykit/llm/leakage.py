@@ -9,7 +9,8 @@ may be left out as the count can spare.
 Defined results: null or empty documents and passages are in no pair; repeated rows count once; a
 document may hold several passages and a passage may stand in any number of documents;
 passages of the same words are searched for once and all reported; a passage of fewer words
-than a seed is looked for as one seed of all its words.
+than a seed is looked for as one seed of all its words; a stretch of fewer words than a seed
+counts for nothing.
 """
 
 from __future__ import annotations

@@ -29,7 +29,6 @@ _NO_EDIT = re.compile(
     r"(?i)\bdo not (?:edit|modify|change|touch)\b|\bdon'?t (?:edit|modify) (?:this|by hand)|never (?:by hand|edit)|hand[- ]edits? do(?:es)? not|manual (?:edits|changes) will be|"
     r"changes (?:to this file )?will be (?:lost|overwritten)|please edit \S+ instead|will be overwritten|edits? (?:here )?(?:are|will be) lost|not edit(?:ed)? by hand"
 )
-_TAIL = re.compile(r"(?:\A|\n)[ \t]*(//[^\n]*|/\*(?:(?!\*/)[\s\S])*\*/)\s*\Z")
 _OUTPUT = re.compile(
     r"(?i)^[/*!\s]*(?:end of (?:generated |tool |compiler )?(?:output|code|file)\b.*\b(?:of|by|from)\b|[\w.-]+: \d+ (?:lines?|symbols?|files?|bytes) (?:emitted|generated|written|produced)"
     r"|(?:auto-?)?(?:generated|emitted|produced|wrote) \d+ \w+ (?:from|by|with)\b|(?:auto-?)?generated (?:by|from)\b)|\bdo not edit\b"
@@ -148,15 +147,39 @@ def head_comment(text: str) -> str:
     return m[1] if m else ""
 
 
+def tail_comment(text: str) -> str:
+    """The comment on lines of its own that ends a text."""
+    end = text.rstrip()
+    if end.endswith("*/"):
+        at = end.rfind("/*")
+    else:
+        at = end.find("//", end.rfind("\n") + 1)
+    return end[at:] if at >= 0 and not end[end.rfind("\n", 0, at) + 1 : at].strip() else ""
+
+
+def claims(path: str, text: str) -> list[str]:
+    """What path and leading comment say of a file's being another's work.  It supports the verdict of the
+    fingerprints and stands in for it only where a file has no counterpart to be compared with."""
+    out = []
+    if _PKG_PATH.search(path):
+        out.append("package-path")
+    head = head_comment(text)
+    if head and _BANNER.search(head) and not re.search(r"(?i)LICENSE file of this repository", head):
+        out.append("library-banner")
+    if _VENDOR_PATH.search(path) and not _IMPORTS.search(text):
+        out.append("vendor-path")
+    return out
+
+
 def evidence(path: str, text: str, toks: list[str]) -> list[str]:
-    """Reasons from the file itself, in a fixed order; none for a file that looks hand-written."""
+    """Reasons from the file itself to take it for output of a tool or data, in a fixed order."""
     out = []
     head = head_comment(text)
     if head:
         talk = _TALK.search(head)
         if (_GENERATED.search(head) and (not talk or _NO_EDIT.search(head))) or (_NO_EDIT.search(head) and not talk):
             out.append("generated-header")
-    if (tail := _TAIL.search(text, max(0, len(text) - 2_000))) and _OUTPUT.search(tail[1]) and not _TALK.search(tail[1]):
+    if (tail := tail_comment(text)) and _OUTPUT.search(tail) and not _TALK.search(tail):
         out.append("generated-trailer")
     if _COMPILED.search(text):
         out.append("compiled")
@@ -198,12 +221,6 @@ def evidence(path: str, text: str, toks: list[str]) -> list[str]:
             out.append("repetitive")
     if _GEN_PATH.search(path) and words and not imports:
         out.append("generated-path")
-    if _PKG_PATH.search(path):
-        out.append("package-path")
-    if head and _BANNER.search(head) and not re.search(r"(?i)LICENSE file of this repository", head):
-        out.append("library-banner")
-    if _VENDOR_PATH.search(path) and words and not imports:
-        out.append("vendor-path")
     return out
 
 

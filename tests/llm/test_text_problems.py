@@ -12,7 +12,7 @@ from quarrykit.llm import nearsplit as N
 from quarrykit.llm import packing as K
 from quarrykit.llm import subjects as U
 from quarrykit.llm.alignment import smith_waterman, words
-from quarrykit.llm.origin import evidence, fingerprints, tokens
+from quarrykit.llm.origin import claims, evidence, fingerprints, tokens
 from quarrykit.llm.wording import canonical, osa, same
 
 FILES = "file_id BIGINT, repo STRING, path STRING, content STRING, reasons STRING"
@@ -51,9 +51,10 @@ def test_evidence_in_the_file():
     assert ev("a.ts", "// skip every file whose header says @generated\n" + body) == [] and ev("a.ts", body + 'const x = "Code generated by y. DO NOT EDIT.";') == []
     assert "generated-trailer" in ev("lib/a.js", body + "\n// ledgergen: 176 lines emitted, do not edit\n") and "generated-trailer" in ev("a.ts", body + "// end of output of ledgergen") and ev("a.ts", body + "// the step closes it: })") == []
     assert "data" in ev("a.js", "module.exports = [" + "0x1f, " * 200 + "];") and ev("a.js", "const t = [1, 2, 3];\n" + body) == []
-    assert "package-path" in ev("node_modules/x/i.js", body) and ev("src/vendors/a.js", "import x from './y';\n" + body) == []
+    assert "package-path" in claims("node_modules/x/i.js", body) and claims("src/vendors/a.js", "import x from './y';\n" + body) == [] and ev("src/vendors/a.js", "import x from './y';\n" + body) == []
     assert "minified" in ev("a.js", "(function(e,t){" + "var n=e.a(t);if(!n){t=e}return n?e(t):t;" * 30 + "})()")
-    assert "library-banner" in ev("a.js", "/*! left-pad v1.2.3 | MIT */\n" + body)
+    assert "generated-trailer" in ev("lib/a.js", body + "\n/* end of output of ledgergen\n" + "words " * 900 + "*/\n")
+    assert "library-banner" in claims("a.js", "/*! left-pad v1.2.3 | MIT */\n" + body)
 
 
 def test_winnowing_guarantee():
