@@ -47,19 +47,21 @@ def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _source(files: DataFrame) -> DataFrame:
-    return spread(files.select("file_id", "repo", "path", "content"), "file_id").dropDuplicates(["file_id"])
-
-
 def findings(files: DataFrame) -> DataFrame:
     """Every credential: file, line, offsets in characters, kind and layers of encoding."""
-    return _source(files).where(F.col("content") != "").mapInPandas(_find, FINDINGS)
+    source = spread(files.select("file_id", "repo", "path", "content").where(F.col("content") != ""))
+    return source.mapInPandas(_find, FINDINGS).distinct()
 
 
 def found_lines(files: DataFrame) -> DataFrame:
-    return findings(files).select("file_id", "line_no").distinct()
+    source = spread(files.select("file_id", "repo", "path", "content").where(F.col("content") != ""))
+    return source.mapInPandas(_find, FINDINGS).select("file_id", "line_no").distinct()
 
 
 def redacted(files: DataFrame) -> DataFrame:
-    """Every file with its credentials masked; text without any is unchanged."""
-    return _source(files).mapInPandas(_redact, REDACTED)
+    """Every file with its credentials masked; text without any is unchanged.
+
+    The texts are the result, so here they are made distinct before they are scanned.
+    """
+    source = spread(files.select("file_id", "repo", "path", "content"), "file_id").dropDuplicates(["file_id"])
+    return source.mapInPandas(_redact, REDACTED)

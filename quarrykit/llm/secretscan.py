@@ -12,6 +12,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from urllib.parse import unquote_to_bytes
 
 MAX_DEPTH = 4
@@ -41,20 +42,20 @@ _PEM = re.compile(
     r"(?=-----END|\Z|[^A-Za-z0-9+/=\s\\])"
 )
 _B64RUN = re.compile(r"[A-Za-z0-9+/]{24,}")
-_URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]{1,15}://([^\s:/@\"'`<>{}]{0,80}):([^\s@\"'`<>/]{3,160})@[A-Za-z0-9_.\[\]-]")
-_QUERY = re.compile(r"[?&]([A-Za-z0-9_.-]{2,40})=([^\s&\"'`<>#]{6,300})")
+_URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]{1,15}://([^\s:/@\"'`<>{}]*):([^\s@\"'`<>/]{3,})@[A-Za-z0-9_.\[\]-]")
+_QUERY = re.compile(r"[?&]([A-Za-z0-9_.-]{2,})=([^\s&\"'`<>#]{6,})")
 _HEADER = re.compile(r"(?i)\b(bearer|basic|token)[ \t]+([A-Za-z0-9+/_.=~-]{8,})")
 _ASSIGN = re.compile(
-    r"(?<![\w$.-])[\"'`]?((?:[A-Za-z_$][\w$]*\.)*-{0,2}[A-Za-z_$][\w$.-]{0,80}?)[\"'`]?[\"'`\])]?[ \t]*(?::[ \t]*(?:string|any)[ \t]*)?"
+    r"(?<![\w$.-])[\"'`]?(-{0,2}[A-Za-z_$][\w$.-]*?)[\"'`]?[\"'`\])]?[ \t]*(?::[ \t]*(?:string|any)[ \t]*)?"
     r"(?:\|\|=|\?\?=|=>|:=|=(?![=>])|:(?!:)|\|\||\?\?)[ \t]*(?:await[ \t]+)?([\"'`]?)"
 )
 _ENV_DEFAULT = re.compile(r"(?:process\.env|import\.meta\.env|os\.environ|env)(?:\.|\[[\"'])([A-Za-z_][A-Za-z0-9_]*)(?:[\"']\])?[ \t]*(?:\|\||\?\?)[ \t]*([\"'`])")
-_ARGV = re.compile(r"(?<![\w-])(--?[A-Za-z][A-Za-z0-9_-]*)(?:[\"'`][ \t]*,[ \t]*[\"'`]|[ \t]+[\"']?|=[\"']?)([^\s\"'`,\]]{3,300})")
-_USERPASS = re.compile(r"(?<![\w-])(?:-u|--user|--userpwd|--basic)(?:[\"'`][ \t]*,[ \t]*[\"'`]|[ \t]+[\"']?|=[\"']?)([^\s\"'`:,]{1,80}):([^\s\"'`,]{4,200})")
-_HEADER_NAME = re.compile(r"(?i)(?<![\w-])((?:x-)[a-z0-9-]{2,40}|authorization|proxy-authorization|cookie|api-key)[\"'`]?[ \t]*[:=][ \t]*[\"'`]?([^\s\"'`,;}]{8,400})")
+_ARGV = re.compile(r"(?<![\w-])(--?[A-Za-z][A-Za-z0-9_-]*)(?:[\"'`][ \t]*,[ \t]*[\"'`]|[ \t]+[\"']?|=[\"']?)([^\s\"'`,\]]{3,})")
+_USERPASS = re.compile(r"(?<![\w-])(?:-u|--user|--userpwd|--basic)(?:[\"'`][ \t]*,[ \t]*[\"'`]|[ \t]+[\"']?|=[\"']?)([^\s\"'`:,]+):([^\s\"'`,]{4,})")
+_HEADER_NAME = re.compile(r"(?i)(?<![\w-])((?:x-)[a-z0-9-]{2,}|authorization|proxy-authorization|cookie|api-key)[\"'`]?[ \t]*[:=][ \t]*[\"'`]?([^\s\"'`,;}]{8,})")
 _PROSE = re.compile(
     r"(?i)(?:\b(?:log[ -]?in|sign[ -]?in|password|passwd|pwd|passphrase|credentials?|creds|account|token|secret|api key|pw)\b)[^:=\n\"'`]{0,60}(?:[:=]|\bis\b)[ \t]*"
-    r"(?:[\w.@-]{2,40}[ \t]*[/|,][ \t]*)?[\"'`]?([^\s\"'`,;)]{8,200})"
+    r"(?:[\w.@-]{2,40}[ \t]*[/|,][ \t]*)?[\"'`]?([^\s\"'`,;)]{8,})"
 )
 _RANDOM_ARG = re.compile(r"[(,][ \t]*[\"'`]([A-Za-z0-9]{32,64})[\"'`][ \t]*[,)]")
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`", re.S)
@@ -132,7 +133,7 @@ def random_looking(v: str) -> bool:
 
 def credible(v: str, strength: int) -> bool:
     """Whether a value in a place meant for a credential is one that could be used."""
-    if len(v) < 8 or len(v) > 512 or _PLACEHOLDER.search(v) or any(c.isspace() for c in v):
+    if len(v) < 8 or _PLACEHOLDER.search(v) or any(c.isspace() for c in v):
         return False
     if _NOT_SECRET.search(v) and not (v[0] in "/@" and random_looking(v)):
         return False
@@ -267,9 +268,23 @@ def _joined(s: str) -> list[tuple[str, list[tuple[int, int]]]]:
     return out
 
 
+_GIVEN = re.compile(r"([\w$.\-]+)[\"'`\])]*[ \t]*(?::[ \t]*\w+[ \t]*)?(?:=|:|\|\||\?\?)\Z")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
+
+
 def _names_before(s: str, pos: int) -> int:
     """Strength of the name that is given the value whose literal begins before pos."""
-    m = re.compile(r"([\w$.\-]+)[\"'`\])]*[ \t]*(?::[ \t]*\w+[ \t]*)?(?:=|:|\|\||\?\?)\s*(?:\[\s*)?[\"'`]?$").search(s[max(0, pos - 120) : pos])
+    e = pos - (pos > 0 and s[pos - 1] in "\"'`")
+    for opened in (True, False):
+        while e and s[e - 1].isspace():
+            e -= 1
+        if opened and e and s[e - 1] == "[":
+            e -= 1
+    a = e
+    for stop in (e - 60, 0):  # the assignment with a type, then what is left of the name
+        while a > max(stop, 0) and (s[a - 1] in _NAME_CHARS or stop and s[a - 1] not in "\n;{},("):
+            a -= 1
+    m = _GIVEN.search(s[a:e])
     return secret_name(m[1]) if m else 0
 
 
@@ -351,11 +366,11 @@ def unq(v: str) -> str:
     return unquote_to_bytes(v).decode("utf-8", "replace") if "%" in v else v
 
 
-def _decoded(s: str, budget: int = 1 << 22):
+def _decoded(s: str):
     """(start, end, text or bytes) of every literal of a layer that decodes."""
     for m in _B64.finditer(s):
         v = m[0]
-        if len(v) > budget or (len(v) >= 16 and v.isalpha() and (v.islower() or v.isupper())):
+        if (len(v) >= 16 and v.isalpha() and (v.islower() or v.isupper())):
             continue
         if len(v) < 200 and re.fullmatch(r"[a-z]+|[A-Z_]+|(?:[A-Za-z][a-z]+)+\d{0,3}|[0-9a-f]+|\d+", v):
             continue
@@ -390,6 +405,9 @@ def scan(s: str) -> list[tuple[int, int, str, int]]:
     return _merge(s, _scan(s, 0)) if s else []
 
 
+_BROKEN_RUN = re.compile(r"[A-Za-z0-9+/_-]{24}[^\nA-Za-z0-9][^\n]{0,8}\n|[A-Za-z0-9+/_-]{24}\n")
+_FIRST_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,})(?:\\[nr])*[ \t\"'`+,\\]*\r?\n")
+_NEXT_RUN = re.compile(r"[ \t#*/>|\"'`+]*(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]+={0,2})(?:\\[nr])*[ \t\"'`+,;)\\\]]*\r?(?:\n|\Z)")
 _PIECES = re.compile(r"[\"'`]\s*\+\s*[\"'`]|\]\s*\.join\(")
 
 
@@ -403,6 +421,8 @@ def _scan(s: str, depth: int) -> list[tuple[int, int, str, int]]:
                 found.append((m.start(), m.end(), "private_key", depth))
     if _PIECES.search(s):
         found += _scan_joined(s, depth)
+    if depth < MAX_DEPTH and _BROKEN_RUN.search(s):
+        found += _scan_wrapped(s, depth)
     done = -1
     for at in sorted(hints(s)):
         if at < done:
@@ -455,6 +475,35 @@ def _scan_joined(s: str, depth: int):
     return found
 
 
+def _scan_wrapped(s: str, depth: int):
+    """Base64 broken over lines, as in a template, a comment or a here-document, read as one literal.
+    All its lines but the first and the last are equally long."""
+    found, done = [], 0
+    for broken in _BROKEN_RUN.finditer(s):
+        line = s.rfind("\n", 0, broken.start()) + 1
+        if line < done or not (m := _FIRST_RUN.search(s, line, broken.end())):
+            continue
+        runs, width = [m.span(1)], None
+        while m := _NEXT_RUN.match(s, m.end()):
+            runs.append(m.span(1))
+            n = len(m[1])
+            if width is not None and n != width or m[1].endswith("="):
+                break
+            width = n
+        done = runs[-1][1]
+        # the run may end on a line that is no base64 any more
+        while len(runs) > 1:
+            b = _b64("".join(s[x:y] for x, y in runs))
+            t = b if b and is_private_key(b) else _texty(b) if b else None
+            if t is not None:
+                found += [(runs[0][0], runs[-1][1], "wrapped", layer) for _, layer in _decoded_kind(s, runs[0][0], t, depth)]
+                break
+            if runs[-1][1] - runs[-1][0] == width:
+                break
+            runs.pop()
+    return found
+
+
 def _in_pieces(spans: list[tuple[int, int]], x: int, y: int) -> tuple[int, int]:
     """Place in the source of the characters x to y of a joined text, whatever stands between its pieces."""
     start = end = None
@@ -485,22 +534,37 @@ def _merge(s: str, found):
 _KEEP = re.compile(r"-----(?:BEGIN|END)[^-]*-----|\\[rn]|[^A-Za-z0-9]")
 
 
+def _masked_key(v: str) -> str:
+    """Letters and digits masked; markers, line ends and what stands between joined lines stay."""
+    out, p = [], 0
+    for m in _KEEP.finditer(v):
+        out.append("X" * (m.start() - p) + m[0])
+        p = m.end()
+    return "".join(out) + "X" * (len(v) - p)
+
+
 def redact(s: str, found) -> str:
     """The text with every finding masked; its length, lines, quotes and joins stay as they were."""
     if not found:
         return s
+    pieces = sorted({p for _, spans in _joined(s) for p in spans}) if any(f[2] == "joined" for f in found) else []
     parts, pos = [], 0
     for a, b, kind, _ in found:
         parts.append(s[pos:a])
         v = s[a:b]
-        if kind == "private_key" or kind.startswith("joined"):
-            out, p = [], 0
-            for m in _KEEP.finditer(v):
-                out.append("X" * (m.start() - p))
-                out.append(m[0])
-                p = m.end()
-            out.append("X" * (len(v) - p))
-            parts.append("".join(out))
+        if kind == "joined" and "PRIVATE KEY" not in v:
+            # all of the pieces is the secret, all between them is code
+            at = a
+            for x, y in pieces[max(0, bisect_right(pieces, (a, len(s))) - 1) :]:
+                x, y = max(x, at), min(y, b)
+                if x >= b:
+                    break
+                if x < y:
+                    parts.append(s[at:x] + "".join(c if c in "\r\n" else "X" for c in s[x:y]))
+                    at = y
+            parts.append(s[at:b])
+        elif kind in ("private_key", "joined", "wrapped"):
+            parts.append(_masked_key(v))
         else:
             parts.append("".join(c if c in "\r\n" else "X" for c in v))
         pos = b
