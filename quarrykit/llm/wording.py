@@ -37,7 +37,9 @@ PHRASES = [
     (r"\b(?:no more than|a maximum of|up to|at most)\b", "at most"),
     (r"\b(?:greater than|over|above|more than)\b", "more than"),
     (r"\b(?:for what reason|what is the reason)\b", "why"),
-    (r"\b(?:in what place|in which file|in what file)\b", "where"),
+    (r"\b(?:in what place|in which file|in what file|(?:in |at )?(?:what|which) (?:location|place|spot))\b", "where"),
+    (r"^(?:can|could|would) you (?:please )?(?:point me to|show me|tell me) (?:the (?:location|place|spot)(?: where)?|where)\b", "where"),
+    (r"\bdeclared\b", "defined"),
 ]
 _PHRASES = [(re.compile(a), b) for a, b in PHRASES]
 _SENTENCE = re.compile(r"(?<=[.!?])[\s\"')\]]+(?=\S)|\n+|(?<=[?!])(?=\s*\()")
