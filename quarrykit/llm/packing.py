@@ -6,7 +6,7 @@ best solution known; best-fit and first-fit decreasing give the first incumbents
 
 At scale the texts are spread over groups of bounded size, each packed alone; containers that
 are not full enough are opened again and their texts packed in fewer groups, until one group
-is left.  Only (document, piece, tokens) rows are shuffled.
+is left or hardly any more get full.  Only (document, piece, tokens) rows are shuffled.
 
 Defined results: a null or empty text has 0 tokens and still stands in one container; a text over
 the capacity is cut into pieces of at most the capacity, between words where it has any;
@@ -50,34 +50,35 @@ def cut_points(text: str, tok, capacity: int) -> list[tuple[int, int, int]]:
     """Pieces (first character, end, tokens) of a text, each of at most ``capacity`` tokens.
 
     A piece ends before a blank that follows a word where the last quarter of the piece has
-    one, else between two characters; it is encoded again, and shortened while it is too long.
+    one, else between two characters.  The text is encoded once, and every piece again to count its own
+    tokens; one that has too many is shortened.
     """
-    out, pos = [], 0
-    while True:
-        e = tok.encode(text[pos:], add_special_tokens=False)
-        n = len(e.ids)
-        if n <= capacity:
-            out.append((pos, len(text), n))
-            return out
+    offsets = tok.encode(text, add_special_tokens=False).offsets
+    starts = [a for a, _ in offsets]
+    out, pos, n = [], 0, len(text)
+    while pos < n or not out:
+        first = bisect.bisect_left(starts, pos)
         room = capacity
         while True:
-            end = 0
-            for i in range(room, max(1, room * 3 // 4), -1):
-                at = e.offsets[i][0]
-                if text[pos + at] in " \n\t" and not text[pos + at - 1].isspace():
-                    end = at
-                    break
-            if not end:
-                i = room
-                while i > 1 and e.offsets[i][0] < e.offsets[i - 1][1]:
-                    i -= 1
-                end = max(1, e.offsets[i][0])
-            size = len(tok.encode(text[pos : pos + end], add_special_tokens=False).ids)
-            if size <= capacity:
+            end = n
+            if len(starts) - first > room:
+                end = 0
+                for i in range(first + room, first + max(1, room * 3 // 4), -1):
+                    if text[starts[i]] in " \n\t" and not text[starts[i] - 1].isspace():
+                        end = starts[i]
+                        break
+                if end <= pos:
+                    i = first + room
+                    while i > first + 1 and starts[i] < offsets[i - 1][1]:
+                        i -= 1
+                    end = max(pos + 1, starts[i])
+            size = len(tok.encode(text[pos:end], add_special_tokens=False).ids)
+            if size <= capacity or end == pos + 1:
                 break
-            room = max(1, room - (size - capacity))
-        out.append((pos, pos + end, size))
-        pos += end
+            room = max(1, min(room, len(starts) - first) - max(1, size - capacity))
+        out.append((pos, end, size))
+        pos = end
+    return out
 
 
 def sized(documents: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
@@ -96,8 +97,8 @@ def sized(documents: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY)
                         rows += [(i, no, x, y, n) for no, (x, y, n) in enumerate(cut_points(t, tok, capacity))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "start_char", "end_char", "tokens"])
 
-    src = spread(documents.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"])
-    return src.mapInPandas(run, "doc_id BIGINT, piece_no INT, start_char INT, end_char INT, tokens INT")
+    pieces = spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id BIGINT, piece_no INT, start_char INT, end_char INT, tokens INT")
+    return pieces.dropDuplicates(["doc_id", "piece_no"])
 
 
 # ---- one group
@@ -130,12 +131,31 @@ def best_fit(sizes: list[int], capacity: int, first: bool = False) -> list[list[
     return bins
 
 
-def completions(room: int, sizes: list[int], count: dict[int, int], slack: int, most: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room: multisets of the sizes left, fullest first.
+FILLINGS, STEPS = 12, 400  # fillings of one container that are tried, steps that look for them
+
 
-    A filling to which some size left could be added is dominated, and so is any other once one
-    size fills the room exactly.  Fillings that waste more than ``slack`` cannot lead to a
-    better solution.  sizes: distinct, falling.
+def dominated(chosen: tuple[int, ...], left: int, others: list[int]) -> bool:
+    """Whether a filling is dominated: some of its sizes could give way to one larger size that is left out and
+    still fits (Martello and Toth), or two and more of them to one of the same sum.
+
+    others: distinct sizes of which one is left out.  Sums of subsets are the bits of a number.
+    """
+    any_sum, two_sum = 1, 0
+    for s in chosen:
+        two_sum |= (two_sum << s) | ((any_sum & ~1) << s)
+        any_sum |= any_sum << s
+    for x in others:
+        low = max(0, x - left)
+        below = (any_sum >> low) & ((1 << (x - low)) - 1)  # sums of low to x - 1
+        if below or two_sum >> x & 1:
+            return True
+    return False
+
+
+def completions(room: int, sizes: list[int], count: dict[int, int], slack: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
+    """Undominated fillings of a room: multisets of the sizes left, fullest first, as many as ``most`` and ``STEPS`` allow.
+
+    Fillings that waste more than ``slack`` cannot lead to a better solution.  sizes: distinct, falling.
     """
     if count.get(room):
         return [(room,)]
@@ -148,24 +168,19 @@ def completions(room: int, sizes: list[int], count: dict[int, int], slack: int,
     def extend(k: int, left: int, chosen: tuple[int, ...]) -> None:
         nonlocal steps
         steps += 1
-        if steps > 400 or len(found) >= 4 * most:
-            return
-        if left < smallest:
-            if left <= slack:
-                found.append((left, chosen))
+        if steps > STEPS or len(found) >= 4 * most:
             return
-        any_fit = False
-        for j in range(k, len(sizes)):
-            s = sizes[j]
-            if s <= left and count[s] > chosen.count(s):
-                any_fit = True
-                extend(j, left - s, (*chosen, s))
-                if steps > 400:
-                    return
-        if not any_fit and left <= slack:
-            fits = any(s <= left and count[s] > chosen.count(s) for s in sizes[:k])
-            if not fits:
-                found.append((left, chosen))
+        more = False
+        if left >= smallest:
+            for j in range(k, len(sizes)):
+                s = sizes[j]
+                if s <= left and count[s] > chosen.count(s):
+                    more = True
+                    extend(j, left - s, (*chosen, s))
+                    if steps > STEPS:
+                        return
+        if not more and left <= slack and not dominated(chosen, left, [s for s in sizes if s <= room and count[s] > chosen.count(s)]):
+            found.append((left, chosen))
 
     extend(bisect.bisect_left([-s for s in sizes], -room), room, ())
     found.sort()
@@ -279,11 +294,11 @@ def containers(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, n
 
     rest = items.select("doc_id", "piece_no", "tokens")
     count = rest.count()
-    done = None
+    done = before = None
     level = 0
     while True:
         n = buckets_for(count, group)
-        last = n == 1 or level >= 6
+        last = n == 1 or before is not None and count > 0.8 * before
         placed = checkpointed(
             spread(rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), F.lit(n))), "g")
             .groupBy("g")
@@ -294,7 +309,7 @@ def containers(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, n
         if last:
             return done
         rest = placed.where("not closed").select("doc_id", "piece_no", "tokens")
-        count = rest.count()
+        before, count = count, rest.count()
         level += 1
         if not count:
             return done

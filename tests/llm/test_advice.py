@@ -6,6 +6,7 @@ import random
 from quarrykit.llm import handwritten as H
 from quarrykit.llm import leakage as L
 from quarrykit.llm import nearsplit as N
+from quarrykit.llm import packing as K
 from quarrykit.llm.alignment import coverage
 from quarrykit.llm.secretscan import redact, scan
 from quarrykit.llm.wording import canonical, same
@@ -93,3 +94,33 @@ def test_no_leak_has_fewer_seeds_than_needed(spark):
             doc = held[:at] + ["other"] * 30 + held[at:]
             own = {tuple(item[i : i + 3]) for i in range(n - 2)}
             assert sum(tuple(doc[i : i + 3]) in own for i in range(len(doc) - 2)) >= L.least_seeds(n) or sum(x in item for x in held) < half
+
+
+# ---- 6
+def test_dominated_fillings():
+    assert K.dominated((3, 4), 2, [8]) and K.dominated((3, 4), 2, [5]) and K.dominated((3, 4), 0, [7]) and not K.dominated((3, 4), 0, [5, 6]) and not K.dominated((9,), 1, [4, 3])
+    sizes = [60, 45, 44, 36, 30, 20, 11]
+    count = dict.fromkeys(sizes, 1)
+    got = K.completions(100, sizes, count, 100)
+    assert (60, 30) not in got and all(sum(c) <= 100 for c in got) and sum(got[0]) == 100
+
+
+def test_long_texts_are_cut_in_linear_time():
+    import time
+
+    class Words:
+        calls = 0
+
+        def encode(self, text, add_special_tokens=False):
+            import re
+            import types
+
+            Words.calls += len(text)
+            spans = [m.span() for m in re.finditer(r"\s?\S+|\s", text)]
+            return types.SimpleNamespace(ids=spans, offsets=spans)
+
+    text = " ".join(f"w{i}" for i in range(120_000))
+    began = time.time()
+    cut = K.cut_points(text, Words(), 100)
+    assert [a for a, _, _ in cut][1:] == [b for _, b, _ in cut][:-1] and cut[0][0] == 0 and cut[-1][1] == len(text) and max(n for *_, n in cut) <= 100
+    assert Words.calls <= 4 * len(text) and time.time() - began < 20 and len(cut) == 1_200
