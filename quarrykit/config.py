@@ -44,6 +44,15 @@ JS_TO_TS = {".js": [".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs":
 BUILD_DIRS = ["dist", "build", "out", "distribution", "esm", "cjs", "lib"]
 SOURCE_DIRS = ["src", "source", "lib"]
 ASSET_EXTENSIONS = "css scss sass less svg png jpg jpeg gif json md html txt wasm node woff woff2".split()
+# Modules that come with Node.js.
+BUILTINS = (
+    "assert assert/strict async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns dns/promises domain events fs"
+    " fs/promises http http2 https inspector inspector/promises module net os path path/posix path/win32 perf_hooks process punycode querystring readline"
+    " readline/promises repl stream stream/consumers stream/promises stream/web string_decoder sys timers timers/promises tls trace_events tty url util"
+    " util/types v8 vm wasi worker_threads zlib"
+).split()
+# Targets that are no entry.  The dots match any character, as in the indexes to be compared with.
+NO_ENTRY = r".d.[cm]?ts$|.(css|json|map)$"
 MAX_PATH, MAX_TERM = 400, 40
 MAX_CHUNK_LINES, MIN_CHUNK_LINES, WINDOW_LINES = 80, 15, 50
 

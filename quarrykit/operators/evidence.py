@@ -129,14 +129,95 @@ def imported_name(question: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(q, f, 1)), F.lit("")) for f in forms])
 
 
+# Words of a phrase that name nothing.
+FILLER = "the a an module modules file files helper package function class component hook type".split()
+
+
+def name_words(phrase: Column) -> Column:
+    return F.filter(F.split(phrase, "[^A-Za-z0-9_$]+"), lambda w: (w != "") & ~F.lower(w).isin(FILLER))
+
+
+def word_terms(words: Column) -> Column:
+    parts = F.flatten(F.transform(words, lambda w: F.transform(T.split_identifier(w), lambda t: T.stem(t))))
+    return F.array_distinct(F.filter(parts, lambda t: F.length(t) >= 2))
+
+
+def asked_imports(questions: DataFrame) -> DataFrame:
+    """repo, question_id, name, terms, last, module, hint: what a question about importers asks for.
+
+    name: one imported name, or null; module: whether a file is meant; hint: terms of the Y of "X from Y", or null.
+    """
+    q = questions.select("repo", "question_id", imported_name(F.col("question")).alias("phrase")).where("phrase IS NOT NULL")
+    has_from = F.col("phrase").rlike(r"(?i)^\S+\s+from\s+.+\z")
+    single = name_words(F.col("phrase"))
+    name = F.when(has_from, F.regexp_extract("phrase", r"(?i)^(\S+)\s+from\s+", 1)).when(F.size(single) == 1, F.element_at(single, 1))
+    module = ~has_from & F.col("phrase").rlike(r"(?i)(?<![A-Za-z0-9_])(?:module|file|helper|package)s?\z")
+    return q.select(
+        "repo", "question_id", name.alias("name"), word_terms(single).alias("words"), F.lower(F.try_element_at(single, F.lit(-1))).alias("last"),
+        (module | (name.isNull() & (F.size(single) > 0))).alias("module"),
+        F.when(has_from, word_terms(name_words(F.regexp_extract("phrase", r"(?i)^\S+\s+from\s+(.+)\z", 1)))).alias("hint"),
+    )
+
+
 def importers(questions: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
-    """question_id, file_id, line: files that import the name a question asks about, with the first line; source files first.
+    """question_id, target, file_id, path, file_class, line, rank: files that import what a question asks about, source files first.
 
-    Only a phrase that is one name is followed; nothing is guessed for any other.
+    imports: as of ``imports.resolved``; files: repo, file_id, path, file_class.  A phrase that means one source file
+    asks for the importers of that file, one name for those of that name, "X from Y" for imports of X from
+    something called Y; nothing is guessed for any other.
     """
-    asked = questions.select("repo", "question_id", F.regexp_replace(imported_name(F.col("question")), "[`\"']", "").alias("name")).where(F.col("name").rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*\z"))
-    named = imports.select("repo", "file_id", "line", F.explode("names").alias("name"))
-    hit = asked.join(named, ["repo", "name"]).groupBy("question_id", "file_id").agg(F.min("line").alias("line"))
+    from quarrykit.operators.questions import file_named
+
+    asked = asked_imports(questions)
+    source = files.where("file_class = 'source'").select("repo", "file_id", "path")
+    meant = file_named(asked.where("module").select("repo", "question_id", "words", "last"), source)
+    i = imports.select("repo", "file_id", "line", "specifier", "names", "target_file_id")
+    by_file = meant.select("question_id", F.col("file_id").alias("target_file_id")).join(i.drop("repo"), "target_file_id").join(
+        files.select(F.col("file_id").alias("target_file_id"), F.col("path").alias("target")), "target_file_id"
+    )
+    by_file = by_file.select("question_id", "target", "file_id", "line")
+    rest = asked.where(F.col("name").rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*\z")).join(by_file.select("question_id").distinct(), "question_id", "left_anti")
+    named = rest.join(i.select("*", F.explode(F.array_distinct("names")).alias("name")), ["repo", "name"])
+    named = named.join(files.select(F.col("file_id").alias("target_file_id"), T.path_terms(F.col("path")).alias("near")), "target_file_id", "left")
+    fits = F.when(F.col("target_file_id").isNotNull(), F.forall("hint", lambda t: F.array_contains("near", t))).otherwise(F.forall("hint", lambda t: F.contains(F.lower("specifier"), t)))
+    by_name = named.where(F.col("hint").isNull() | ((F.size("hint") > 0) & fits)).select("question_id", F.col("name").alias("target"), "file_id", "line")
+    hit = by_file.unionByName(by_name).groupBy("question_id", "target", "file_id").agg(F.min("line").alias("line"))
     hit = hit.join(files.select("file_id", "path", "file_class"), "file_id")
     w = Window.partitionBy("question_id").orderBy(F.when(F.col("file_class") == "source", 0).otherwise(1), "path", "file_id")
     return hit.withColumn("rank", F.row_number().over(w))
+
+
+def importer_blocks(found: DataFrame, chunks: DataFrame, shown: DataFrame, most: int = 4) -> DataFrame:
+    """question_id, chunk_id, place: chunks with the import lines of the source files among importers, of all if none is source.
+
+    found: as of ``importers``; shown: question_id, file_id, start_line, end_line.  Lines on show are left out, a chunk
+    comes once, at most ``most`` of a question.
+    """
+    any_source = F.max(F.col("file_class") == "source").over(Window.partitionBy("question_id"))
+    f = found.withColumn("any", any_source).where(~F.col("any") | (F.col("file_class") == "source")).alias("f")
+    s = shown.alias("s")
+    on = (F.col("f.question_id") == F.col("s.question_id")) & (F.col("f.file_id") == F.col("s.file_id")) & F.col("f.line").between(F.col("s.start_line"), F.col("s.end_line"))
+    left, c = f.join(s, on, "left_anti").alias("f"), chunks.alias("c")
+    hit = left.join(c, (F.col("f.file_id") == F.col("c.file_id")) & F.col("f.line").between(F.col("c.start_line"), F.col("c.end_line")))
+    one = hit.groupBy("f.question_id", "f.file_id", "f.rank").agg(F.min_by("c.chunk_id", F.struct(-F.col("c.start_line"), "c.chunk_id")).alias("chunk_id"))
+    one = one.groupBy("question_id", "chunk_id").agg(F.min("rank").alias("rank"))
+    return one.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "chunk_id"))).where(F.col("place") <= most).drop("rank")
+
+
+def definition_candidates(called: DataFrame, found: DataFrame, symbols: DataFrame, terms: DataFrame, best: DataFrame, shown: DataFrame, most: int) -> DataFrame:
+    """question_id, chunk_id, symbol_id, place: definitions of what the evidence of a question calls, the best ``most``.
+
+    called: question_id, repo, file_id, name, pos (each call in the blocks shown, in order); found: from_file, name, symbol_id (see
+    ``called_definitions``); terms: question_id, term; best: symbol_id, chunk_id (see ``best_overlap``); shown: question_id,
+    chunk_id.  Names that share more words with the question come first, then those called more often, then the
+    earlier; a chunk on show or taken by a better name is left out.
+    """
+    c = called.withColumn("name", F.regexp_replace("name", "^#", "")).join(found.withColumnRenamed("from_file", "file_id"), ["file_id", "name"])
+    one = c.groupBy("question_id", "symbol_id").agg(F.first("name").alias("name"), F.count("*").alias("calls"), F.min("pos").alias("pos"))
+    parts = one.select("question_id", "symbol_id", F.explode(word_terms(F.array("name"))).alias("term")).join(terms, ["question_id", "term"], "left_semi")
+    shared = parts.groupBy("question_id", "symbol_id").agg(F.count("*").alias("shared"))
+    j = one.join(shared, ["question_id", "symbol_id"], "left").join(best.select("symbol_id", "chunk_id"), "symbol_id").join(symbols.select("symbol_id"), "symbol_id", "left_semi")
+    j = j.join(shown.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
+    order = [F.desc(F.coalesce("shared", F.lit(0))), F.desc("calls"), "pos", "symbol_id"]
+    j = j.withColumn("r", F.row_number().over(Window.partitionBy("question_id", "chunk_id").orderBy(*order))).where("r = 1")
+    return j.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("place") <= most).select("question_id", "chunk_id", "symbol_id", "place")

@@ -70,10 +70,11 @@ def declaring_lines(manifests: DataFrame) -> DataFrame:
 def file_named(questions: DataFrame, files: DataFrame) -> DataFrame:
     """question_id, file_id: the only source file whose path holds all words a question is about.
 
-    questions: repo, question_id, words (array); files: repo, file_id, path, of class source.  Of
-    several, one that is named for the last word is taken if it is the only such.
+    questions: repo, question_id, words (array) and, if it is not the last of them, last; files: repo, file_id, path,
+    of class source.  Of several, one that is named for the last word is taken if it is the only such.
     """
-    w = questions.where(F.size("words") > 0).select("repo", "question_id", F.element_at("words", -1).alias("last"), F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("term"))
+    last = F.col("last") if "last" in questions.columns else F.element_at("words", -1)
+    w = questions.where(F.size("words") > 0).select("repo", "question_id", last.alias("last"), F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("term"))
     t = files.select("repo", "file_id", "path", F.explode(T.path_terms(F.col("path"))).alias("term"))
     hit = w.join(t, ["repo", "term"]).groupBy("question_id", "file_id", "path", "last", "n").agg(F.count("*").alias("found")).where(F.col("found") == F.col("n"))
     base = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+\z", ""))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quarrykit.functions import requests as RQ
 from quarrykit.operators import evaluation as V
 from quarrykit.operators import extract as X
-from quarrykit.operators import imports as M
 from quarrykit.operators import prompt as PR
 from quarrykit.operators import questions as Q
 from quarrykit.operators import validation as W
@@ -41,8 +40,7 @@ def _cover(s, d):
 
 
 def _packages(s, d):
-    e = M.entries(M.packages(table(s, d, "ingested_files")), C.sources(s, d).select("file_id", "repo", "sha", "path"))
-    return Q.chosen_package(C.questions(s, d), e.select("repo", "package"))
+    return Q.chosen_package(C.questions(s, d), C.declared_entries(s, d).where("entry_file_id IS NOT NULL").select("repo", F.when(F.col("package") == "", F.col("dir")).otherwise(F.col("package")).alias("package")))
 
 
 def _manifests(s, d):

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from quarrykit.plans import answers, evaluation, files, graph, requests, retrieval, text
+    from quarrykit.plans import answers, evaluation, files, graph, planted, requests, retrieval, text
 
-    return files, text, retrieval, graph, evaluation, requests, answers
+    return files, text, retrieval, graph, evaluation, requests, answers, planted
 
 
 def queries() -> dict[str, Query]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.functions import paths as P
 from quarrykit.operators import imports as M
 from quarrykit.operators import index as I
 from quarrykit.operators.retrieval import Corpus
@@ -34,17 +35,33 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("end_line", F.greatest("start_line", F.coalesce("end_line", "start_line")))
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+def paths(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, repo, sha and path of every file, without its text."""
+    return table(spark, d, "ingested_files").select("file_id", "repo", "sha", "path").dropDuplicates(["file_id"])
+
+
+def file_rows(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, repo, path and file_class of every file, without its text."""
+    return paths(spark, d).select("file_id", "repo", "path", P.file_class(F.col("path")).alias("file_class"))
+
+
+def declared_entries(spark: SparkSession, d: str) -> DataFrame:
+    return M.entries(M.packages(table(spark, d, "ingested_files")), paths(spark, d))
+
+
+def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
     src = table(spark, d, "ingested_files")
-    files = sources(spark, d).select("file_id", "repo", "sha", "path")
-    r = M.resolved(M.import_rows(src), files).where(F.col("target_file_id").isNotNull())
+    return M.resolved(M.import_rows(src), paths(spark, d), checkpointed(declared_entries(spark, d)), M.compiler_configs(src))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    r = resolved_imports(spark, d).where(F.col("target_file_id").isNotNull())
     return r.select("repo", "file_id", "target_file_id", F.col("line").alias("edge_pos"))
 
 
 def entry_files(spark: SparkSession, d: str) -> DataFrame:
-    src = table(spark, d, "ingested_files")
-    e = M.entries(M.packages(src), sources(spark, d).select("file_id", "repo", "sha", "path"))
-    return e.where(F.col("entry_file_id").isNotNull()).select("repo", F.col("entry_file_id").alias("file_id"), "package").distinct()
+    e = declared_entries(spark, d).where(F.col("entry_file_id").isNotNull())
+    return e.select("repo", F.col("entry_file_id").alias("file_id"), F.when(F.col("package") == "", F.col("dir")).otherwise(F.col("package")).alias("package")).distinct()
 
 
 def corpus(spark: SparkSession, d: str) -> Corpus:

@@ -66,6 +66,14 @@ def question_terms(table: str, key: str, q: str) -> str:
   WHERE term NOT IN ({words}) GROUP BY {key}, term)"""
 
 
+def path_terms(table: str, keys: str, path: str) -> str:
+    """keys, term: distinct terms of paths."""
+    return (
+        f"(SELECT DISTINCT {keys}, term FROM (SELECT {keys}, {stem('t')} AS term FROM (SELECT {keys}, unnest({split_identifier("regexp_replace(seg, '[.][A-Za-z0-9]+$', '')")}) AS t FROM "
+        f"(SELECT {keys}, unnest(string_split({path}, '/')) AS seg FROM {table}))) WHERE length(term) >= 2)"
+    )
+
+
 def base_name(p: str) -> str:
     return f"list_last(string_split({p}, '/'))"
 

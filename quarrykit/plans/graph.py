@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrykit.config import BUILTINS
 from quarrykit.functions import paths as P
 from quarrykit.functions import text as T
 from quarrykit.operators import evidence as E
@@ -23,12 +24,19 @@ def _exports(s, d):
     return M.export_rows(table(s, d, "ingested_files")).select("file_id", "name", "line")
 
 
-def _resolved(s, d):
-    return M.resolved(M.import_rows(table(s, d, "ingested_files")), C.sources(s, d).select("file_id", "repo", "sha", "path"))
+def _categories(s, d):
+    return M.category_counts(C.resolved_imports(s, d))
 
 
-def _categories(s, d):
-    return _resolved(s, d).groupBy("repo", "resolution").agg(F.count("*").alias("imports"))
+def _aliases(s, d):
+    """What every bare specifier but the built-in modules stands for, seen from a folder."""
+    r = C.resolved_imports(s, d).where(~F.col("specifier").startswith(".") & (F.col("resolution") != "bare:node-builtin"))
+    return r.select("repo", "sha", M.directory(F.col("path")).alias("folder"), "specifier", "target_file_id", "resolution").distinct()
+
+
+def _relative(s, d):
+    r = F.col("resolution")
+    return C.resolved_imports(s, d).agg(F.count_if(r.startswith("relative:")).alias("relative_total"), F.count_if(r == "relative:resolved").alias("relative_resolved"), F.count("*").alias("imports"))
 
 
 def _hops(s, d):
@@ -37,16 +45,16 @@ def _hops(s, d):
     return e.unionByName(e.select(F.col("near").alias("file_id"), F.col("file_id").alias("near"))).distinct()
 
 
+def _entry_stats(s, d):
+    return M.entry_stats(C.declared_entries(s, d))
+
+
 def _entries(s, d):
-    e = M.entries(M.packages(table(s, d, "ingested_files")), C.sources(s, d).select("file_id", "repo", "sha", "path"))
-    return e.select("file_id", "dir", "package", "entry_kind", "target", "entry_file_id")
+    return C.declared_entries(s, d).select("file_id", "dir", "package", "entry_kind", "target", "entry_file_id")
 
 
 def _importers(s, d):
-    from quarrykit.operators import index as I
-
-    f = I.files(table(s, d, "ingested_files")).select("file_id", "path", "file_class")
-    return E.importers(C.questions(s, d), M.import_rows(table(s, d, "ingested_files")), f).select("question_id", "file_id", "line", "rank")
+    return E.importers(C.questions(s, d), C.resolved_imports(s, d), C.file_rows(s, d)).select("question_id", "file_id", "line", "rank")
 
 
 def _asked(s, d):
@@ -149,7 +157,10 @@ QUERIES = {
     "imports_found": _imports,
     "exports_found": _exports,
     "imports_categories": _categories,
+    "imports_aliases": _aliases,
+    "imports_relative": _relative,
     "imports_neighbours": _hops,
+    "entries_stats": _entry_stats,
     "entries_declared": _entries,
     "importers_asked": _asked,
     "importers_files": _importers,
@@ -166,24 +177,105 @@ QUERIES = {
     "replies_parsed": _replies,
 }
 
+_FORMS = [
+    r"(?:which|what)\s+(?:[A-Za-z0-9_]+\s+){0,2}?(?:modules?|files?|packages?|components?)\s+(?:import|imports|importing|require|requires)\s+(.+)$",
+    r"who\s+(?:imports|requires)\s+(.+)$",
+    r"where\s+is\s+(.+?)\s+(?:imported|required)(?:[^A-Za-z0-9_]|$)",
+    r"(?:list|show|find)\s+(?:all\s+)?(?:the\s+)?(?:modules?|files?)\s+(?:that\s+)?(?:import|imports|importing|require|requires)\s+(.+)$",
+]
+_PHRASE = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(q, '(?i)(?:^|[^A-Za-z0-9_]){f}', 1)), '')" for f in _FORMS) + ")"
+_PHRASES = f"iq AS (SELECT question_id, repo, regexp_replace(trim(question), '[?.!\\s]+$', '') AS q FROM {D.QUESTIONS}), ip AS (SELECT * FROM (SELECT question_id, repo, {_PHRASE} AS phrase FROM iq) WHERE phrase IS NOT NULL)"
+
+
+def _word_terms(words: str) -> str:
+    return f"list_distinct(list_filter(flatten(list_transform({words}, lambda w_: list_transform({D.split_identifier('w_')}, lambda p_: {D.stem('p_')}))), lambda k_: length(k_) >= 2))"
+
+
+def importers_sql() -> str:
+    """The importers of what questions ask about; begins after WITH."""
+    words = lambda p: f"list_filter(regexp_split_to_array({p}, '[^A-Za-z0-9_$]+'), lambda v_: v_ <> '' AND lower(v_) NOT IN ({D.quoted(E.FILLER)}))"
+    path_terms = D.path_terms("fx", "repo, file_id", "path")
+    return f"""{_RESOLVED}, {_PHRASES}, ia AS (SELECT *, {words('phrase')} AS ws, regexp_matches(phrase, '(?i)^\\S+\\s+from\\s+.+$') AS has_from FROM ip),
+ib AS (SELECT question_id, repo, CASE WHEN has_from THEN regexp_extract(phrase, '(?i)^(\\S+)\\s+from\\s+', 1) WHEN len(ws) = 1 THEN ws[1] END AS name, lower(ws[-1]) AS last, {_word_terms('ws')} AS words,
+  NOT has_from AND (regexp_matches(phrase, '(?i)(^|[^A-Za-z0-9_])(module|file|helper|package)s?$') OR len(ws) > 1) AS module, CASE WHEN has_from THEN {_word_terms(words("regexp_extract(phrase, '(?i)^\\S+\\s+from\\s+(.+)$', 1)"))} END AS hint FROM ia),
+pt AS {path_terms}, fc AS (SELECT file_id, repo, path, {D.file_class('path')} AS file_class FROM fx),
+fm AS (SELECT question_id, last, len(words) AS n, f.file_id, f.path FROM (SELECT *, unnest(words) AS term FROM ib WHERE module AND len(words) > 0) x JOIN pt USING (repo, term) JOIN fc f ON f.file_id = pt.file_id AND f.file_class = 'source' GROUP BY question_id, last, words, f.file_id, f.path HAVING count(*) = len(words)),
+fn AS (SELECT *, regexp_replace(lower({D.base_name('path')}), '[.][^.]+$', '') = last OR (regexp_replace(lower({D.base_name('path')}), '[.][^.]+$', '') = 'index' AND lower(string_split(path, '/')[-2]) = last) AS exact FROM fm),
+ff AS (SELECT question_id, CASE WHEN count(*) = 1 THEN min(file_id) WHEN count(*) FILTER (WHERE exact) = 1 THEN min(file_id) FILTER (WHERE exact) END AS target FROM fn GROUP BY question_id),
+bf AS (SELECT ff.question_id, r.file_id, r.line FROM ff JOIN res r ON r.target = ff.target),
+nm AS (SELECT DISTINCT r.repo, r.file_id, r.line, r.spec, r.target, unnest(k.names) AS name FROM res r JOIN (SELECT file_id, line, {_NAMES} AS names FROM {_ROWS}) k ON k.file_id = r.file_id AND k.line = r.line),
+pl AS (SELECT file_id, list(term) AS ts FROM pt GROUP BY file_id), bn AS (SELECT b.question_id, n.file_id, n.line FROM ib b JOIN nm n ON n.repo = b.repo AND n.name = b.name LEFT JOIN pl ON pl.file_id = n.target WHERE regexp_matches(b.name, '^[A-Za-z_$][A-Za-z0-9_$]*$') AND b.question_id NOT IN (SELECT question_id FROM bf)
+  AND (hint IS NULL OR (len(hint) > 0 AND CASE WHEN n.target IS NOT NULL THEN len(list_filter(hint, lambda t_: NOT list_contains(coalesce(ts, CAST([] AS VARCHAR[])), t_))) = 0 ELSE len(list_filter(hint, lambda u_: NOT contains(lower(n.spec), u_))) = 0 END))),
+ih AS (SELECT question_id, file_id, min(line) AS line FROM (SELECT * FROM bf UNION ALL SELECT * FROM bn) GROUP BY ALL)
+SELECT question_id, file_id, line, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN file_class = 'source' THEN 0 ELSE 1 END, path, file_id) AS rank FROM ih JOIN fc USING (file_id)"""
+
+
+_NAMES = "list_filter(list_transform(string_split(regexp_extract(text, '\\{([^{}]*)\\}\\s*(?:from|=)', 1), ','), lambda n_: trim(regexp_replace(n_, '\\s+as\\s+.*|:.*|^\\s*type\\s+', '', 'g'))), lambda m_: m_ <> '')"
 _CODE = "regexp_matches(path, '\\.([cm]?[jt]s|[jt]sx)$')"
 _ROWS = f"(SELECT file_id, repo, sha, path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM {D.FILES} WHERE {_CODE})"
 _IMPORTS = f"""i AS (SELECT file_id, repo, sha, path, line, unnest(list_concat(
   list_transform(regexp_extract_all(text, '(?:^|[\\s;}}])(?:from|import)\\s*["'']([^"''\\n]+)["'']', 1), lambda s_: {{'specifier': s_, 'kind': CASE WHEN regexp_matches(text, '^\\s*export\\b') THEN 'reexport' ELSE 'import' END}}),
   list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_$.])(?:require|import)\\(\\s*["'']([^"''\\n]+)["'']\\s*\\)', 1), lambda s_: {{'specifier': s_, 'kind': CASE WHEN contains(text, 'require(') THEN 'require' ELSE 'dynamic' END}}))) AS k FROM {_ROWS})"""
-_EXTS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
-_CAND = "[base, base || '.d.ts', base || '/index.d.ts', " + ", ".join(f"base || '{e}'" for e in _EXTS) + ", " + ", ".join(f"base || '/index{e}'" for e in _EXTS) + "]"
-_SWAP = (
-    "CASE WHEN ends_with(base, '.js') THEN [left(base, length(base) - 3) || '.ts', left(base, length(base) - 3) || '.tsx'] WHEN ends_with(base, '.jsx') THEN [left(base, length(base) - 4) || '.tsx'] "
-    "WHEN ends_with(base, '.mjs') THEN [left(base, length(base) - 4) || '.mts'] WHEN ends_with(base, '.cjs') THEN [left(base, length(base) - 4) || '.cts'] ELSE CAST([] AS VARCHAR[]) END"
-)
-# '..' is resolved by taking as many directories off as the specifier climbs; the test data holds climbs only at its start.
-_BASE = "array_to_string(list_concat(d[1:greatest(len(d) - up, 0)], list_resize(CAST([] AS VARCHAR[]), greatest(up - len(d), 0), '..'), tail), '/')"
-_RESOLVED = f"""{_IMPORTS}, r AS (SELECT file_id, repo, sha, line, k.specifier AS spec, k.kind AS kind, string_split(path, '/')[1:-2] AS d, list_filter(string_split(k.specifier, '/'), lambda s_: s_ NOT IN ('', '.')) AS p FROM i),
-b0 AS (SELECT *, len(list_filter(p, lambda s_: s_ = '..')) AS up, list_filter(p, lambda s_: s_ <> '..') AS tail FROM r WHERE starts_with(spec, '.')), b AS (SELECT *, {_BASE} AS base FROM b0),
-c0 AS (SELECT file_id, repo, sha, line, spec, kind, list_concat({_CAND}, {_SWAP}) AS cs FROM b), c AS (SELECT file_id, repo, sha, line, spec, kind, unnest(cs) AS cand, generate_subscripts(cs, 1) AS pos FROM c0),
-h AS (SELECT c.file_id, line, spec, kind, arg_min(f.file_id, pos) AS target FROM c JOIN {D.FILES} f ON f.repo = c.repo AND f.sha = c.sha AND f.path = c.cand GROUP BY ALL),
-res AS (SELECT r.file_id, r.repo, r.line, r.spec, r.kind, h.target FROM r LEFT JOIN h ON r.file_id = h.file_id AND r.line = h.line AND r.spec = h.spec AND r.kind = h.kind)"""
+
+
+def _joined(folder: str, rel: str) -> str:
+    """A relative path on a folder; '..' is taken to stand at the start of the path only, as in the test data."""
+    p = f"list_filter(string_split({rel}, '/'), lambda a_: a_ NOT IN ('', '.'))"
+    up = f"len(list_filter({p}, lambda b_: b_ = '..'))"
+    d = f"list_filter(string_split({folder}, '/'), lambda c_: c_ <> '')"
+    return f"array_to_string(list_concat(({d})[1:greatest(len({d}) - {up}, 0)], list_resize(CAST([] AS VARCHAR[]), greatest({up} - len({d}), 0), '..'), list_filter({p}, lambda e_: e_ <> '..')), '/')"
+
+
+def _cands(base: str, declarations: bool = False) -> str:
+    exts = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
+    tail = [""] + ([".d.ts", "/index.d.ts"] if declarations else []) + exts + [f"/index{e}" for e in exts]
+    swap = " ".join(f"WHEN ends_with({base}, '{e}') THEN [" + ", ".join(f"left({base}, length({base}) - {len(e)}) || '{t}'" for t in ts) + "]" for e, ts in {".js": [".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}.items())
+    return "list_concat([" + ", ".join(f"{base} || '{t}'" for t in tail) + f"], CASE {swap} ELSE CAST([] AS VARCHAR[]) END)"
+
+
+def _hit(rows: str, keys: str, name: str) -> str:
+    """keys and the file of the first candidate in ``cs`` (ordered by ``o`` before) that exists."""
+    return (
+        f"(SELECT {keys}, arg_min(f_, (o, pos)) AS {name} FROM (SELECT {keys}, repo AS r_, sha AS s_, o, unnest(cs) AS cand, generate_subscripts(cs, 1) AS pos FROM {rows}) x"
+        f" JOIN (SELECT file_id AS f_, repo AS fr_, sha AS fs_, path AS fp_ FROM fx WHERE NOT excluded) ON fr_ = x.r_ AND fs_ = x.s_ AND fp_ = x.cand GROUP BY {keys})"
+    )
+
+
+_STRIPPED = "CASE WHEN json_valid(content) THEN content ELSE regexp_replace(regexp_replace(regexp_replace(content, '/\\*.*?\\*/', '', 'gs'), '(^|[^:\"])//[^\\n]*', '\\1', 'g'), ',(\\s*[}\\]])', '\\1', 'g') END"
+_ENTRIES = f"""fx AS (SELECT file_id, repo, sha, path, content, array_to_string({D.dirs('path')}, '/') AS folder, {D.skip_reason('path')} IS NOT NULL AS excluded FROM {D.FILES}),
+m0 AS (SELECT file_id, repo, sha, folder AS dir, {_STRIPPED} AS j FROM fx WHERE {D.base_name('path')} = 'package.json'), m AS (SELECT *, CASE WHEN json_type(j, '$.name') = 'VARCHAR' THEN json_extract_string(j, '$.name') ELSE '' END AS package FROM m0 WHERE json_valid(j)),
+t0 AS (SELECT m.file_id, k.kind, k.n, e.id, json_extract_string(e.value, '$') AS target FROM m CROSS JOIN (SELECT unnest(['main', 'module', 'browser', 'bin', 'exports']) AS kind, unnest([0, 1, 2, 3, 4]) AS n) k, json_tree(m.j, '$.' || k.kind) e WHERE e.type = 'VARCHAR'),
+t1 AS (SELECT * FROM t0 WHERE NOT regexp_matches(target, '.d.[cm]?ts$|.(css|json|map)$') AND NOT starts_with(target, '/')),
+t2 AS (SELECT m.*, coalesce(t1.kind, 'main') AS entry_kind, CASE WHEN t1.target IS NULL THEN './index.js' WHEN starts_with(t1.target, '.') THEN t1.target ELSE './' || t1.target END AS target, coalesce(t1.n, 0) * 1000000 + coalesce(t1.id, 0) AS place FROM m LEFT JOIN t1 USING (file_id)),
+t3 AS (SELECT *, {_joined("''", 'target')} AS rel FROM t2), t4 AS (SELECT *, string_split(rel, '/') AS seg FROM t3),
+t5 AS (SELECT *, array_to_string(seg[2:], '/') AS tail, {_joined('dir', 'rel')} AS b0, seg[-1] AS last FROM t4),
+t6 AS (SELECT *, 0 AS o, list_concat({_cands('b0')}, CASE WHEN seg[1] IN ('dist', 'build', 'out', 'distribution', 'esm', 'cjs', 'lib') THEN list_concat({", ".join(_cands('(' + _joined('dir', f"'{x}/' || tail") + ')') for x in ('src', 'source', 'lib'))}) ELSE CAST([] AS VARCHAR[]) END,
+  {", ".join(_cands('(' + _joined('dir', f"'{x}/' || last") + ')') for x in ('src', 'source', 'lib'))}) AS cs FROM t5),
+en AS (SELECT t6.file_id, t6.repo, t6.sha, dir, package, t6.place, entry_kind, target, entry_file_id FROM t6 LEFT JOIN {_hit('t6', 'file_id, place', 'entry_file_id')} h ON h.file_id = t6.file_id AND h.place = t6.place)"""
+_KEYS = "repo, sha, folder, spec"
+_RESOLVED = f"""{_IMPORTS}, {_ENTRIES}, r AS (SELECT file_id, repo, sha, path, line, k.specifier AS spec, k.kind AS kind, array_to_string({D.dirs('path')}, '/') AS folder FROM i),
+q0 AS (SELECT DISTINCT {_KEYS} FROM r), near AS (SELECT *, {_joined('folder', 'spec')} AS base FROM q0 WHERE starts_with(spec, '.')),
+n1 AS (SELECT *, 0 AS o, {_cands('base', True)} AS cs FROM near), h1 AS (SELECT * FROM {_hit('n1', _KEYS, 'file_hit')}),
+shut AS (SELECT DISTINCT x.repo, x.sha, x.folder, x.spec FROM (SELECT {_KEYS}, unnest({_cands('base')}) AS cand FROM near) x JOIN fx f ON f.repo = x.repo AND f.sha = x.sha AND f.path = x.cand AND f.excluded),
+bydir AS (SELECT repo, sha, dir, arg_min(entry_file_id, (file_id, place)) AS dir_hit FROM en WHERE entry_file_id IS NOT NULL GROUP BY ALL), h2 AS (SELECT n.repo, n.sha, n.folder, n.spec, dir_hit FROM near n JOIN bydir b ON b.repo = n.repo AND b.sha = n.sha AND b.dir = n.base),
+bare AS (SELECT * FROM q0 WHERE NOT starts_with(spec, '.') AND NOT starts_with(spec, 'node:') AND spec NOT IN ({D.quoted(BUILTINS)})),
+named AS (SELECT repo, sha, package, arg_max(dir, file_id) AS dir, arg_min(entry_file_id, (file_id, place)) FILTER (WHERE entry_file_id IS NOT NULL) AS entry FROM en WHERE package <> '' GROUP BY ALL),
+w0 AS (SELECT b.*, n.dir, n.entry, substr(spec, length(n.package) + 2) AS sub FROM bare b JOIN named n ON n.repo = b.repo AND n.sha = b.sha AND n.package = CASE WHEN starts_with(spec, '@') THEN array_to_string(string_split(spec, '/')[1:2], '/') ELSE string_split(spec, '/')[1] END),
+w1 AS (SELECT *, {_joined('dir', 'sub')} AS b1, {_joined("dir || '/src'", 'sub')} AS b2, 0 AS o FROM w0 WHERE sub <> ''), w2 AS (SELECT *, list_concat({_cands('b1')}, {_cands('b2')}) AS cs FROM w1), h3 AS (SELECT * FROM {_hit('w2', _KEYS, 'sub_id')}),
+c0 AS (SELECT file_id AS config_id, repo, sha, folder AS dir, {_STRIPPED} AS j FROM fx WHERE regexp_matches(path, '(^|/)(tsconfig[^/]*|jsconfig)[.]json$')),
+c1 AS (SELECT *, {_joined('dir', "coalesce(json_extract_string(j, '$.compilerOptions.baseUrl'), '.')")} AS base_dir, json_extract_string(j, '$.compilerOptions.baseUrl') IS NOT NULL AS has_base FROM c0 WHERE json_valid(j)),
+c2 AS (SELECT c1.* EXCLUDE (j), e.key AS pattern, e.id AS place, unnest(from_json(e.value, '["VARCHAR"]')) AS target FROM c1, json_each(c1.j, '$.compilerOptions.paths') e UNION ALL SELECT * EXCLUDE (j), '*', 1000000000, '*' FROM c1 WHERE has_base),
+up AS (SELECT {_KEYS}, unnest(list_transform(range(0, len(list_filter(string_split(folder, '/'), lambda g_: g_ <> '')) + 1), lambda n_: array_to_string(string_split(folder, '/')[1:n_], '/'))) AS dir FROM bare),
+a0 AS (SELECT u.*, config_id, base_dir, place, pattern, target, instr(pattern, '*') AS star FROM up u JOIN c2 USING (repo, sha, dir)),
+a1 AS (SELECT *, CASE WHEN star = 0 AND pattern = spec THEN target WHEN star > 0 AND starts_with(spec, left(pattern, star - 1)) AND ends_with(spec, substr(pattern, star + 1)) AND length(spec) >= length(pattern) - 1 THEN replace(target, '*', substr(spec, star, length(spec) - length(pattern) + 1)) END AS t FROM a0),
+a2 AS (SELECT *, {_joined('base_dir', 't')} AS base, (-length(dir), config_id, place) AS o FROM a1 WHERE t IS NOT NULL), a3 AS (SELECT *, {_cands('base')} AS cs FROM a2), h4 AS (SELECT * FROM {_hit('a3', _KEYS, 'alias_id')}),
+found AS (SELECT q0.*, CASE WHEN starts_with(spec, '.') THEN coalesce(file_hit, dir_hit) ELSE coalesce(alias_id, CASE WHEN sub = '' THEN entry ELSE sub_id END) END AS target,
+  CASE WHEN starts_with(spec, '.') AND coalesce(file_hit, dir_hit) IS NOT NULL THEN 'relative:resolved' WHEN starts_with(spec, '.') AND regexp_matches(spec, '(?i)[.](css|scss|sass|less|svg|png|jpg|jpeg|gif|json|md|html|txt|wasm|node|woff|woff2)$') THEN 'relative:unresolved-asset'
+  WHEN starts_with(spec, '.') AND shut.spec IS NOT NULL THEN 'relative:unresolved-excluded-file' WHEN starts_with(spec, '.') THEN 'relative:unresolved-missing' WHEN starts_with(spec, 'node:') OR spec IN ({D.quoted(BUILTINS)}) THEN 'bare:node-builtin'
+  WHEN alias_id IS NOT NULL THEN 'alias-or-baseurl:resolved' WHEN w0.spec IS NOT NULL THEN 'workspace-package:' || CASE WHEN CASE WHEN sub = '' THEN entry ELSE sub_id END IS NULL THEN 'un' ELSE '' END || 'resolved'
+  WHEN starts_with(spec, '@/') OR starts_with(spec, '~/') OR starts_with(spec, '#') THEN 'alias:unresolved' ELSE 'bare:external-package' END AS resolution
+  FROM q0 LEFT JOIN h1 USING ({_KEYS}) LEFT JOIN shut USING ({_KEYS}) LEFT JOIN h2 USING ({_KEYS}) LEFT JOIN w0 USING ({_KEYS}) LEFT JOIN h3 USING ({_KEYS}) LEFT JOIN h4 USING ({_KEYS})),
+res AS (SELECT r.*, f.target, f.resolution FROM r JOIN found f USING ({_KEYS}))"""
 _SHOWN = f"""(SELECT f.file_id, evidence.start_line AS a, evidence.end_line AS b FROM (SELECT DISTINCT ON (support_id) support_id, trim(regexp_replace(trim(lower(repo)), '\\.git\\s*$', '')) AS repo, evidence FROM support) s JOIN {D.FILES} f ON f.repo = s.repo AND f.path = s.evidence.path WHERE evidence IS NOT NULL)"""
 _SYM = "(SELECT DISTINCT symbol_id, file_id, repo, name, kind, start_line, greatest(start_line, coalesce(end_line, start_line)) AS end_line FROM extracted_symbols)"
 
@@ -191,8 +283,15 @@ SQL = {
     "imports_found": f"WITH {_IMPORTS} SELECT file_id, line, k.specifier AS specifier, k.kind AS kind, count(*) AS n FROM i GROUP BY ALL",
     "exports_found": f"""WITH n AS (SELECT file_id, line, coalesce(nullif(regexp_extract(text, '^export\\s+(?:default\\s+)?(?:declare\\s+)?(?:abstract\\s+)?(?:async\\s+)?(?:function\\*?|class|const|let|var|interface|type|enum)\\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1), ''),
   nullif(regexp_extract(text, '^(?:module\\.)?exports\\.([A-Za-z_$][A-Za-z0-9_$]*)\\s*=', 1), '')) AS name FROM {_ROWS}) SELECT file_id, name, line FROM n WHERE name IS NOT NULL""",
-    "imports_categories": f"""WITH {_RESOLVED} SELECT repo, CASE WHEN starts_with(spec, '.') AND target IS NOT NULL THEN 'relative:resolved' WHEN starts_with(spec, '.') AND regexp_matches(spec, '(?i)\\.(css|scss|sass|less|svg|png|jpg|jpeg|gif|json|md|html|txt|wasm|node|woff|woff2)$') THEN 'relative:unresolved-asset'
-WHEN starts_with(spec, '.') THEN 'relative:unresolved-missing' WHEN starts_with(spec, 'node:') THEN 'bare:node-builtin' WHEN starts_with(spec, '@/') OR starts_with(spec, '~/') OR starts_with(spec, '#') THEN 'alias:unresolved' ELSE 'bare:external-package' END AS resolution, count(*) AS imports FROM res GROUP BY ALL""",
+    "imports_categories": f"""WITH {_RESOLVED}, n AS (SELECT repo, resolution, count(*) AS imports FROM res GROUP BY ALL),
+g AS (SELECT repo, resolution, path || ' -> ' || spec AS sample, min(file_id) AS f, min(line) AS l FROM res WHERE contains(resolution, 'unresolved') GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY repo, resolution ORDER BY f, l, sample) AS r FROM g)
+SELECT n.*, (SELECT string_agg(sample, chr(10) ORDER BY r) FROM k WHERE k.repo = n.repo AND k.resolution = n.resolution AND r <= 8) AS samples FROM n""",
+    "imports_aliases": f"WITH {_RESOLVED} SELECT DISTINCT repo, sha, folder, spec AS specifier, target AS target_file_id, resolution FROM res WHERE NOT starts_with(spec, '.') AND resolution NOT IN ('bare:node-builtin')",
+    "imports_relative": f"""WITH {_RESOLVED} SELECT count(*) FILTER (WHERE starts_with(resolution, 'relative:')) AS relative_total, count(*) FILTER (WHERE resolution = 'relative:resolved') AS relative_resolved, count(*) AS imports FROM res""",
+    "importers_files": f"WITH {importers_sql()}",
+    "importers_asked": f"""WITH {_PHRASES} SELECT question_id, regexp_replace(phrase, '[`"'']', '', 'g') AS name FROM ip""",
+    "entries_declared": f"WITH {_ENTRIES} SELECT file_id, dir, package, entry_kind, target, entry_file_id FROM en",
+    "entries_stats": f"""WITH {_ENTRIES} SELECT repo, count(*) AS declared, count(entry_file_id) AS resolved, coalesce(string_agg(DISTINCT CASE WHEN dir = '' THEN '.' ELSE dir END || ':' || target, chr(10) ORDER BY CASE WHEN dir = '' THEN '.' ELSE dir END || ':' || target) FILTER (WHERE entry_file_id IS NULL), '') AS unresolved FROM en GROUP BY repo""",
     "imports_neighbours": f"WITH {_RESOLVED}, e AS (SELECT DISTINCT file_id, target AS near FROM res WHERE target IS NOT NULL) SELECT file_id, near FROM e UNION SELECT near, file_id FROM e",
     "calls_found": f"""WITH m AS (SELECT chunk_id, unnest(regexp_extract_all(text, '(#?[A-Za-z_$][A-Za-z0-9_$]*)\\s*\\(', 1)) AS name FROM {D.CHUNKS}) SELECT chunk_id, name, count(*) AS calls FROM m WHERE name NOT IN ({D.quoted(E.NOT_A_CALL)}) GROUP BY ALL""",
     "definitions_best_chunk": f"""WITH j AS (SELECT s.symbol_id, c.chunk_id, least(c.end_line, least(s.end_line, s.start_line + 39)) - greatest(c.start_line, s.start_line) + 1 AS o FROM {_SYM} s JOIN {D.CHUNKS} c ON s.file_id = c.file_id AND c.start_line <= least(s.end_line, s.start_line + 39) AND c.end_line >= s.start_line)
