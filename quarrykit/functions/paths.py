@@ -26,6 +26,7 @@ def extension_of(path: Column) -> Column:
 
 def is_config_file(path: Column) -> Column:
     base = base_name(path)
+    # Fixed value: the dots match any character, as in the indexes to be compared with.
     return base.isin(C.CONFIG_FILES) | base.rlike(r"^tsconfig..+.json\z")
 
 
@@ -148,8 +149,13 @@ def repo_of_input(text: Column) -> Column:
     return F.when(m != "", m)
 
 
+# Phrases of a text that looks like instructions to a model.
+SUSPICIOUS = (
+    r"(?i)ignore (all |any )?(the )?(previous|prior|above) (instructions|prompts?)|disregard (the )?(system|previous)|reveal (the |your )?(system )?prompt"
+    r"|system override|you are now|as an? (ai|assistant)[, ]"
+)
+
+
 def suspicious(text: Column) -> Column:
     """Text that looks like instructions to a model; a flag for information only."""
-    return text.rlike(
-        r"(?i)ignore (?:all|any|the|previous|prior|above)[a-z ]* (?:instructions?|rules?|prompts?)|disregard (?:all|any|the|previous|prior)|you are now |system prompt|do not (?:tell|reveal)[a-z ]* user"
-    )
+    return text.rlike(SUSPICIOUS)

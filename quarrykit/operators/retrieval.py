@@ -18,6 +18,20 @@ from quarrykit.operators import index as I
 from quarrykit.session import checkpointed
 
 
+@dataclass
+class Known:
+    """What follows from the postings of an index; kept with it, else worked out for each search."""
+
+    lengths: DataFrame  # corpus, block, term_count
+    frequencies: DataFrame  # corpus, term, df
+    stats: DataFrame  # corpus, blocks, mean_length
+
+
+def _known(postings: DataFrame, blocks: DataFrame, corpus: list[str], block: str) -> Known:
+    length = I.lengths(postings, [*corpus, block])
+    return Known(length, I.document_frequencies(postings, corpus), I.corpus_stats(blocks, length, corpus, block))
+
+
 @dataclass
 class Corpus:
     """Tables of an index.  All carry ``repo``; ids are unique over repositories."""
@@ -28,6 +42,7 @@ class Corpus:
     symbols: DataFrame  # repo, symbol_id, file_id, name, qualified_name, start_line
     edges: DataFrame  # repo, file_id, target_file_id, edge_pos
     entries: DataFrame  # repo, file_id, package
+    known: Known | None = None
 
 
 def analysed(questions: DataFrame, options: SearchOptions) -> DataFrame:
@@ -40,16 +55,15 @@ def analysed(questions: DataFrame, options: SearchOptions) -> DataFrame:
     )
 
 
-def bm25(terms: DataFrame, postings: DataFrame, blocks: DataFrame, corpus: list[str], block: str, query: str, o: SearchOptions = SearchOptions()) -> DataFrame:
+def bm25(terms: DataFrame, postings: DataFrame, blocks: DataFrame, corpus: list[str], block: str, query: str, o: SearchOptions = SearchOptions(), known: Known | None = None) -> DataFrame:
     """query, block, term, weight: the BM25 share of every matched term.
 
     terms: corpus, query, term (distinct).  The terms are the small side: postings are not
     shuffled by term where the terms can be broadcast.
     """
-    length = I.lengths(postings, [*corpus, block])
-    stats = I.corpus_stats(blocks, length, corpus, block)
-    df = I.document_frequencies(postings, corpus)
-    t = terms.join(df, [*corpus, "term"])
+    k = known or _known(postings, blocks, corpus, block)
+    length, stats = k.lengths, k.stats
+    t = terms.join(k.frequencies, [*corpus, "term"])
     hit = postings.join(t, [*corpus, "term"]).join(length, [*corpus, block])
     hit = hit.join(stats, corpus) if corpus else hit.crossJoin(F.broadcast(stats))
     weight = I.bm25_weight(I.idf(F.col("blocks"), F.col("df")), F.col("tf"), F.col("term_count"), F.col("mean_length"), o.k1, o.b)
@@ -101,17 +115,23 @@ def symbol_chunks(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def path_lane(q: DataFrame, c: Corpus, lexical: DataFrame, o: SearchOptions) -> DataFrame:
     """question_id, chunk_id, path: idf-weighted share of the query in the path, for the best files' best chunks."""
-    terms = c.files.select("repo", "file_id", F.explode(T.path_terms(F.col("path"))).alias("term"))
+    best = path_files(q, c.files, o)
+    inside = best.select("question_id", "file_id", "path").join(c.chunks.select("file_id", "chunk_id"), "file_id").join(lexical, ["question_id", "chunk_id"], "left")
+    r = F.row_number().over(Window.partitionBy("question_id", "file_id").orderBy(F.desc(F.coalesce("bm25", F.lit(0.0))), "chunk_id"))
+    return inside.withColumn("r", r).where(F.col("r") <= o.per_file).select("question_id", "chunk_id", "path")
+
+
+def path_files(q: DataFrame, files: DataFrame, o: SearchOptions) -> DataFrame:
+    """question_id, file_id, path, rank: the best files of every question by the terms of their paths.  q: repo, question_id, terms."""
+    terms = files.select("repo", "file_id", F.explode(T.path_terms(F.col("path"))).alias("term"))
     df = terms.groupBy("repo", "term").agg(F.count("*").alias("path_df"))
-    n = c.files.groupBy("repo").agg(F.count("*").alias("files"))
+    n = files.groupBy("repo").agg(F.count("*").alias("files"))
     w = q.select("repo", "question_id", F.explode("terms").alias("term")).join(df, ["repo", "term"]).join(n, "repo").select("repo", "question_id", "term", I.idf(F.col("files"), F.col("path_df")).alias("w"))
     total = w.groupBy("question_id").agg(F.sum("w").alias("total"))
     scored = w.join(terms, ["repo", "term"]).groupBy("question_id", "file_id").agg(F.sum("w").alias("s")).join(total, "question_id")
     scored = scored.where("total > 0").select("question_id", "file_id", F.round(F.col("s") / F.col("total"), 12).alias("path"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("path"), "file_id"))).where(F.col("r") <= o.path_files)
-    inside = best.join(c.chunks.select("file_id", "chunk_id"), "file_id").join(lexical, ["question_id", "chunk_id"], "left")
-    r = F.row_number().over(Window.partitionBy("question_id", "file_id").orderBy(F.desc(F.coalesce("bm25", F.lit(0.0))), "chunk_id"))
-    return inside.withColumn("r", r).where(F.col("r") <= o.per_file).select("question_id", "chunk_id", "path")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("path"), "file_id"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= o.path_files)
 
 
 def entry_lane(q: DataFrame, c: Corpus, o: SearchOptions) -> DataFrame:
@@ -128,10 +148,10 @@ def search(questions: DataFrame, c: Corpus, o: SearchOptions = SearchOptions())
     """question_id, rank, chunk_id, file_id, score and the signals of the best chunks of every question."""
     q = analysed(questions, o)
     terms = q.select("repo", "question_id", F.explode("terms").alias("term"))
-    lex_terms = bm25(terms, c.postings, c.chunks, ["repo"], "chunk_id", "question_id", o)
+    k = c.known or _known(c.postings, c.chunks, ["repo"], "chunk_id")
+    lex_terms = bm25(terms, c.postings, c.chunks, ["repo"], "chunk_id", "question_id", o, k)
     lexical = checkpointed(lex_terms.groupBy("question_id", "chunk_id").agg(F.round(F.sum("weight"), 12).alias("bm25")))
-    df = I.document_frequencies(c.postings, ["repo"])
-    stats = I.corpus_stats(c.chunks, I.lengths(c.postings, ["repo", "chunk_id"]), ["repo"], "chunk_id")
+    df, stats = k.frequencies, k.stats
     lanes = [lexical.select("question_id", "chunk_id", "bm25")]
     if o.symbols:
         lanes.append(symbol_lane(q, c, df, stats).select("question_id", "chunk_id", F.round("symbol", 12).alias("symbol"), "names"))
@@ -192,8 +212,8 @@ def expanded(ranked: DataFrame, edges: DataFrame, o: SearchOptions) -> DataFrame
 def features(questions: DataFrame, results: DataFrame, c: Corpus, o: SearchOptions = SearchOptions()) -> DataFrame:
     """Abstention features of every question: top score, margin, idf coverage of the top 3 and top 1, flags and counts."""
     q = analysed(questions, o)
-    df = I.document_frequencies(c.postings, ["repo"])
-    stats = I.corpus_stats(c.chunks, I.lengths(c.postings, ["repo", "chunk_id"]), ["repo"], "chunk_id")
+    k = c.known or _known(c.postings, c.chunks, ["repo"], "chunk_id")
+    df, stats = k.frequencies, k.stats
     terms = q.select("repo", "question_id", F.explode("terms").alias("term")).join(df, ["repo", "term"], "left").join(stats, "repo").select(
         "repo", "question_id", "term", I.idf(F.col("blocks"), F.coalesce("df", F.lit(0))).alias("w")
     )

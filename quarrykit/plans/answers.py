@@ -62,7 +62,7 @@ def _named(s, d):
 
 
 def _evidence(s, d):
-    c = C.chunks(s, d).select("chunk_id", "text")
+    c = C.index_table(s, d, "chunks").select("chunk_id", "text")
     return lexical_top(s, d).where("rank <= 5").join(c, "chunk_id").withColumn("evidence_id", F.concat(F.lit("E"), F.col("rank").cast("string")))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.config import IndexConfig
 from quarrykit.functions import paths as P
 from quarrykit.operators import imports as M
 from quarrykit.operators import index as I
-from quarrykit.operators.retrieval import Corpus
+from quarrykit.operators.retrieval import Corpus, Known
 from quarrykit.session import checkpointed, table
+from quarrykit.sources import store
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
@@ -64,14 +69,77 @@ def entry_files(spark: SparkSession, d: str) -> DataFrame:
     return e.select("repo", F.col("entry_file_id").alias("file_id"), F.when(F.col("package") == "", F.col("dir")).otherwise(F.col("package")).alias("package")).distinct()
 
 
-def corpus(spark: SparkSession, d: str) -> Corpus:
-    """The index of a folder.  Its tables are written once to the shared checkpoint folder, as every lane reads them."""
-    c = checkpointed(chunks(spark, d))
-    return Corpus(
-        files=checkpointed(I.files(table(spark, d, "ingested_files")).select("repo", "file_id", "path", "file_class")),
-        chunks=c.select("repo", "chunk_id", "file_id", "start_line", "end_line"),
-        postings=checkpointed(I.term_frequencies(c, ["repo", "chunk_id"])),
-        symbols=checkpointed(symbols(spark, d).select("repo", "symbol_id", "file_id", "name", "qualified_name", "start_line")),
-        edges=checkpointed(edges(spark, d)),
-        entries=checkpointed(entry_files(spark, d)),
-    )
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, d: str) -> str:
+    """What the folder holds: its size, files and last change, so that changed data is indexed anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    sum_ = fs.getContentSummary(fs.resolvePath(path))
+    last = max((f.getModificationTime() for f in fs.listStatus(path)), default=0)
+    return f"{d}|{sum_.getLength()}|{sum_.getFileCount()}|{last}"
+
+
+def _once(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    """A table of the index of a folder: written once, read by every query of the application.
+
+    It goes to the folder of ``quarrykit.index.dir``, where other applications find it as well, else to the shared
+    checkpoint folder.  Rows are sorted by repository within ranges of it, so a query of one repository reads its part.
+    """
+    key = (spark.sparkContext.applicationId, _stamp(spark, d), name)
+    if key not in _written:
+        root = spark.conf.get("quarrykit.index.dir", None)
+        if root:
+            path = f"{root}/{hashlib.sha1(key[1].encode()).hexdigest()[:16]}"
+            try:
+                _written[key] = store.read_table(spark, path, name, CONFIG)
+            except AnalysisException:
+                store.write_table(make(), path, name, CONFIG)
+                _written[key] = store.read_table(spark, path, name, CONFIG)
+        else:
+            _written[key] = checkpointed(make())
+    return _written[key]
+
+
+CONFIG = IndexConfig()
+
+
+def document_postings(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    return _once(spark, d, "document_postings", lambda: I.term_frequencies(docs, ["doc_id"]))
+
+
+def index_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """One table of the index of a folder: files, chunks, postings, lengths, frequencies, stats, symbols, edges or entries."""
+    one = lambda n: index_table(spark, d, n)
+    make = {
+        "files": lambda: I.files(table(spark, d, "ingested_files")).select("repo", "file_id", "path", "file_class"),
+        "chunks": lambda: chunks(spark, d),
+        "postings": lambda: I.term_frequencies(one("chunks"), ["repo", "chunk_id"]),
+        "lengths": lambda: I.lengths(one("postings"), ["repo", "chunk_id"]),
+        "frequencies": lambda: I.document_frequencies(one("postings"), ["repo"]),
+        "stats": lambda: I.corpus_stats(one("chunks"), one("lengths"), ["repo"], "chunk_id"),
+        "symbols": lambda: symbols(spark, d).select("repo", "symbol_id", "file_id", "name", "qualified_name", "start_line"),
+        "edges": lambda: edges(spark, d),
+        "entries": lambda: entry_files(spark, d),
+    }
+    return _once(spark, d, name, make[name])
+
+
+class _Lazy:
+    """The tables of a corpus, each written when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self._at = (spark, d)
+
+    def __getattr__(self, name: str):
+        if name == "known":
+            return Known(*[index_table(*self._at, n) for n in ("lengths", "frequencies", "stats")])
+        t = index_table(*self._at, name)
+        return t.select("repo", "chunk_id", "file_id", "start_line", "end_line") if name == "chunks" else t
+
+
+def corpus(spark: SparkSession, d: str) -> Corpus | _Lazy:
+    """The index of a folder, as ``retrieval.Corpus``."""
+    return _Lazy(spark, d)

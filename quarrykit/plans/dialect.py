@@ -66,6 +66,13 @@ def question_terms(table: str, key: str, q: str) -> str:
   WHERE term NOT IN ({words}) GROUP BY {key}, term)"""
 
 
+def question_identifiers(table: str, key: str, q: str) -> str:
+    """key, name, pos: distinct tokens of a question that look like names, whole and in parts; pos orders them."""
+    return f"""(SELECT {key}, name, min(a * 1000 + b) AS pos FROM (SELECT {key}, a, unnest(ps) AS name, generate_subscripts(ps, 1) AS b FROM (SELECT {key}, a, list_concat([lower(t)], string_split(lower(t), '.')) AS ps FROM (
+  SELECT {key}, quoted_, unnest(tokens_) AS t, generate_subscripts(tokens_, 1) AS a FROM (SELECT {key}, {question_tokens(q)} FROM {table}))
+  WHERE list_contains(quoted_, t) OR (lower(t) NOT IN ({quoted(C.QUESTION_WORDS)}) AND (contains(t, '_') OR contains(t, '.') OR regexp_matches(t, '[a-z][A-Z]') OR regexp_matches(t, '^[A-Z][a-z]+[A-Z]'))))) GROUP BY {key}, name)"""
+
+
 def path_terms(table: str, keys: str, path: str) -> str:
     """keys, term: distinct terms of paths."""
     return (

@@ -90,7 +90,7 @@ x AS (SELECT split, rule, pos, t1, t2, should, CASE rule WHEN 'top_score' THEN t
 k AS (SELECT split, rule, pos, t1, t2, count(*) FILTER (should AND did) AS tp, count(*) FILTER (should AND NOT did) AS fn, count(*) FILTER (NOT should AND did) AS fp, count(*) FILTER (NOT should AND NOT did) AS tn FROM x GROUP BY ALL),
 z AS (SELECT *, round((tp / greatest(1, tp + fn) + tn / greatest(1, tn + fp)) / 2, 9) AS balanced FROM k)"""
 _JUDGED = """j AS (SELECT upper(label) AS human, CASE WHEN rationale IS NOT NULL THEN ['SUPPORTED', 'PARTIALLY_SUPPORTED', 'UNSUPPORTED', 'CONTRADICTED'][1 + length(claim) % 4] END AS judge FROM (SELECT DISTINCT ON (support_id) * FROM support) WHERE label IS NOT NULL)"""
-_LINES = "\n".join(f"WHEN regexp_matches(text, '{rx.replace('(?![A-Za-z0-9_])', chr(92) + 'b')}') THEN '{n}'" for n, rx in V.SYNTAX_CLASSES)
+_LINES = "\n".join(f"WHEN regexp_matches(text, '{rx}') THEN '{n}'" for n, rx in V.SYNTAX_CLASSES)
 
 SQL = {
     "eval_question_scores": f"WITH {_SCORES} SELECT * FROM sc",

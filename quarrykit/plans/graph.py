@@ -41,7 +41,7 @@ def _relative(s, d):
 
 def _hops(s, d):
     """Files one hop away over resolved imports, in both directions."""
-    e = C.edges(s, d).select("file_id", F.col("target_file_id").alias("near")).distinct()
+    e = C.index_table(s, d, "edges").select("file_id", F.col("target_file_id").alias("near")).distinct()
     return e.unionByName(e.select(F.col("near").alias("file_id"), F.col("file_id").alias("near"))).distinct()
 
 
@@ -62,7 +62,7 @@ def _asked(s, d):
 
 
 def _calls(s, d):
-    return E.calls(C.chunks(s, d), ["chunk_id"]).groupBy("chunk_id", "name").agg(F.count("*").alias("calls"))
+    return E.calls(C.index_table(s, d, "chunks"), ["chunk_id"]).groupBy("chunk_id", "name").agg(F.count("*").alias("calls"))
 
 
 def _definitions(s, d):
@@ -70,12 +70,12 @@ def _definitions(s, d):
 
     src = I.files(table(s, d, "ingested_files")).where("file_class = 'source'").select("file_id")
     sym = C.symbols(s, d).where(F.col("kind").isin("function", "method", "variable") & (F.col("end_line") > F.col("start_line"))).join(src, "file_id", "left_semi")
-    called = E.calls(C.chunks(s, d), ["repo", "file_id"]).select("repo", "file_id", "name").distinct()
-    return E.called_definitions(called, sym, C.edges(s, d)).select("from_file", "name", "symbol_id")
+    called = E.calls(C.index_table(s, d, "chunks"), ["repo", "file_id"]).select("repo", "file_id", "name").distinct()
+    return E.called_definitions(called, sym, C.index_table(s, d, "edges")).select("from_file", "name", "symbol_id")
 
 
 def _best_overlap(s, d):
-    return E.best_overlap(C.symbols(s, d), C.chunks(s, d)).select("symbol_id", "chunk_id", "overlap")
+    return E.best_overlap(C.symbols(s, d), C.index_table(s, d, "chunks")).select("symbol_id", "chunk_id", "overlap")
 
 
 def _support_lines(s, d):
@@ -91,13 +91,13 @@ def _enclosing(s, d):
 def _verified(s, d):
     """The best chunks of every question, read again from source; a chunk is tampered with where its end was cut."""
     whole = table(s, d, "extracted_chunks").dropDuplicates(["chunk_id"]).select("chunk_id", F.coalesce("end_line", F.lit(-1)).alias("stored_end"))
-    top = lexical_top(s, d).join(C.chunks(s, d).select("chunk_id", "chunk_hash"), "chunk_id").join(whole, "chunk_id")
+    top = lexical_top(s, d).join(C.index_table(s, d, "chunks").select("chunk_id", "chunk_hash"), "chunk_id").join(whole, "chunk_id")
     top = top.withColumn("end_line", F.when(F.col("stored_end") < 0, F.col("end_line") - 1).otherwise(F.col("stored_end")))
     return E.verified(top, C.sources(s, d)).select("question_id", "rank", "chunk_id", "reason", "suspect")
 
 
 def _admitted(s, d):
-    top = lexical_top(s, d).join(C.chunks(s, d).select("chunk_id", F.length("text").alias("chars")), "chunk_id").select("question_id", "rank", "chunk_id", "chars")
+    top = lexical_top(s, d).join(C.index_table(s, d, "chunks").select("chunk_id", F.length("text").alias("chars")), "chunk_id").select("question_id", "rank", "chunk_id", "chars")
     return E.admit(top, "question_id", ["rank"], "chars", 8, 6_000).select("question_id", "evidence_id", "chunk_id", "chars")
 
 
@@ -106,7 +106,7 @@ def _not_shown(s, d):
     sup = table(s, d, "support").dropDuplicates(["support_id"]).where("evidence IS NOT NULL")
     shown = sup.select(C.repo_key(F.col("repo")).alias("repo"), F.col("evidence.path").alias("path"), F.col("evidence.start_line").alias("start_line"), F.col("evidence.end_line").alias("end_line"))
     shown = shown.join(C.sources(s, d).select("file_id", "repo", "path"), ["repo", "path"]).select("file_id", "start_line", "end_line")
-    ch = C.chunks(s, d).join(shown.select("file_id").distinct(), "file_id", "left_semi").select("chunk_id", "file_id", "start_line", "end_line")
+    ch = C.index_table(s, d, "chunks").join(shown.select("file_id").distinct(), "file_id", "left_semi").select("chunk_id", "file_id", "start_line", "end_line")
     return E.not_shown(ch, shown, ["file_id"]).select("chunk_id", "file_id")
 
 
@@ -146,7 +146,7 @@ def _replies(s, d):
 
 def _claims(s, d):
     """First quotable line of every chunk: the deterministic stand-in for a model."""
-    return C.chunks(s, d).select("chunk_id", X.extractive_claim(F.col("text")).alias("claim"))
+    return C.index_table(s, d, "chunks").select("chunk_id", X.extractive_claim(F.col("text")).alias("claim"))
 
 
 def _suspects(s, d):
@@ -301,14 +301,14 @@ SELECT symbol_id, arg_min(chunk_id, -o * 1000000000000 + chunk_id) AS chunk_id,
   FROM top t JOIN o USING (chunk_id) JOIN c USING (chunk_id) JOIN {D.FILES} f ON f.file_id = t.file_id),
 x AS (SELECT *, start_line < 1 OR e > len(lines) OR start_line > e AS bad FROM j), y AS (SELECT *, CASE WHEN NOT bad THEN array_to_string(lines[start_line:e], chr(10)) END AS text FROM x)
 SELECT question_id, rank, chunk_id, CASE WHEN bad THEN 'range-outside-file' WHEN left(sha1(text), 12) <> h THEN 'source-mismatch' END AS reason,
-coalesce(regexp_matches(text, '(?i)ignore (?:all|any|the|previous|prior|above)[a-z ]* (?:instructions?|rules?|prompts?)|disregard (?:all|any|the|previous|prior)|you are now |system prompt|do not (?:tell|reveal)[a-z ]* user'), false) AS suspect FROM y""",
+coalesce(regexp_matches(text, '{P.SUSPICIOUS}'), false) AS suspect FROM y""",
     "evidence_admitted": f"""WITH RECURSIVE {LEXICAL}, s AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS k, chunk_id, length(c.text) AS chars FROM top JOIN c USING (chunk_id)),
 w AS (SELECT question_id, k, chunk_id, chars, true AS ok, 1 AS n, chars AS total FROM s WHERE k = 1 UNION ALL
   SELECT s.question_id, s.k, s.chunk_id, s.chars, a, w.n + CASE WHEN a THEN 1 ELSE 0 END, w.total + CASE WHEN a THEN s.chars ELSE 0 END FROM w JOIN s ON s.question_id = w.question_id AND s.k = w.k + 1, LATERAL (SELECT w.n < 8 AND w.total + s.chars <= 6000 AS a))
 SELECT question_id, 'E' || n AS evidence_id, chunk_id, chars FROM w WHERE ok""",
     "evidence_not_shown": f"""WITH s AS (SELECT * FROM {_SHOWN}) SELECT c.chunk_id, c.file_id FROM {D.CHUNKS} c WHERE c.file_id IN (SELECT file_id FROM s) AND NOT EXISTS (SELECT 1 FROM s WHERE s.file_id = c.file_id AND c.start_line <= s.b AND c.end_line >= s.a)""",
     "evidence_claims": f"""SELECT chunk_id, list_filter(list_transform(string_split(text, chr(10)), lambda s_: trim(s_)), lambda x_: length(x_) >= 12 AND NOT regexp_matches(x_, '^(//|/?\\*|#)'))[1] AS claim FROM {D.CHUNKS}""",
-    "evidence_suspects": "SELECT doc_id, coalesce(regexp_matches(text, '(?i)ignore (?:all|any|the|previous|prior|above)[a-z ]* (?:instructions?|rules?|prompts?)|disregard (?:all|any|the|previous|prior)|you are now |system prompt|do not (?:tell|reveal)[a-z ]* user'), false) AS suspect FROM documents",
+    "evidence_suspects": f"SELECT doc_id, coalesce(regexp_matches(text, '{P.SUSPICIOUS}'), false) AS suspect FROM documents",
     "citations_checked": f"""WITH s AS (SELECT DISTINCT ON (support_id) support_id, trim(regexp_replace(trim(lower(repo)), '\\.git\\s*$', '')) AS repo, evidence FROM support),
 f AS (SELECT repo, path, arg_max(n, sha || lpad(CAST(n AS VARCHAR), 9, '0')) AS n FROM (SELECT repo, path, sha, {D.line_count('content')} AS n FROM {D.FILES}) GROUP BY repo, path),
 j AS (SELECT s.support_id, evidence.start_line AS a0, evidence.end_line AS b0, f.n FROM s LEFT JOIN f ON f.repo = s.repo AND f.path = s.evidence.path), k AS (SELECT *, coalesce(a0, b0) AS a, coalesce(b0, a0) AS b FROM j)

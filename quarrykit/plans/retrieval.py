@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quarrykit.config import SearchOptions
 from quarrykit.functions import text as T
-from quarrykit.operators import index as I
 from quarrykit.operators import retrieval as R
 from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
@@ -17,25 +16,24 @@ from quarrykit.session import checkpointed, table
 def _passages(s, d):
     """Every passage as a question over all documents: BM25, the best ten."""
     docs = table(s, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    post = checkpointed(I.term_frequencies(docs, ["doc_id"]))
+    post = C.document_postings(s, d)
     terms = table(s, d, "eval_passages").select("item_id", F.explode(T.question_terms(F.col("text"))).alias("term"))
-    hits = R.bm25(terms, post, docs, [], "doc_id", "item_id")
+    hits = R.bm25(terms, post, docs.select("doc_id"), [], "doc_id", "item_id")
     scored = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum("weight"), 9).alias("score"))
     return R.top_k(scored, "item_id", "doc_id", 10).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 def lexical(s, d):
     """Questions over the chunks of their repository, by terms alone."""
-    c = C.chunks(s, d)
-    post = checkpointed(I.term_frequencies(c, ["repo", "chunk_id"]))
     terms = C.questions(s, d).select("repo", "question_id", F.explode(T.question_terms(F.col("question"))).alias("term"))
-    hits = R.bm25(terms, post, c, ["repo"], "chunk_id", "question_id")
+    c = C.corpus(s, d)
+    hits = R.bm25(terms, c.postings, c.chunks, ["repo"], "chunk_id", "question_id", known=c.known)
     return hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum("weight"), 9).alias("score"), F.count("*").alias("terms"))
 
 
 def lexical_top(s, d):
     """Three chunks of a file at most, ten of a question, with their place."""
-    c = C.chunks(s, d).select("chunk_id", "file_id", "path", "start_line", "end_line")
+    c = C.index_table(s, d, "chunks").select("chunk_id", "file_id", "path", "start_line", "end_line")
     top = R.capped_top_k(lexical(s, d).join(c, "chunk_id"), "question_id", "file_id", "chunk_id", 3, 10)
     return top.select("question_id", "rank", "chunk_id", "file_id", "path", "start_line", "end_line", "terms", F.round("score", 6).alias("score"))
 
@@ -48,28 +46,18 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORD
 
 
 def _symbol_chunks(s, d):
-    return R.symbol_chunks(C.symbols(s, d), C.chunks(s, d)).select("symbol_id", "chunk_id")
+    return R.symbol_chunks(C.symbols(s, d), C.index_table(s, d, "chunks")).select("symbol_id", "chunk_id")
 
 
 def _path_hits(s, d):
     """The best ten files of every question by the terms of their paths."""
-    from pyspark.sql import Window
-
-    c = C.corpus(s, d)
     q = C.questions(s, d).select("repo", "question_id", T.question_terms(F.col("question")).alias("terms"))
-    terms = c.files.select("repo", "file_id", F.explode(T.path_terms(F.col("path"))).alias("term"))
-    df = terms.groupBy("repo", "term").agg(F.count("*").alias("df"))
-    n = c.files.groupBy("repo").agg(F.count("*").alias("files"))
-    w = q.select("repo", "question_id", F.explode("terms").alias("term")).join(df, ["repo", "term"]).join(n, "repo").withColumn("w", I.idf(F.col("files"), F.col("df")))
-    total = w.groupBy("question_id").agg(F.sum("w").alias("total"))
-    got = w.join(terms, ["repo", "term"]).groupBy("question_id", "file_id").agg(F.sum("w").alias("s")).join(total, "question_id")
-    got = got.select("question_id", "file_id", F.round(F.col("s") / F.col("total"), 9).alias("score"))
-    r = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "file_id"))
-    return got.withColumn("rank", r).where("rank <= 10").select("question_id", "file_id", "rank", F.round("score", 6).alias("score"))
+    got = R.path_files(q, C.index_table(s, d, "files"), SearchOptions())
+    return got.select("question_id", "file_id", "rank", F.round("path", 6).alias("score"))
 
 
 def _search(s, d):
-    return R.search(C.questions(s, d), C.corpus(s, d))
+    return R.search(C.questions(s, d), C.corpus(s, d)).withColumn("names", F.array_join("names", " "))
 
 
 def _control(s, d):

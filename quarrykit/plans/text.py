@@ -57,22 +57,22 @@ def _merged(s, d):
 
 
 def _hashes(s, d):
-    return C.chunks(s, d).select("chunk_id", "end_line", "chunk_hash", F.length("text").alias("chars"))
+    return C.index_table(s, d, "chunks").select("chunk_id", "end_line", "chunk_hash", F.length("text").alias("chars"))
 
 
 def _vocabulary(s, d):
-    p = I.term_frequencies(C.chunks(s, d), ["repo", "chunk_id"])
+    p = C.index_table(s, d, "postings")
     return p.groupBy("repo", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def _stats(s, d):
-    c = C.chunks(s, d)
-    st = I.corpus_stats(c.select("repo", "chunk_id"), I.lengths(I.term_frequencies(c, ["repo", "chunk_id"]), ["repo", "chunk_id"]), ["repo"], "chunk_id")
+    c = C.index_table(s, d, "chunks")
+    st = I.corpus_stats(c.select("repo", "chunk_id"), C.index_table(s, d, "lengths"), ["repo"], "chunk_id")
     return st.select("repo", "blocks", F.round("mean_length", 6).alias("mean_length"))
 
 
 def _links(s, d):
-    c = C.chunks(s, d).join(C.sources(s, d).select("file_id", "sha"), "file_id")
+    c = C.index_table(s, d, "chunks").join(C.sources(s, d).select("file_id", "sha"), "file_id")
     return c.select("chunk_id", T.permalink(F.col("repo"), F.col("sha"), F.col("path"), F.col("start_line"), F.col("end_line")).alias("link"))
 
 
@@ -80,7 +80,7 @@ def _quotes(s, d):
     """Whether the first line of every symbol, quoted with its number, stands in the chunk that holds it."""
     from quarrykit.operators.retrieval import symbol_chunks
 
-    c = C.chunks(s, d)
+    c = C.index_table(s, d, "chunks")
     placed = symbol_chunks(C.symbols(s, d), c).select("symbol_id", "chunk_id")
     sym = C.symbols(s, d).select("symbol_id", "file_id", "start_line")
     src = C.sources(s, d).select("file_id", "content")
@@ -126,6 +126,8 @@ SQL = {
 SELECT name, array_to_string({D.split_identifier('name')}, ' ') AS parts, array_to_string({D.identifier_terms('name')}, ' ') AS terms, {_VERB.format(b='b', t='p')} AS verb_stem FROM b""",
     "text_question_terms": f"""WITH q AS (SELECT * FROM {D.QUESTIONS}), t AS (SELECT * FROM {D.question_terms('q', 'question_id', 'question')})
 SELECT question_id, coalesce(string_agg(term, ' ' ORDER BY pos), '') AS terms FROM q LEFT JOIN t USING (question_id) GROUP BY question_id""",
+    "text_question_identifiers": f"""WITH q AS (SELECT * FROM {D.QUESTIONS}), t AS (SELECT * FROM {D.question_identifiers('q', 'question_id', 'question')})
+SELECT question_id, coalesce(string_agg(name, ' ' ORDER BY name), '') AS identifiers FROM q LEFT JOIN t USING (question_id) GROUP BY question_id""",
     "text_path_terms": f"""WITH s AS (SELECT file_id, generate_subscripts(x, 1) AS a, unnest(x) AS seg FROM (SELECT file_id, string_split(path, '/') AS x FROM {D.FILES})),
 p AS (SELECT file_id, a, generate_subscripts(y, 1) AS b, unnest(y) AS t FROM (SELECT file_id, a, {D.split_identifier("regexp_replace(seg, '[.][A-Za-z0-9]+$', '')")} AS y FROM s)),
 d AS (SELECT file_id, term, min(a * 1000 + b) AS pos FROM (SELECT file_id, a, b, {D.stem('t')} AS term FROM p) WHERE length(term) >= 2 GROUP BY file_id, term)

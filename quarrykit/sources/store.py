@@ -34,6 +34,18 @@ def read(spark: SparkSession, root: str, name: str, config: IndexConfig) -> Data
     return d.where(F.col("schema_version") == VERSION).drop("schema_version")
 
 
+def write_table(df: DataFrame, root: str, name: str, config: IndexConfig) -> None:
+    """A table of an index of many repositories, in ranges of them and sorted, so that row groups can be passed over."""
+    d = df.withColumn("schema_version", F.lit(VERSION))
+    if "repo" in df.columns:
+        d = d.repartitionByRange("repo").sortWithinPartitions("repo")
+    d.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{config_key(config)}/{name}")
+
+
+def read_table(spark: SparkSession, root: str, name: str, config: IndexConfig) -> DataFrame:
+    return read(spark, root, name, config)
+
+
 def locked(spark: SparkSession, folder: str, lock: DataFrame) -> DataFrame:
     """Files of a folder whose SHA-256 differs from the lock table (name, sha256), or that only one side has."""
     have = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
