@@ -66,15 +66,19 @@ def _hashed(w: str) -> int:
 
 def gram_hashes(ws: list[str], n: int) -> list[int]:
     """A 64-bit hash of every run of n words, by position."""
+    return gram_array(ws, n).tolist()
+
+
+def gram_array(ws: list[str], n: int) -> np.ndarray:
     if n < 1 or len(ws) < n:
-        return []
+        return np.zeros(0, np.int64)
     h = np.fromiter(map(_hashed, ws), np.uint64, len(ws))
     roll = np.zeros(len(ws) - n + 1, np.uint64)
     for j in range(n):
         roll = roll * _BASE + h[j : j + len(roll)]
         roll ^= roll >> np.uint64(31)
     roll *= _MIX
-    return (roll ^ (roll >> np.uint64(29))).view(np.int64).tolist()
+    return (roll ^ (roll >> np.uint64(29))).view(np.int64)
 
 
 def local_alignments(a: list[str], b: list[str], least: int = 1, enough: int | None = None) -> Iterator[list[tuple[int, int]]]:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.llm.alignment import coverage, gram_hashes, words
+from quarrykit.llm.alignment import coverage, gram_array, gram_hashes, words
 from quarrykit.session import checkpointed, spread
 
 SEED = 3  # words of a seed
@@ -58,11 +58,9 @@ def _passage_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _document_batches(lengths: list[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            grams = []
-            for t in b.text:
-                w = words(t)
-                grams.append([[int(p), int(g)] for n in lengths for p, g in enumerate(gram_hashes(w, n))])
-            yield pd.DataFrame({"doc_id": b.doc_id, "grams": grams})
+            ws = [words(t) for t in b.text]
+            for n in lengths:
+                yield pd.DataFrame({"doc_id": b.doc_id, "grams": [gram_array(w, n) for w in ws]})
 
     return run
 
@@ -106,8 +104,8 @@ def alignments(documents: DataFrame, passages: DataFrame) -> DataFrame:
     # a seed is as long as its passage or SEED words, so there are SEED lengths at most
     lengths = sorted(r.n for r in classes.select(F.least(F.size("item_words"), F.lit(SEED)).alias("n")).distinct().collect())
     source = documents.select("doc_id", "text").where("text <> ''")
-    d = spread(source).mapInPandas(_document_batches(lengths), "doc_id BIGINT, grams ARRAY<STRUCT<doc_pos: BIGINT, gram: BIGINT>>")
-    grams = d.select("doc_id", F.explode("grams").alias("g")).select("doc_id", F.col("g.doc_pos").cast("int").alias("doc_pos"), F.col("g.gram").alias("gram"))
+    d = spread(source).mapInPandas(_document_batches(lengths), "doc_id BIGINT, grams ARRAY<BIGINT>")
+    grams = d.select("doc_id", F.posexplode("grams").alias("doc_pos", "gram"))
     if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     hits = checkpointed(
