@@ -134,22 +134,27 @@ def best_fit(sizes: list[int], capacity: int, first: bool = False) -> list[list[
 FILLINGS, STEPS = 12, 400  # fillings of one container that are tried, steps that look for them
 
 
-def dominated(chosen: tuple[int, ...], left: int, others: list[int]) -> bool:
-    """Whether a filling is dominated: some of its sizes could give way to one larger size that is left out and
-    still fits (Martello and Toth), or two and more of them to one of the same sum.
+def dominated(chosen: tuple[int, ...], left: int, others: int) -> bool:
+    """Whether a filling is dominated: some of its sizes (or none) could give way to one larger size that is left out
+    and still fits (Martello and Toth), or two and more of them to one of the same sum.
 
-    others: distinct sizes of which one is left out.  Sums of subsets are the bits of a number.
+    others: bit x is set if a size x is left out.  The sums of all subsets are the bits of a number too, so the
+    sums that a size x may replace, x - left to x - 1, meet it after a few shifts.
     """
     any_sum, two_sum = 1, 0
     for s in chosen:
         two_sum |= (two_sum << s) | ((any_sum & ~1) << s)
         any_sum |= any_sum << s
-    for x in others:
-        low = max(0, x - left)
-        below = (any_sum >> low) & ((1 << (x - low)) - 1)  # sums of low to x - 1
-        if below or two_sum >> x & 1:
-            return True
-    return False
+    if two_sum & others:
+        return True
+    if left <= 0:
+        return False
+    larger, width = any_sum << 1, 1
+    while width < left:
+        step = min(width, left - width)
+        larger |= larger << step
+        width += step
+    return bool(larger & others)
 
 
 def completions(room: int, sizes: list[int], count: dict[int, int], slack: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
@@ -164,6 +169,17 @@ def completions(room: int, sizes: list[int], count: dict[int, int], slack: int,
     if smallest is None or smallest > room:
         return [()] if room <= slack else []
     steps = 0
+    free = 0
+    for s in sizes:
+        if count[s] and s <= room:
+            free |= 1 << s
+
+    def left_out(chosen: tuple[int, ...]) -> int:
+        used = 0
+        for s in set(chosen):
+            if chosen.count(s) >= count[s]:
+                used |= 1 << s
+        return free & ~used
 
     def extend(k: int, left: int, chosen: tuple[int, ...]) -> None:
         nonlocal steps
@@ -179,7 +195,7 @@ def completions(room: int, sizes: list[int], count: dict[int, int], slack: int,
                     extend(j, left - s, (*chosen, s))
                     if steps > STEPS:
                         return
-        if not more and left <= slack and not dominated(chosen, left, [s for s in sizes if s <= room and count[s] > chosen.count(s)]):
+        if not more and left <= slack and not dominated(chosen, left, left_out(chosen)):
             found.append((left, chosen))
 
     extend(bisect.bisect_left([-s for s in sizes], -room), room, ())

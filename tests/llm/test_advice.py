@@ -98,7 +98,8 @@ def test_no_leak_has_fewer_seeds_than_needed(spark):
 
 # ---- 6
 def test_dominated_fillings():
-    assert K.dominated((3, 4), 2, [8]) and K.dominated((3, 4), 2, [5]) and K.dominated((3, 4), 0, [7]) and not K.dominated((3, 4), 0, [5, 6]) and not K.dominated((9,), 1, [4, 3])
+    bits = lambda *xs: sum(1 << x for x in xs)
+    assert K.dominated((3, 4), 2, bits(8)) and K.dominated((3, 4), 2, bits(5)) and K.dominated((3, 4), 0, bits(7)) and not K.dominated((3, 4), 0, bits(5, 6)) and not K.dominated((9,), 1, bits(4, 3)) and K.dominated((9,), 3, bits(3))
     sizes = [60, 45, 44, 36, 30, 20, 11]
     count = dict.fromkeys(sizes, 1)
     got = K.completions(100, sizes, count, 100)
