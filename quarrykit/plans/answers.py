@@ -13,6 +13,7 @@ from quarrykit.operators import validation as W
 from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
 from quarrykit.plans.evaluation import _SCORES
+from quarrykit.plans.graph import _ENTRIES
 from quarrykit.plans.retrieval import LEXICAL, lexical_top
 from quarrykit.session import checkpointed, table
 
@@ -79,10 +80,15 @@ def _read_back(s, d):
     return r.select("question_id", "evidence_id", "path", "start_line", "end_line", F.sha1("text").alias("text_sha1"))
 
 
+def stand_in_replies(s, d):
+    """Evidence of every question, and the parsed replies of the stand-in to it."""
+    e = checkpointed(_evidence(s, d).select("question_id", "evidence_id", F.col("rank").alias("place"), "path", "start_line", "end_line", "text"))
+    return e, W.parsed(PR.stand_in(e).withColumnRenamed("question_id", "reply_id"))
+
+
 def _answers(s, d):
     """The stand-in answers every question that has evidence; its replies go through the parser and the citation check."""
-    e = checkpointed(_evidence(s, d).select("question_id", "evidence_id", F.col("rank").alias("place"), "path", "start_line", "end_line", "text"))
-    replies = W.parsed(PR.stand_in(e).withColumnRenamed("question_id", "reply_id"))
+    e, replies = stand_in_replies(s, d)
     v = W.verdicts(replies, e.select(F.col("question_id").alias("reply_id"), "evidence_id", "text", F.lit(False).alias("suspect")))
     return W.answer_status(v).select(F.col("reply_id").alias("question_id"), "claims", "answer_status")
 
@@ -170,9 +176,74 @@ QUERIES = {
     "eval_needs_met": _needs,
 }
 
+_ASKS_ENTRY = "(?i)(^|[^A-Za-z0-9_])(?:entry[\\s-]?(?:points?|files?|modules?)|package\\s+(?:exports?|entr(?:y|ies))|main\\s+(?:file|module|entry)|exports?\\s+(?:field|map))([^A-Za-z0-9_]|$)"
+_SUP = "(SELECT DISTINCT ON (support_id) * FROM support)"
+_COLS = ("'SUPPORTED'", "'PARTIALLY_SUPPORTED'", "'UNSUPPORTED'", "'CONTRADICTED'")
+_STAND_IN = f"""{LEXICAL}, ev AS (SELECT question_id, rank, c.text, list_transform(string_split(c.text, chr(10)), lambda s_: trim(s_, ' ')) AS ls FROM top t JOIN c USING (chunk_id) WHERE rank <= 5),
+qu AS (SELECT *, substr(coalesce(list_filter(ls, lambda x_: length(x_) >= 12 AND NOT regexp_matches(x_, '^(//|/?\\*|#)'))[1], list_filter(ls, lambda y_: length(y_) > 0)[1]), 1, 200) AS quote FROM ev WHERE rank <= 3), ok AS (SELECT * FROM qu WHERE length(quote) >= 3)"""
+SQL = {
+    "entries_package": f"""WITH {_ENTRIES}, p AS (SELECT DISTINCT repo, CASE WHEN package = '' THEN dir ELSE package END AS package FROM en WHERE entry_file_id IS NOT NULL), q AS (SELECT * FROM {D.QUESTIONS} WHERE regexp_matches(question, '{_ASKS_ENTRY}')),
+j AS (SELECT question_id, package, package = string_split(q.repo, '/')[-1] AS own, len(list_filter(string_split(regexp_replace(' ' || lower(question) || ' ', '[^a-z0-9_@/.-]+', ' ', 'g'), ' '), lambda w_: regexp_replace(w_, '[.]+$', '') IN (lower(package), string_split(lower(package), '/')[-1]))) > 0 AS named FROM q JOIN p USING (repo)),
+g AS (SELECT question_id, count(*) AS n, min(package) AS one, count(*) FILTER (named) AS names, min(package) FILTER (named) AS nm, min(package) FILTER (own) AS ow FROM j GROUP BY ALL)
+SELECT * FROM (SELECT question_id, CASE WHEN n = 1 THEN one WHEN names = 1 THEN nm WHEN names = 0 THEN ow END AS package FROM g) WHERE package IS NOT NULL""",
+    "questions_file_named": f"""WITH f0 AS (SELECT file_id, repo, path FROM {D.FILES}), f AS (SELECT * FROM f0 WHERE {D.file_class('path')} = 'source'),
+w AS (SELECT repo, file_id AS question_id, list_filter(regexp_split_to_array(regexp_replace({D.base_name('path')}, '[.][^.]+$', ''), '[^a-z]+'), lambda x_: length(x_) >= 4 AND NOT ends_with(x_, 's')) AS words FROM f0),
+t AS {D.path_terms('f', 'repo, file_id, path', 'path')}, x AS (SELECT repo, question_id, words[-1] AS last, len(list_distinct(words)) AS n, unnest(list_distinct(words)) AS term FROM w WHERE len(words) > 0),
+h AS (SELECT question_id, file_id, path, last, n FROM x JOIN t USING (repo, term) GROUP BY ALL HAVING count(*) = n),
+e AS (SELECT *, lower(regexp_replace({D.base_name('path')}, '[.][^.]+$', '')) = last OR (lower(regexp_replace({D.base_name('path')}, '[.][^.]+$', '')) = 'index' AND lower(string_split(path, '/')[-2]) = last) AS exact FROM h),
+g AS (SELECT question_id, CASE WHEN count(*) = 1 THEN min(file_id) WHEN count(*) FILTER (exact) = 1 THEN min(file_id) FILTER (exact) END AS file_id FROM e GROUP BY question_id) SELECT * FROM g WHERE file_id IS NOT NULL""",
+    "answers_stand_in": f"""WITH {_STAND_IN} SELECT question_id, count(*) AS claims, CASE WHEN bool_and(length(quote) >= 3 AND contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g')))) THEN 'answered' ELSE 'rejected' END AS answer_status FROM ok GROUP BY question_id""",
+    "claims_affirmed": f"""WITH c AS (SELECT support_id, regexp_split_to_array(regexp_replace(claim, '(?i)(^|[^A-Za-z0-9_])(?:but|however|although|while)(?:[^A-Za-z0-9_]|$)', '\\1.', 'g'), '[.;:!?]') AS cs FROM {_SUP}),
+m AS (SELECT support_id, list_filter(cs, lambda x_: regexp_matches(x_, '(?i)touches|returns|logs') AND NOT regexp_matches(right(regexp_extract(x_, '(?i)^([^.;:!?]*?)(?:touches|returns|logs)', 1), 60), '(?i)(^|[^A-Za-z0-9_])(?:not|never|no|cannot|without|nor|neither|none|lacks?|fails? to)([^A-Za-z0-9_]|$)|n[''’]t([^A-Za-z0-9_]|$)')) AS ok FROM c)
+SELECT support_id, CASE WHEN ok IS NOT NULL THEN len(ok) > 0 END AS affirmed FROM m""",
+    "eval_changed_ranks": f"""WITH {_SCORES}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY question_id, file_id ORDER BY score DESC, chunk_id) AS r1 FROM top) WHERE r1 <= 1) WHERE rk <= 10),
+m1 AS (SELECT t.question_id, min(t.rk) AS first_hit FROM one t JOIN e USING (question_id) WHERE t.path = x.path AND (x.lines[1] IS NULL OR (t.start_line <= x.lines[2] AND t.end_line >= x.lines[1])) GROUP BY ALL)
+SELECT question_id, sc.first_hit AS before, m1.first_hit AS after FROM sc LEFT JOIN m1 USING (question_id) WHERE NOT negative AND sc.first_hit IS DISTINCT FROM m1.first_hit""",
+    "extract_cover": _cover,
+    "extract_status": lambda s, d: X.status_counts(_extracted(s, d)),
+    "entries_package": _packages,
+    "entries_manifest": _manifests,
+    "entries_declaring_lines": _declaring,
+    "questions_file_named": _named,
+    "prompts_read_back": _read_back,
+    "answers_stand_in": _answers,
+    "reviews_labels": _reviews,
+    "reviews_problems": _review_problems,
+    "replies_judged": _judged,
+    "claims_affirmed": _affirmed,
+    "requests_ranges": _ranges,
+    "requests_searches": _searches,
+    "eval_failures": _failures,
+    "eval_changed_ranks": _changed,
+    "eval_needs_met": _needs,
+}
+
+_ASKS_ENTRY = "(?i)(^|[^A-Za-z0-9_])(?:entry[\\s-]?(?:points?|files?|modules?)|package\\s+(?:exports?|entr(?:y|ies))|main\\s+(?:file|module|entry)|exports?\\s+(?:field|map))([^A-Za-z0-9_]|$)"
 _SUP = "(SELECT DISTINCT ON (support_id) * FROM support)"
 _COLS = ("'SUPPORTED'", "'PARTIALLY_SUPPORTED'", "'UNSUPPORTED'", "'CONTRADICTED'")
+_STAND_IN = f"""{LEXICAL}, ev AS (SELECT question_id, rank, c.text, list_transform(string_split(c.text, chr(10)), lambda s_: trim(s_, ' ')) AS ls FROM top t JOIN c USING (chunk_id) WHERE rank <= 5),
+qu AS (SELECT *, substr(coalesce(list_filter(ls, lambda x_: length(x_) >= 12 AND NOT regexp_matches(x_, '^(//|/?\\*|#)'))[1], list_filter(ls, lambda y_: length(y_) > 0)[1]), 1, 200) AS quote FROM ev WHERE rank <= 3), ok AS (SELECT * FROM qu WHERE length(quote) >= 3)"""
 SQL = {
+    "entries_package": f"""WITH {_ENTRIES}, p AS (SELECT DISTINCT repo, CASE WHEN package = '' THEN dir ELSE package END AS package FROM en WHERE entry_file_id IS NOT NULL), q AS (SELECT * FROM {D.QUESTIONS} WHERE regexp_matches(question, '{_ASKS_ENTRY}')),
+j AS (SELECT question_id, package, package = string_split(q.repo, '/')[-1] AS own, len(list_filter(string_split(regexp_replace(' ' || lower(question) || ' ', '[^a-z0-9_@/.-]+', ' ', 'g'), ' '), lambda w_: regexp_replace(w_, '[.]+$', '') IN (lower(package), string_split(lower(package), '/')[-1]))) > 0 AS named FROM q JOIN p USING (repo)),
+g AS (SELECT question_id, count(*) AS n, min(package) AS one, count(*) FILTER (named) AS names, min(package) FILTER (named) AS nm, min(package) FILTER (own) AS ow FROM j GROUP BY ALL)
+SELECT * FROM (SELECT question_id, CASE WHEN n = 1 THEN one WHEN names = 1 THEN nm WHEN names = 0 THEN ow END AS package FROM g) WHERE package IS NOT NULL""",
+    "questions_file_named": f"""WITH f0 AS (SELECT file_id, repo, path FROM {D.FILES}), f AS (SELECT * FROM f0 WHERE {D.file_class('path')} = 'source'),
+w AS (SELECT repo, file_id AS question_id, list_filter(regexp_split_to_array(regexp_replace({D.base_name('path')}, '[.][^.]+$', ''), '[^a-z]+'), lambda x_: length(x_) >= 4 AND NOT ends_with(x_, 's')) AS words FROM f0),
+t AS {D.path_terms('f', 'repo, file_id, path', 'path')}, x AS (SELECT repo, question_id, words[-1] AS last, len(list_distinct(words)) AS n, unnest(list_distinct(words)) AS term FROM w WHERE len(words) > 0),
+h AS (SELECT question_id, file_id, path, last, n FROM x JOIN t USING (repo, term) GROUP BY ALL HAVING count(*) = n),
+e AS (SELECT *, lower(regexp_replace({D.base_name('path')}, '[.][^.]+$', '')) = last OR (lower(regexp_replace({D.base_name('path')}, '[.][^.]+$', '')) = 'index' AND lower(string_split(path, '/')[-2]) = last) AS exact FROM h),
+g AS (SELECT question_id, CASE WHEN count(*) = 1 THEN min(file_id) WHEN count(*) FILTER (exact) = 1 THEN min(file_id) FILTER (exact) END AS file_id FROM e GROUP BY question_id) SELECT * FROM g WHERE file_id IS NOT NULL""",
+    "answers_stand_in": f"""WITH {_STAND_IN} SELECT question_id, count(*) AS claims, CASE WHEN bool_and(length(quote) >= 3 AND contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g')))) THEN 'answered' ELSE 'rejected' END AS answer_status FROM ok GROUP BY question_id""",
+    "claims_affirmed": f"""WITH c AS (SELECT support_id, regexp_split_to_array(regexp_replace(claim, '(?i)(^|[^A-Za-z0-9_])(?:but|however|although|while)(?:[^A-Za-z0-9_]|$)', '\\1.', 'g'), '[.;:!?]') AS cs FROM {_SUP}),
+m AS (SELECT support_id, list_filter(cs, lambda x_: regexp_matches(x_, '(?i)touches|returns|logs') AND NOT regexp_matches(right(regexp_extract(x_, '(?i)^([^.;:!?]*?)(?:touches|returns|logs)', 1), 60), '(?i)(^|[^A-Za-z0-9_])(?:not|never|no|cannot|without|nor|neither|none|lacks?|fails? to)([^A-Za-z0-9_]|$)|n[''’]t([^A-Za-z0-9_]|$)')) AS ok FROM c)
+SELECT support_id, CASE WHEN ok IS NOT NULL THEN len(ok) > 0 END AS affirmed FROM m""",
+    "eval_changed_ranks": f"""WITH {_SCORES}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY question_id, file_id ORDER BY score DESC, chunk_id) AS r1 FROM top) WHERE r1 <= 1) WHERE rk <= 10),
+m1 AS (SELECT t.question_id, min(t.rk) AS first_hit FROM one t JOIN e USING (question_id) WHERE t.path = x.path AND (x.lines[1] IS NULL OR (t.start_line <= x.lines[2] AND t.end_line >= x.lines[1])) GROUP BY ALL)
+SELECT question_id, sc.first_hit AS before, m1.first_hit AS after FROM sc LEFT JOIN m1 USING (question_id) WHERE NOT negative AND sc.first_hit IS DISTINCT FROM m1.first_hit""",
+    "eval_needs_met": f"""WITH {_SCORES}, nn AS (SELECT question_id, coalesce(category, '(none)') AS pattern, item, x.path AS path, coalesce(x.lines[1], 1) AS a, coalesce(x.lines[2], 1000000) AS b FROM e JOIN q USING (question_id)),
+nk AS (SELECT nn.*, EXISTS (SELECT 1 FROM top t WHERE t.question_id = nn.question_id AND rank <= 5 AND t.path = nn.path AND t.start_line <= nn.b AND t.end_line >= nn.a) AS met FROM nn),
+nc AS (SELECT pattern, question_id, count(*) AS needs, count(*) FILTER (met) AS met, bool_and(met) AS whole FROM nk GROUP BY ALL) SELECT pattern, count(*) AS cases, CAST(sum(needs) AS BIGINT) AS needs, CAST(sum(met) AS BIGINT) AS met, count(*) FILTER (whole) AS "full" FROM nc GROUP BY pattern""",
     "extract_cover": f"SELECT file_id, n AS line_count, n AS covered, 1 AS first, n AS last FROM (SELECT file_id, path, {D.line_count('c')} AS n FROM (SELECT file_id, path, ltrim(content, chr(65279)) AS c FROM {D.FILES})) WHERE {D.language_of('path')} IN ('javascript', 'typescript', 'tsx') AND n > 0",
     "entries_manifest": f"""WITH f AS (SELECT repo, sha, path FROM {D.FILES}), k AS (SELECT repo, sha, path, unnest(range(0, len(string_split(path, '/')))) AS depth FROM f), m AS (SELECT *, array_to_string(list_append(string_split(path, '/')[1:depth], 'package.json'), '/') AS manifest FROM k)
 SELECT m.repo, m.sha, m.path, arg_max(m.manifest, depth) AS manifest FROM m JOIN f ON f.repo = m.repo AND f.sha = m.sha AND f.path = m.manifest GROUP BY ALL""",

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrykit.operators import evaluation as V
+from quarrykit.operators import questions as QN
 from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
-from quarrykit.plans.retrieval import LEXICAL, lexical_top
+from quarrykit.plans.fused import FEATURES
+from quarrykit.plans.retrieval import LEXICAL, features, lexical_top
 from quarrykit.session import checkpointed, table
 
+PAIRS = [(low, high) for low in (0.2, 0.3, 0.4) for high in (0.5, 0.65)]
 LABELS = ["SUPPORTED", "PARTIALLY_SUPPORTED", "UNSUPPORTED", "CONTRADICTED"]
 
 
@@ -22,15 +25,10 @@ def _aggregate(s, d):
 
 
 def _rows(s, d):
-    """Features of questions that SQL can say as well: the number of words, of capitals and of quotes."""
+    """Features of every question as the fused search gives them, with its split and whether it should be declined."""
     sp = table(s, d, "repos").where(F.col("split").isNotNull()).select(C.repo_key(F.col("repo")).alias("repo"), "split").distinct()
-    q = C.questions(s, d).join(sp, "repo")
-    n = F.length("question")
-    return q.select(
-        "split", (F.coalesce(F.size("expected"), F.lit(0)) <= 0).alias("should"), F.round(n / 100, 6).alias("top_score"), F.round(F.length(F.regexp_replace("question", "[^aeiou]", "")) / n, 6).alias("idf_coverage"),
-        F.round(F.length(F.regexp_replace("question", "[^a-m]", "")) / n, 6).alias("top1_coverage"), F.round(F.length(F.regexp_replace("question", "[^A-Z]", "")) / n, 6).alias("margin"),
-        F.col("question").contains("`").alias("exact_symbol"), F.col("question").contains('"').alias("path_hit"),
-    )
+    q = C.questions(s, d).join(sp, "repo").select("question_id", "split", (F.coalesce(F.size("expected"), F.lit(0)) <= 0).alias("should"))
+    return checkpointed(features(s, d).join(q, "question_id"))
 
 
 def _confusions(s, d):
@@ -41,6 +39,16 @@ def _chosen(s, d):
     return V.chosen_thresholds(_confusions(s, d))
 
 
+def _policies(s, d):
+    """What every pair of coverage thresholds would do with the questions of a split."""
+    return QN.policy_grid(_rows(s, d), PAIRS)
+
+
+def _disagreements(s, d):
+    """Per-label counts of human and judge, and the claims on which they disagree."""
+    return V.label_counts(_judged(s, d), LABELS)
+
+
 def _judged(s, d):
     """Labels of claims, and a judge that goes by the length of the claim; a claim without rationale has no judgement."""
     sup = table(s, d, "support").dropDuplicates(["support_id"]).where("label IS NOT NULL")
@@ -54,7 +62,9 @@ QUERIES = {
     "eval_aggregate": _aggregate,
     "eval_confusions": _confusions,
     "eval_thresholds": _chosen,
+    "eval_policies": _policies,
     "eval_agreement": lambda s, d: V.agreement(_judged(s, d), LABELS),
+    "eval_label_counts": _disagreements,
     "eval_confusion_matrix": lambda s, d: V.confusion_matrix(_judged(s, d)),
     "eval_syntax_classes": lambda s, d: C.sources(s, d).where(F.col("path").rlike(r"\.jsx?$")).select("file_id", F.posexplode(F.split("content", "\n")).alias("i", "text"))
     .groupBy("file_id", V.syntax_class(F.col("text")).alias("syntax_class")).agg(F.count("*").alias("lines")),
@@ -82,13 +92,12 @@ def _grid_sql() -> str:
     return f"(VALUES {', '.join(rows)}) g(rule, pos, t1, t2)"
 
 
-_ROWS = f"""r AS (SELECT s.split, coalesce(len(expected), 0) = 0 AS should, round(length(question) / 100, 6) AS top_score, round(length(regexp_replace(question, '[^aeiou]', '', 'g')) / length(question), 6) AS idf_coverage,
-  round(length(regexp_replace(question, '[^a-m]', '', 'g')) / length(question), 6) AS top1_coverage, round(length(regexp_replace(question, '[^A-Z]', '', 'g')) / length(question), 6) AS margin, contains(question, '`') AS exact_symbol, contains(question, '"') AS path_hit
-  FROM {D.QUESTIONS} q JOIN (SELECT DISTINCT trim(lower(repo)) AS repo, split FROM repos WHERE split IS NOT NULL) s USING (repo)),
-x AS (SELECT split, rule, pos, t1, t2, should, CASE rule WHEN 'top_score' THEN top_score < t1 WHEN 'idf_coverage' THEN idf_coverage < t1 WHEN 'top1_coverage' THEN top1_coverage < t1 WHEN 'margin' THEN margin < t1
-  WHEN 'no_structure' THEN NOT exact_symbol AND NOT path_hit AND top1_coverage < t1 ELSE idf_coverage < t1 OR top_score < t2 END AS did FROM r CROSS JOIN {_grid_sql()}),
-k AS (SELECT split, rule, pos, t1, t2, count(*) FILTER (should AND did) AS tp, count(*) FILTER (should AND NOT did) AS fn, count(*) FILTER (NOT should AND did) AS fp, count(*) FILTER (NOT should AND NOT did) AS tn FROM x GROUP BY ALL),
-z AS (SELECT *, round((tp / greatest(1, tp + fn) + tn / greatest(1, tn + fp)) / 2, 9) AS balanced FROM k)"""
+_FEATURE_ROWS = f"""{FEATURES}, rw AS (SELECT s.split, coalesce(len(expected), 0) = 0 AS should, ff.* FROM ff JOIN q USING (question_id) JOIN (SELECT DISTINCT trim(lower(repo)) AS repo, split FROM repos WHERE split IS NOT NULL) s USING (repo))"""
+_ROWS = f"""{_FEATURE_ROWS},
+xr AS (SELECT split, rule, pos, t1, t2, should, CASE rule WHEN 'top_score' THEN top_score < t1 WHEN 'idf_coverage' THEN idf_coverage < t1 WHEN 'top1_coverage' THEN top1_coverage < t1 WHEN 'margin' THEN margin < t1
+  WHEN 'no_structure' THEN NOT exact_symbol AND NOT path_hit AND top1_coverage < t1 ELSE idf_coverage < t1 OR top_score < t2 END AS did FROM rw CROSS JOIN {_grid_sql()}),
+kx AS (SELECT split, rule, pos, t1, t2, count(*) FILTER (should AND did) AS tp, count(*) FILTER (should AND NOT did) AS fn, count(*) FILTER (NOT should AND did) AS fp, count(*) FILTER (NOT should AND NOT did) AS tn FROM xr GROUP BY ALL),
+z AS (SELECT *, round((tp / greatest(1, tp + fn) + tn / greatest(1, tn + fp)) / 2, 9) AS balanced FROM kx)"""
 _JUDGED = """j AS (SELECT upper(label) AS human, CASE WHEN rationale IS NOT NULL THEN ['SUPPORTED', 'PARTIALLY_SUPPORTED', 'UNSUPPORTED', 'CONTRADICTED'][1 + length(claim) % 4] END AS judge FROM (SELECT DISTINCT ON (support_id) * FROM support) WHERE label IS NOT NULL)"""
 _LINES = "\n".join(f"WHEN regexp_matches(text, '{rx}') THEN '{n}'" for n, rx in V.SYNTAX_CLASSES)
 
@@ -104,6 +113,9 @@ SELECT b.rule, b.pos, b.t1, b.t2, b.tp, b.fn, b.fp, b.tn, b.balanced, h.tp AS ho
 pe AS (SELECT sum((SELECT count(*) FROM s WHERE human = l) / greatest(1, n) * (SELECT count(*) FROM s WHERE judge = l) / greatest(1, n)) AS pe FROM n, (VALUES ('SUPPORTED'), ('PARTIALLY_SUPPORTED'), ('UNSUPPORTED'), ('CONTRADICTED')) v(l))
 SELECT n, round(agree / n, 6) AS accuracy, round((agree / n - pe) / (1 - pe), 6) AS kappa, (SELECT count(*) FROM s WHERE human IN ('UNSUPPORTED', 'CONTRADICTED') AND judge NOT IN ('UNSUPPORTED', 'CONTRADICTED')) AS unsafe_agreements,
 (SELECT count(*) FROM s WHERE human = 'SUPPORTED' AND judge IN ('UNSUPPORTED', 'CONTRADICTED')) AS over_rejections, (SELECT count(*) FROM j WHERE judge IS NULL) AS unclassified FROM n, pe""",
+    "eval_policies": f"""WITH {_FEATURE_ROWS}, g(low, high) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in PAIRS)})
+SELECT low, high, CASE WHEN evidence = 0 OR idf_coverage < low THEN 'insufficient' WHEN idf_coverage < high THEN 'caution' ELSE 'answer' END AS decision, count(*) AS questions FROM rw CROSS JOIN g GROUP BY ALL""",
+    "eval_label_counts": f"WITH {_JUDGED} SELECT l AS label, count(*) FILTER (human = l) AS human, count(*) FILTER (judge = l) AS judge, count(*) FILTER (human = l AND judge = l) AS both_, count(*) FILTER (human = l AND judge <> l) AS disagreements FROM j, (VALUES ('SUPPORTED'), ('PARTIALLY_SUPPORTED'), ('UNSUPPORTED'), ('CONTRADICTED')) v(l) GROUP BY l",
     "eval_confusion_matrix": f"WITH {_JUDGED} SELECT human, judge, count(*) AS n FROM j WHERE judge IS NOT NULL GROUP BY human, judge",
     "eval_syntax_classes": f"WITH r AS (SELECT file_id, unnest(string_split(content, chr(10))) AS text FROM {D.FILES} WHERE regexp_matches(path, '\\.jsx?$')), c AS (SELECT file_id, CASE {_LINES} ELSE 'other' END AS syntax_class FROM r) SELECT file_id, syntax_class, count(*) AS lines FROM c GROUP BY ALL",
 }

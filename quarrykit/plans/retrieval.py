@@ -67,12 +67,13 @@ def _control(s, d):
     return r.select("question_id", "rank", "chunk_id", "score")
 
 
+def features(s, d):
+    c, q = C.corpus(s, d), C.questions(s, d)
+    return R.features(q, checkpointed(R.search(q, c)), c)
+
+
 def _features(s, d):
-    c = C.corpus(s, d)
-    q = C.questions(s, d)
-    r = checkpointed(R.search(q, c))
-    f = R.features(q, r, c)
-    return f.withColumn("decision", R.decision(F.col("idf_coverage"), F.col("evidence")))
+    return features(s, d).withColumn("decision", R.decision(F.col("idf_coverage"), F.col("evidence")))
 
 
 QUERIES = {
