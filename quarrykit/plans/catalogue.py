@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from quarrykit.plans import answers, evaluation, files, fused, graph, planted, requests, retrieval, text
+    from quarrykit.plans import answers, evaluation, files, fused, graph, planted, requests, retrieval, service, text
 
-    return files, text, retrieval, graph, evaluation, requests, answers, planted, fused
+    return files, text, retrieval, graph, evaluation, requests, answers, planted, fused, service
 
 
 def queries() -> dict[str, Query]:
