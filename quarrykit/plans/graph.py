@@ -294,6 +294,11 @@ SELECT n.*, (SELECT string_agg(sample, chr(10) ORDER BY r) FROM k WHERE k.repo =
     "entries_stats": f"""WITH {_ENTRIES} SELECT repo, count(*) AS declared, count(entry_file_id) AS resolved, coalesce(string_agg(DISTINCT CASE WHEN dir = '' THEN '.' ELSE dir END || ':' || target, chr(10) ORDER BY CASE WHEN dir = '' THEN '.' ELSE dir END || ':' || target) FILTER (WHERE entry_file_id IS NULL), '') AS unresolved FROM en GROUP BY repo""",
     "imports_neighbours": f"WITH {_RESOLVED}, e AS (SELECT DISTINCT file_id, target AS near FROM res WHERE target IS NOT NULL) SELECT file_id, near FROM e UNION SELECT near, file_id FROM e",
     "calls_found": f"""WITH m AS (SELECT chunk_id, unnest(regexp_extract_all(text, '(#?[A-Za-z_$][A-Za-z0-9_$]*)\\s*\\(', 1)) AS name FROM {D.CHUNKS}) SELECT chunk_id, name, count(*) AS calls FROM m WHERE name NOT IN ({D.quoted(E.NOT_A_CALL)}) GROUP BY ALL""",
+    "definitions_called": f"""WITH {_RESOLVED}, cm AS (SELECT repo, file_id, unnest(regexp_extract_all(text, '(#?[A-Za-z_$][A-Za-z0-9_$]*)\\s*\\(', 1)) AS name FROM {D.CHUNKS}), cl AS (SELECT DISTINCT repo, file_id, regexp_replace(name, '^#', '') AS name FROM cm WHERE name NOT IN ({D.quoted(E.NOT_A_CALL)})),
+sy AS (SELECT s.* FROM {_SYM} s JOIN fx USING (file_id) WHERE s.kind IN ('function', 'method', 'variable') AND s.end_line > s.start_line AND {D.file_class('path')} = 'source'), ed AS (SELECT DISTINCT file_id, target FROM res WHERE target IS NOT NULL),
+j AS (SELECT cl.repo, cl.file_id AS from_file, cl.name, sy.symbol_id, CASE WHEN sy.file_id = cl.file_id THEN 0 WHEN ed.target IS NOT NULL THEN 1 ELSE 2 END AS tier FROM cl JOIN sy ON sy.repo = cl.repo AND sy.name = cl.name LEFT JOIN ed ON ed.file_id = cl.file_id AND ed.target = sy.file_id),
+g AS (SELECT repo, from_file, name, {", ".join(f"count(*) FILTER (tier = {t}) AS n{t}, min(symbol_id) FILTER (tier = {t}) AS s{t}" for t in range(3))} FROM j GROUP BY ALL)
+SELECT * FROM (SELECT from_file, name, CASE WHEN n0 > 0 THEN CASE WHEN n0 = 1 THEN s0 END WHEN n1 > 0 THEN CASE WHEN n1 = 1 THEN s1 END WHEN n2 = 1 THEN s2 END AS symbol_id FROM g) WHERE symbol_id IS NOT NULL""",
     "definitions_best_chunk": f"""WITH j AS (SELECT s.symbol_id, c.chunk_id, least(c.end_line, least(s.end_line, s.start_line + 39)) - greatest(c.start_line, s.start_line) + 1 AS o FROM {_SYM} s JOIN {D.CHUNKS} c ON s.file_id = c.file_id AND c.start_line <= least(s.end_line, s.start_line + 39) AND c.end_line >= s.start_line)
 SELECT symbol_id, arg_min(chunk_id, -o * 1000000000000 + chunk_id) AS chunk_id, max(o) AS overlap FROM j GROUP BY symbol_id""",
     "symbols_enclosing": f"""WITH l AS (SELECT DISTINCT file_id, a AS line FROM {_SHOWN}) SELECT l.file_id, l.line, arg_min(s.symbol_id, (s.end_line - s.start_line) * 1000000000000 + s.symbol_id) AS symbol_id FROM l JOIN {_SYM} s ON s.file_id = l.file_id AND l.line BETWEEN s.start_line AND s.end_line GROUP BY ALL""",

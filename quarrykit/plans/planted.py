@@ -8,6 +8,7 @@ from quarrykit.operators import evidence as E
 from quarrykit.operators import imports as M
 from quarrykit.operators import index as I
 from quarrykit.plans import dialect as D
+from quarrykit.session import checkpointed
 
 SHA = "a" * 40
 _MANIFEST = '{"name": "@acme/core", "exports": {".": {"import": "./dist/main.js", "types": "./dist/main.d.ts"}, "./extra": ["./lib/extra.mjs"]}, "bin": {"acme": "bin/run"}, "browser": {"./a": false}}'
@@ -73,7 +74,7 @@ def _frame(s, rows, columns):
 
 def _planted(s):
     f = _frame(s, FILES, FILE_COLUMNS)
-    e = M.entries(M.packages(f), f)
+    e = checkpointed(M.entries(M.packages(f), f))
     return f, e, M.resolved(M.import_rows(f), f, e, M.compiler_configs(f))
 
 
@@ -90,14 +91,57 @@ def _importers(s, d):
     return E.importers(_frame(s, QUESTIONS, QUESTION_COLUMNS), r, I.files(f)).select("question_id", "file_id", "line", "rank")
 
 
-QUERIES = {"imports_planted": _imports, "entries_planted": _entries, "importers_planted": _importers}
+CHUNKS = [(100 + i, i, 1, n) for i, n in ((1, 15), (2, 1), (5, 1), (9, 1), (12, 1), (13, 2), (14, 1), (16, 2))]
+CHUNK_COLUMNS = "chunk_id BIGINT, file_id BIGINT, start_line INT, end_line INT"
+SHOWN = [(1, 13, 1, 1), (4, 2, 1, 1)]
+SHOWN_COLUMNS = "question_id BIGINT, file_id BIGINT, start_line INT, end_line INT"
+
+
+def _importer_blocks(s, d):
+    f, _, r = _planted(s)
+    found = E.importers(_frame(s, QUESTIONS, QUESTION_COLUMNS), r, I.files(f))
+    return E.importer_blocks(found, _frame(s, CHUNKS, CHUNK_COLUMNS), _frame(s, SHOWN, SHOWN_COLUMNS), 2).select("question_id", "chunk_id", "place")
+
+
+# question_id, repo, file_id, name, pos of calls in the blocks shown; symbols with their best chunk; terms of the questions
+CALLED = [(1, "r", 1, "openStore", 0), (1, "r", 1, "flush", 1), (1, "r", 1, "flush", 2), (1, "r", 1, "closeStore", 3), (1, "r", 1, "#hidden", 4), (2, "r", 1, "flush", 0), (2, "r", 1, "unknown", 1)]
+CALLED_COLUMNS = "question_id BIGINT, repo STRING, file_id BIGINT, name STRING, pos INT"
+MEANT = [(1, "openStore", 11), (1, "flush", 12), (1, "closeStore", 13), (1, "hidden", 14)]
+MEANT_COLUMNS = "from_file BIGINT, name STRING, symbol_id BIGINT"
+BEST = [(11, 201), (12, 202), (13, 201), (14, 203)]
+BEST_COLUMNS = "symbol_id BIGINT, chunk_id BIGINT"
+TERMS = [(1, "store"), (1, "open"), (2, "flush")]
+TERM_COLUMNS = "question_id BIGINT, term STRING"
+ON_SHOW = [(2, 202), (1, 299)]
+ON_SHOW_COLUMNS = "question_id BIGINT, chunk_id BIGINT"
+
+
+def _definitions(s, d):
+    best = _frame(s, BEST, BEST_COLUMNS)
+    return E.definition_candidates(
+        _frame(s, CALLED, CALLED_COLUMNS), _frame(s, MEANT, MEANT_COLUMNS), best.select("symbol_id"), _frame(s, TERMS, TERM_COLUMNS), best, _frame(s, ON_SHOW, ON_SHOW_COLUMNS), 2
+    )
+
+
+QUERIES = {"importer_blocks_planted": _importer_blocks, "definition_blocks_planted": _definitions, "imports_planted": _imports, "entries_planted": _entries, "importers_planted": _importers}
 
 
 def _sql() -> dict[str, str]:
     from quarrykit.plans.graph import _ENTRIES, _RESOLVED, importers_sql
 
     files = cte("ingested_files", FILES, FILE_COLUMNS)
+    asked = f"questions AS (SELECT *, NULL AS category, NULL AS expected, NULL AS added_at FROM (WITH {cte('q_', QUESTIONS, QUESTION_COLUMNS)} SELECT * FROM q_))"
+    found = importers_sql().rsplit("\nSELECT question_id", 1)
+    tables = ", ".join(cte(n, r, c) for n, r, c in (("cl", CALLED, CALLED_COLUMNS), ("mt", MEANT, MEANT_COLUMNS), ("bs", BEST, BEST_COLUMNS), ("tm", TERMS, TERM_COLUMNS), ("sw", ON_SHOW, ON_SHOW_COLUMNS)))
     return {
+        "importer_blocks_planted": f"""WITH {files}, {asked}, {cte('ck', CHUNKS, CHUNK_COLUMNS)}, {cte('sw', SHOWN, SHOWN_COLUMNS)}, {found[0]}, im AS (SELECT question_id{found[1].replace("AS rank FROM", "AS rank, file_class FROM")}),
+i1 AS (SELECT *, max(file_class = 'source') OVER (PARTITION BY question_id) AS any_ FROM im), i2 AS (SELECT * FROM i1 WHERE (NOT any_ OR file_class = 'source') AND NOT EXISTS (SELECT 1 FROM sw WHERE sw.question_id = i1.question_id AND sw.file_id = i1.file_id AND i1.line BETWEEN sw.start_line AND sw.end_line)),
+i3 AS (SELECT question_id, chunk_id, min(rank) AS rank FROM i2 JOIN ck ON ck.file_id = i2.file_id AND line BETWEEN ck.start_line AND ck.end_line GROUP BY ALL) SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY rank, chunk_id) AS place FROM i3) WHERE place <= 2""",
+        "definition_blocks_planted": f"""WITH {tables}, o AS (SELECT question_id, symbol_id, any_value(mt.name) AS name, count(*) AS calls, min(pos) AS pos FROM cl JOIN mt ON mt.from_file = cl.file_id AND mt.name = regexp_replace(cl.name, '^#', '') GROUP BY ALL),
+sh AS (SELECT question_id, symbol_id, count(DISTINCT term) AS shared FROM (SELECT question_id, symbol_id, unnest(list_transform({D.split_identifier('name')}, lambda t_: {D.stem('t_')})) AS term FROM o) JOIN tm USING (question_id, term) GROUP BY ALL),
+c AS (SELECT o.*, chunk_id, coalesce(shared, 0) AS shared FROM o LEFT JOIN sh USING (question_id, symbol_id) JOIN bs USING (symbol_id) WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.question_id = o.question_id AND sw.chunk_id = bs.chunk_id)),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY shared DESC, calls DESC, pos, symbol_id) AS r FROM c) WHERE r = 1)
+SELECT * FROM (SELECT question_id, chunk_id, symbol_id, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, calls DESC, pos, symbol_id) AS place FROM r) WHERE place <= 2""",
         "imports_planted": f"WITH {files}, {_RESOLVED} SELECT file_id, line, spec AS specifier, kind, target AS target_file_id, resolution FROM res",
         "entries_planted": f"WITH {files}, {_ENTRIES} SELECT file_id, dir, package, entry_kind, target, entry_file_id FROM en",
         "importers_planted": f"WITH {files}, questions AS (SELECT *, NULL AS category, NULL AS expected, NULL AS added_at FROM (WITH {cte('q_', QUESTIONS, QUESTION_COLUMNS)} SELECT * FROM q_)), {importers_sql()}",
