@@ -405,7 +405,7 @@ def scan(s: str) -> list[tuple[int, int, str, int]]:
     return _merge(s, _scan(s, 0)) if s else []
 
 
-_BROKEN_RUN = re.compile(r"[A-Za-z0-9+/_-]{24}[^\nA-Za-z0-9][^\n]{0,8}\n|[A-Za-z0-9+/_-]{24}\n")
+_BROKEN_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+[^\n]{0,9}\n")
 _FIRST_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,})(?:\\[nr])*[ \t\"'`+,\\]*\r?\n")
 _NEXT_RUN = re.compile(r"[ \t#*/>|\"'`+]*(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]+={0,2})(?:\\[nr])*[ \t\"'`+,;)\\\]]*\r?(?:\n|\Z)")
 _PIECES = re.compile(r"[\"'`]\s*\+\s*[\"'`]|\]\s*\.join\(")
