@@ -20,7 +20,7 @@ from quarrykit.plans import files as PF
 from quarrykit.providers import FolderSource, ModelProvider, SourceProvider, StandIn
 from quarrykit.session import checkpointed
 
-TABLES = ("files", "chunks", "postings", "lengths", "frequencies", "stats", "symbols", "edges", "entries")
+TABLES = ("files", "chunks", "postings", "lengths", "frequencies", "stats", "symbols", "declared", "imports", "edges", "entries")
 
 
 def build_index(spark: SparkSession, folder: str) -> dict[str, int]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarrykit import config as C
 from quarrykit.functions import paths as P
 from quarrykit.functions import text as T
+from quarrykit.session import checkpointed
 from quarrykit.sources import jsonc
 
 FROM = r"(?:^|[\s;}])(?:from|import)\s*[\"']([^\"'\n]+)[\"']"
@@ -91,6 +92,17 @@ def indexed(files: DataFrame) -> DataFrame:
     return files.select("file_id", "repo", "sha", "path", P.skip_reason(F.col("path")).isNotNull().alias("excluded"))
 
 
+def _tried(rows: DataFrame, keys: list[Column | str], bases: Column, declarations: bool = False) -> DataFrame:
+    """keys, repo, sha, order, cand of an array of base paths, those that are null left out.
+
+    A base is a row of its own before its candidates are made of it: a path is put together by a fold, which
+    would else be run for each of them.
+    """
+    each = rows.select(*keys, F.posexplode(bases).alias("b", "base")).where("base IS NOT NULL")
+    kept = [c for c in each.columns if c not in ("b", "base")]
+    return each.select(*kept, "b", F.posexplode(candidates(F.col("base"), declarations)).alias("pos", "cand")).withColumn("order", F.struct("b", "pos")).drop("b", "pos")
+
+
 def _first_hit(tries: DataFrame, keys: list[str], files: DataFrame, name: str) -> DataFrame:
     """tries: keys, repo, sha, order, cand -> keys and the file of the first candidate in order that exists."""
     target = files.where(~F.col("excluded")).select("repo", "sha", F.col("path").alias("cand"), F.col("file_id").alias("hit"))
@@ -111,8 +123,9 @@ def alias_hits(asked: DataFrame, configs: DataFrame, files: DataFrame) -> DataFr
     by_rule = F.transform("rules", lambda r, i: F.struct((i + 1).alias("place"), alias_candidates(F.col("specifier"), r["pattern"], r["target"]).alias("target")))
     own = F.when(F.col("has_base"), F.array(F.struct(F.lit(1_000_000).alias("place"), F.col("specifier").alias("target")))).otherwise(F.array().cast("array<struct<place:int,target:string>>"))
     t = j.select(*_ASKED, "dir", "config_id", "base_dir", F.explode(F.concat(by_rule, own)).alias("t")).where("t.target IS NOT NULL")
-    tries = t.select(*_ASKED, F.struct(-F.length("dir"), "config_id", "t.place").alias("rule"), F.posexplode(candidates(P.joined_path(F.col("base_dir"), F.col("t.target")))).alias("pos", "cand"))
-    return _first_hit(tries.withColumn("order", F.struct("rule", "pos")), _ASKED, files, "alias_id")
+    rule = F.struct(-F.length("dir"), "config_id", "t.place").alias("rule")
+    tries = _tried(t, [*_ASKED, rule], F.array(P.joined_path(F.col("base_dir"), F.col("t.target"))))
+    return _first_hit(tries.withColumn("order", F.struct("rule", "order")), _ASKED, files, "alias_id")
 
 
 def workspace_hits(asked: DataFrame, packs: DataFrame, files: DataFrame) -> DataFrame:
@@ -122,8 +135,7 @@ def workspace_hits(asked: DataFrame, packs: DataFrame, files: DataFrame) -> Data
     """
     i = asked.withColumn("package", T.package_of(F.col("specifier"))).join(packs, ["repo", "sha", "package"])
     sub = F.substring("specifier", F.length("package") + 2, F.length("specifier"))
-    two = F.concat(candidates(P.joined_path(F.col("dir"), sub)), candidates(P.joined_path(F.concat(F.col("dir"), F.lit("/src")), sub)))
-    tries = i.where(sub != "").select(*_ASKED, F.posexplode(two).alias("order", "cand"))
+    tries = _tried(i.where(sub != ""), _ASKED, F.array(P.joined_path(F.col("dir"), sub), P.joined_path(F.concat(F.col("dir"), F.lit("/src")), sub)))
     j = i.join(_first_hit(tries, _ASKED, files, "sub_id"), _ASKED, "left")
     return j.select(*_ASKED, F.lit(True).alias("workspace"), F.when(sub == "", F.col("entry_file_id")).otherwise(F.col("sub_id")).alias("workspace_id"))
 
@@ -139,10 +151,11 @@ def resolved(imports: DataFrame, files: DataFrame, packs: DataFrame | None = Non
     """
     spec, relative = F.col("specifier"), F.col("specifier").startswith(".")
     files = indexed(files)
-    i = imports.withColumn("folder", directory(F.col("path")))
+    # imports are read off the texts once; all lookups below go over these narrow rows
+    i = checkpointed(imports.withColumn("folder", directory(F.col("path"))))
     asked = i.select(*_ASKED).distinct()
     base = P.joined_path(F.col("folder"), spec)
-    near = asked.where(relative).withColumn("base", base)
+    near = asked.where(relative).select(*_ASKED, F.explode(F.array(base)).alias("base"))
     found = _first_hit(near.select(*_ASKED, F.posexplode(candidates(F.col("base"), declarations)).alias("order", "cand")), _ASKED, files, "file_hit")
     shut = near.select(*_ASKED, F.explode(candidates(F.col("base"))).alias("cand")).join(files.where("excluded").select("repo", "sha", F.col("path").alias("cand")), ["repo", "sha", "cand"], "left_semi")
     j = asked.join(found, _ASKED, "left").join(shut.select(*_ASKED).distinct().withColumn("shut", F.lit(True)), _ASKED, "left")
@@ -215,16 +228,13 @@ def packages(ingested: DataFrame) -> DataFrame:
 
 def entries(pkgs: DataFrame, files: DataFrame) -> DataFrame:
     """Declared targets with the file they stand for: as declared, in a source folder for a build folder, or by name in a source folder."""
-    rel = P.joined_path(F.lit(""), F.col("target"))
-    segments = F.split(rel, "/")
-    first, last = F.element_at(segments, 1), F.element_at(segments, -1)
-    tail = F.array_join(F.slice(segments, F.lit(2), F.size(segments)), "/")
-    tries = [candidates(P.joined_path(F.col("dir"), rel))]
-    for s in C.SOURCE_DIRS:
-        swapped = candidates(P.joined_path(F.col("dir"), F.concat(F.lit(f"{s}/"), tail)))
-        tries.append(F.when(first.isin(C.BUILD_DIRS), swapped).otherwise(F.array().cast("array<string>")))
-    tries += [candidates(P.joined_path(F.col("dir"), F.concat(F.lit(f"{s}/"), last))) for s in C.SOURCE_DIRS]
-    cand = pkgs.select("file_id", "place", "repo", "sha", F.posexplode(F.concat(*tries)).alias("order", "cand"))
+    rel = pkgs.select("file_id", "place", "repo", "sha", "dir", F.explode(F.array(P.joined_path(F.lit(""), F.col("target")))).alias("rel"))
+    segments = F.split("rel", "/")
+    tail, last = F.array_join(F.slice(segments, F.lit(2), F.size(segments)), "/"), F.element_at(segments, -1)
+    below = lambda rest: P.joined_path(F.col("dir"), rest)
+    swapped = [F.when(F.element_at(segments, 1).isin(C.BUILD_DIRS), below(F.concat(F.lit(f"{x}/"), tail))) for x in C.SOURCE_DIRS]
+    bases = F.array(below(F.col("rel")), *swapped, *[below(F.concat(F.lit(f"{x}/"), last)) for x in C.SOURCE_DIRS])
+    cand = _tried(rel, ["file_id", "place", "repo", "sha"], bases)
     return pkgs.join(_first_hit(cand, ["file_id", "place"], indexed(files), "entry_file_id"), ["file_id", "place"], "left")
 
 

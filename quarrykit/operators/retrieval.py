@@ -167,7 +167,8 @@ def search(questions: DataFrame, c: Corpus, o: SearchOptions = SearchOptions())
     names = F.first("names", True) if "names" in have else F.first(F.lit(None).cast("array<string>"))
     cand = u.groupBy("question_id", "chunk_id").agg(*agg, names.alias("names")).fillna(0.0, ["bm25", "symbol", "path", "entry"])
     cand = cand.join(c.chunks.select("chunk_id", "file_id"), "chunk_id").join(c.files.select("file_id", "file_class"), "file_id").join(q.select("question_id", "any_class"), "question_id")
-    most = F.max("bm25").over(Window.partitionBy("question_id"))
+    cand = cand.join(lexical.groupBy("question_id").agg(F.max("bm25").alias("most")), "question_id", "left")
+    most = F.col("most")
     weight: Column = F.lit(1.0)
     for k, v in o.class_weights.items():
         weight = F.when(~F.col("any_class") & (F.col("file_class") == k), v).otherwise(weight)

@@ -51,22 +51,11 @@ def file_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def declared_entries(spark: SparkSession, d: str) -> DataFrame:
-    return M.entries(M.packages(table(spark, d, "ingested_files")), paths(spark, d))
+    return index_table(spark, d, "declared")
 
 
 def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
-    src = table(spark, d, "ingested_files")
-    return M.resolved(M.import_rows(src), paths(spark, d), checkpointed(declared_entries(spark, d)), M.compiler_configs(src))
-
-
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    r = resolved_imports(spark, d).where(F.col("target_file_id").isNotNull())
-    return r.select("repo", "file_id", "target_file_id", F.col("line").alias("edge_pos"))
-
-
-def entry_files(spark: SparkSession, d: str) -> DataFrame:
-    e = declared_entries(spark, d).where(F.col("entry_file_id").isNotNull())
-    return e.select("repo", F.col("entry_file_id").alias("file_id"), F.when(F.col("package") == "", F.col("dir")).otherwise(F.col("package")).alias("package")).distinct()
+    return index_table(spark, d, "imports")
 
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
@@ -111,18 +100,22 @@ def document_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """One table of the index of a folder: files, chunks, postings, lengths, frequencies, stats, symbols, edges or entries."""
+    """One table of the index of a folder: files, chunks, postings, lengths, frequencies, stats, symbols, declared, imports, edges or entries."""
     one = lambda n: index_table(spark, d, n)
+    src = table(spark, d, "ingested_files")
+    named = F.when(F.col("package") == "", F.col("dir")).otherwise(F.col("package"))
     make = {
-        "files": lambda: I.files(table(spark, d, "ingested_files")).select("repo", "file_id", "path", "file_class"),
+        "files": lambda: I.files(src).select("repo", "file_id", "path", "file_class"),
         "chunks": lambda: chunks(spark, d),
         "postings": lambda: I.term_frequencies(one("chunks"), ["repo", "chunk_id"]),
         "lengths": lambda: I.lengths(one("postings"), ["repo", "chunk_id"]),
         "frequencies": lambda: I.document_frequencies(one("postings"), ["repo"]),
         "stats": lambda: I.corpus_stats(one("chunks"), one("lengths"), ["repo"], "chunk_id"),
         "symbols": lambda: symbols(spark, d).select("repo", "symbol_id", "file_id", "name", "qualified_name", "start_line"),
-        "edges": lambda: edges(spark, d),
-        "entries": lambda: entry_files(spark, d),
+        "declared": lambda: M.entries(M.packages(src), paths(spark, d)),
+        "imports": lambda: M.resolved(M.import_rows(src), paths(spark, d), one("declared"), M.compiler_configs(src)),
+        "edges": lambda: one("imports").where("target_file_id IS NOT NULL").select("repo", "file_id", "target_file_id", F.col("line").alias("edge_pos")),
+        "entries": lambda: one("declared").where("entry_file_id IS NOT NULL").select("repo", F.col("entry_file_id").alias("file_id"), named.alias("package")).distinct(),
     }
     return _once(spark, d, name, make[name])
 

@@ -135,7 +135,7 @@ CHUNKS = f"""(SELECT c.chunk_id, c.file_id, c.repo, f.path, f.sha, c.start_line,
   FROM (SELECT DISTINCT ON (chunk_id) * FROM extracted_chunks) c JOIN (SELECT *, {line_count('content')} AS n FROM {FILES}) f USING (file_id)
   WHERE c.start_line <= least(coalesce(c.end_line, n), n))"""
 QUESTIONS = (
-    "(SELECT DISTINCT ON (question_id) question_id, trim(regexp_replace(trim(lower(repo)), '\\.git\\s*$', '')) AS repo, category, question, expected, added_at FROM questions)"
+    "(SELECT DISTINCT ON (question_id) question_id, trim(regexp_replace(trim(lower(repo)), '\\.git\\s*$', '')) AS repo, category, question, expected, absent_terms, added_at FROM questions)"
 )
 
 

@@ -107,14 +107,17 @@ def _recent(s, d):
 
 
 def _missing(s, d):
-    """Expected places whose path is not in the repository, or whose lines end past the file."""
+    """Expected places whose path is not in the repository, or whose lines end past the file, and terms said to be absent that its index holds."""
     e = V.expected_rows(C.questions(s, d)).join(C.questions(s, d).select("question_id", "repo"), "question_id")
     from quarrykit.functions import text as T
 
     f = C.sources(s, d).groupBy("repo", F.col("path").alias("expected_path")).agg(F.max(T.line_count(F.col("content"))).alias("lines"))
     j = e.join(f, ["repo", "expected_path"], "left")
     bad = F.when(F.col("lines").isNull(), "no-such-file").when(F.col("last_line") > F.col("lines"), "past-the-end")
-    return j.select("question_id", "item", bad.alias("problem")).where("problem IS NOT NULL")
+    places = j.select("question_id", "item", bad.alias("problem")).where("problem IS NOT NULL")
+    a = C.questions(s, d).select("question_id", "repo", F.posexplode("absent_terms").alias("item", "word")).select("question_id", "repo", "item", T.stem(F.lower("word")).alias("term"))
+    held = a.join(C.index_table(s, d, "frequencies").select("repo", "term"), ["repo", "term"], "left_semi")
+    return places.unionByName(held.select("question_id", "item", F.lit("absent-term-present").alias("problem")))
 
 
 QUERIES = {
@@ -164,5 +167,7 @@ SELECT build_id, repo, delivered_bytes FROM w WHERE t <= 250000 OR r = 1""",
     "questions_recent": f"""WITH q AS (SELECT * FROM {D.QUESTIONS}), o AS (SELECT *, row_number() OVER (PARTITION BY repo, question ORDER BY added_at DESC NULLS LAST, question_id DESC) AS r FROM q)
 SELECT repo, question_id, rank FROM (SELECT repo, question_id, row_number() OVER (PARTITION BY repo ORDER BY added_at DESC NULLS LAST, question_id DESC) AS rank FROM o WHERE r = 1) WHERE rank <= 6""",
     "dataset_integrity": f"""WITH e AS (SELECT question_id, repo, generate_subscripts(expected, 1) - 1 AS item, unnest(expected) AS x FROM {D.QUESTIONS}), f AS (SELECT repo, path, max({D.line_count('content')}) AS lines FROM {D.FILES} GROUP BY repo, path)
-SELECT question_id, item, CASE WHEN lines IS NULL THEN 'no-such-file' ELSE 'past-the-end' END AS problem FROM e LEFT JOIN f ON e.repo = f.repo AND x.path = f.path WHERE lines IS NULL OR x.lines[2] > lines""",
+SELECT question_id, item, CASE WHEN lines IS NULL THEN 'no-such-file' ELSE 'past-the-end' END AS problem FROM e LEFT JOIN f ON e.repo = f.repo AND x.path = f.path WHERE lines IS NULL OR x.lines[2] > lines
+UNION ALL SELECT question_id, item, 'absent-term-present' FROM (SELECT question_id, repo, item, {D.stem('w')} AS term FROM (SELECT question_id, repo, generate_subscripts(absent_terms, 1) - 1 AS item, lower(unnest(absent_terms)) AS w FROM {D.QUESTIONS})) a
+  WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT repo, term FROM {D.postings(D.CHUNKS, 'repo, chunk_id')}) v WHERE v.repo = a.repo AND v.term = a.term)""",
 }

@@ -130,7 +130,7 @@ def _sql() -> dict[str, str]:
     from quarrykit.plans.graph import _ENTRIES, _RESOLVED, importers_sql
 
     files = cte("ingested_files", FILES, FILE_COLUMNS)
-    asked = f"questions AS (SELECT *, NULL AS category, NULL AS expected, NULL AS added_at FROM (WITH {cte('q_', QUESTIONS, QUESTION_COLUMNS)} SELECT * FROM q_))"
+    asked = f"questions AS (SELECT *, NULL AS category, NULL AS expected, NULL AS absent_terms, NULL AS added_at FROM (WITH {cte('q_', QUESTIONS, QUESTION_COLUMNS)} SELECT * FROM q_))"
     found = importers_sql().rsplit("\nSELECT question_id", 1)
     tables = ", ".join(cte(n, r, c) for n, r, c in (("cl", CALLED, CALLED_COLUMNS), ("mt", MEANT, MEANT_COLUMNS), ("bs", BEST, BEST_COLUMNS), ("tm", TERMS, TERM_COLUMNS), ("sw", ON_SHOW, ON_SHOW_COLUMNS)))
     return {
@@ -144,7 +144,7 @@ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, chun
 SELECT * FROM (SELECT question_id, chunk_id, symbol_id, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, calls DESC, pos, symbol_id) AS place FROM r) WHERE place <= 2""",
         "imports_planted": f"WITH {files}, {_RESOLVED} SELECT file_id, line, spec AS specifier, kind, target AS target_file_id, resolution FROM res",
         "entries_planted": f"WITH {files}, {_ENTRIES} SELECT file_id, dir, package, entry_kind, target, entry_file_id FROM en",
-        "importers_planted": f"WITH {files}, questions AS (SELECT *, NULL AS category, NULL AS expected, NULL AS added_at FROM (WITH {cte('q_', QUESTIONS, QUESTION_COLUMNS)} SELECT * FROM q_)), {importers_sql()}",
+        "importers_planted": f"WITH {files}, questions AS (SELECT *, NULL AS category, NULL AS expected, NULL AS absent_terms, NULL AS added_at FROM (WITH {cte('q_', QUESTIONS, QUESTION_COLUMNS)} SELECT * FROM q_)), {importers_sql()}",
     }
 
 
