@@ -7,6 +7,7 @@ from quarrykit.llm import handwritten as H
 from quarrykit.llm import leakage as L
 from quarrykit.llm import nearsplit as N
 from quarrykit.llm import packing as K
+from quarrykit.llm import subjects as U
 from quarrykit.llm.alignment import coverage
 from quarrykit.llm.secretscan import redact, scan
 from quarrykit.llm.wording import canonical, same
@@ -125,3 +126,30 @@ def test_long_texts_are_cut_in_linear_time():
     cut = K.cut_points(text, Words(), 100)
     assert [a for a, _, _ in cut][1:] == [b for _, b, _ in cut][:-1] and cut[0][0] == 0 and cut[-1][1] == len(text) and max(n for *_, n in cut) <= 100
     assert Words.calls <= 4 * len(text) and time.time() - began < 20 and len(cut) == 1_200
+
+
+# ---- 8
+def test_verified_links_and_clamped_seeds(spark):
+    rng = random.Random(5)
+    vocab = {s: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(10)] for s in ("law", "music")}
+    sent = lambda s: "We {} the {} before any {} of it.".format(*rng.sample(vocab[s], 3))
+    docs = [(i, " ".join(sent(("law", "music")[i % 2]) for _ in range(8))) for i in range(60)] + [(90, "Nothing else is alike here, quixotic zephyrs wander."), (91, None)]
+    labels = [(i, ("law", "music")[i % 2]) for i in range(16)] + [(17, "law"), (90, "music")]  # 17 is about music: a wrong label
+    d = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    lab = spark.createDataFrame(labels, "doc_id BIGINT, subject STRING")
+    ev = spark.createDataFrame([], "item_id BIGINT, text STRING")
+    names = ["law", "music"]
+    nodes, total = U.graph_nodes(d, ev, lab, names)
+    links = [(r.node // 2, r.other // 2, r.weight) for r in U.links(nodes).collect()]
+    assert total == 61 and links and all(w >= U.COSINE**2 for *_, w in links) and sum(a % 2 == b % 2 for a, b, _ in links) >= 0.97 * len(links)
+    state = {}
+    for r in U.propagated(nodes, lab, names).collect():
+        state.setdefault(r.node // 2, {})[r.subject] = r.mass
+    assert all(state[i][("law", "music")[i % 2]] >= 1 for i in range(16))  # a seed keeps its label
+    assert state[17].get("music", 0) > 0.5 and list(state[90]) == ["music"]
+    assert all(max(state[i], key=state[i].get) == ("law", "music")[i % 2] for i in range(18, 60))
+    got = {}
+    sub = spark.createDataFrame([("law", ""), ("music", "")], "subject STRING, description STRING")
+    for r in U.document_subjects(d, lab, sub, ev).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert all(got[i] == {("law", "music")[i % 2]} for i in range(60)) and 91 not in got  # a wrong label does not come out
