@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,9 +82,8 @@ class PerRow:
     def complete(self, prompts: DataFrame, evidence: DataFrame) -> DataFrame:
         call = self.call
 
-        @F.pandas_udf("string")
-        def ask(s):  # type: ignore[no-untyped-def]
-            return s.map(lambda p: call(p) if p is not None else None)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"question_id": b.question_id, "raw": [call(p) if p is not None else None for p in b.prompt]})
 
-        ask.__annotations__ = {}
-        return prompts.select("question_id", ask(F.col("prompt")).alias("raw"))
+        return prompts.select("question_id", "prompt").mapInPandas(run, "question_id BIGINT, raw STRING")
