@@ -52,6 +52,16 @@ def client_key(forwarded: Column) -> Column:
     return F.when(last.rlike(r"^[0-9A-Fa-f:.]{3,45}\z"), last)
 
 
+def followed_link(url: Column) -> Column:
+    """A link if it leads to the one site that links may lead to, else null."""
+    return F.when(url.startswith("https://github.com/"), url)
+
+
+def is_json(content_type: Column) -> Column:
+    """Whether a content type is JSON, plain or of a vendor; an unknown one is not."""
+    return F.coalesce(content_type.rlike(r"(?i)^application/(?:[A-Za-z0-9_.+-]+\+)?json\s*(?:;|\z)"), F.lit(False))
+
+
 def short_quote(quote: Column, least: int = 20) -> Column:
     return F.length(F.regexp_replace(quote, r"\s+", "")) < least
 

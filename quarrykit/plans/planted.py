@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrykit.functions import paths as P
+from quarrykit.functions import requests as RQ
 from quarrykit.operators import evidence as E
 from quarrykit.operators import imports as M
 from quarrykit.operators import index as I
@@ -123,7 +125,28 @@ def _definitions(s, d):
     )
 
 
-QUERIES = {"importer_blocks_planted": _importer_blocks, "definition_blocks_planted": _definitions, "imports_planted": _imports, "entries_planted": _entries, "importers_planted": _importers}
+# What users type and what it means; what clients send and what is kept of it.  The last columns are the expected results.
+INPUTS = [
+    ("acme/app", "acme/app"), (" https://github.com/acme/app ", "acme/app"), ("git@github.com:acme/app.git", "acme/app"), ("ssh://git@github.com/acme/app.git", "acme/app"),
+    ("https://github.com/acme/app/blob/main/src/a.ts#L3", "acme/app"), ("github.com/acme/app?tab=readme", "acme/app"), ("git+https://www.github.com/acme/app.js", "acme/app.js"),
+    ("acme", None), ("", None), (None, None), ("https://gitlab.com/acme/app", None), ("-acme/app", None),
+]
+REQUESTS = [
+    ("https://github.com/acme/app", "application/json", "10.0.0.1, 192.0.2.7", "https://github.com/acme/app", True, "192.0.2.7"), ("http://github.com/acme", "application/vnd.api+json; charset=utf-8", "2001:db8::1", None, True, "2001:db8::1"),
+    ("https://github.com.evil.example/", "text/plain", "unknown", None, False, None), (None, None, "", None, False, None), ("javascript:alert(1)", "application/jsonp", "a, <b>", None, False, None),
+]
+
+
+def _inputs(s, d):
+    return _frame(s, [(i, x) for i, (x, _) in enumerate(INPUTS)], "n INT, typed STRING").select("n", P.repo_of_input(F.col("typed")).alias("repo"))
+
+
+def _guards(s, d):
+    r = _frame(s, [(i, *x[:3]) for i, x in enumerate(REQUESTS)], "n INT, url STRING, content_type STRING, forwarded STRING")
+    return r.select("n", RQ.followed_link(F.col("url")).alias("link"), RQ.is_json(F.col("content_type")).alias("json"), RQ.client_key(F.col("forwarded")).alias("client"))
+
+
+QUERIES = {"inputs_planted": _inputs, "guards_planted": _guards, "importer_blocks_planted": _importer_blocks, "definition_blocks_planted": _definitions, "imports_planted": _imports, "entries_planted": _entries, "importers_planted": _importers}
 
 
 def _sql() -> dict[str, str]:
@@ -133,7 +156,10 @@ def _sql() -> dict[str, str]:
     asked = f"questions AS (SELECT *, NULL AS category, NULL AS expected, NULL AS absent_terms, NULL AS added_at FROM (WITH {cte('q_', QUESTIONS, QUESTION_COLUMNS)} SELECT * FROM q_))"
     found = importers_sql().rsplit("\nSELECT question_id", 1)
     tables = ", ".join(cte(n, r, c) for n, r, c in (("cl", CALLED, CALLED_COLUMNS), ("mt", MEANT, MEANT_COLUMNS), ("bs", BEST, BEST_COLUMNS), ("tm", TERMS, TERM_COLUMNS), ("sw", ON_SHOW, ON_SHOW_COLUMNS)))
+    text = lambda v: str(v).upper() if isinstance(v, bool) else _literal(v)
     return {
+        "inputs_planted": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_literal(x[1])})" for i, x in enumerate(INPUTS)) + ") v(n, repo)",
+        "guards_planted": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(text(v) for v in x[3:])})" for i, x in enumerate(REQUESTS)) + ") v(n, link, json, client)",
         "importer_blocks_planted": f"""WITH {files}, {asked}, {cte('ck', CHUNKS, CHUNK_COLUMNS)}, {cte('sw', SHOWN, SHOWN_COLUMNS)}, {found[0]}, im AS (SELECT question_id{found[1].replace("AS rank FROM", "AS rank, file_class FROM")}),
 i1 AS (SELECT *, max(file_class = 'source') OVER (PARTITION BY question_id) AS any_ FROM im), i2 AS (SELECT * FROM i1 WHERE (NOT any_ OR file_class = 'source') AND NOT EXISTS (SELECT 1 FROM sw WHERE sw.question_id = i1.question_id AND sw.file_id = i1.file_id AND i1.line BETWEEN sw.start_line AND sw.end_line)),
 i3 AS (SELECT question_id, chunk_id, min(rank) AS rank FROM i2 JOIN ck ON ck.file_id = i2.file_id AND line BETWEEN ck.start_line AND ck.end_line GROUP BY ALL) SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY rank, chunk_id) AS place FROM i3) WHERE place <= 2""",
