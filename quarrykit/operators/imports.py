@@ -106,7 +106,7 @@ def _tried(rows: DataFrame, keys: list[Column | str], bases: Column, declaration
 def _first_hit(tries: DataFrame, keys: list[str], files: DataFrame, name: str) -> DataFrame:
     """tries: keys, repo, sha, order, cand -> keys and the file of the first candidate in order that exists."""
     target = files.where(~F.col("excluded")).select("repo", "sha", F.col("path").alias("cand"), F.col("file_id").alias("hit"))
-    return tries.join(target, ["repo", "sha", "cand"]).groupBy(*keys).agg(F.min_by("hit", "order").alias(name))
+    return tries.join(target, ["repo", "sha", "cand"]).groupBy(*keys).agg(F.min_by("hit", F.struct("order", "hit")).alias(name))
 
 
 _ASKED = ["repo", "sha", "folder", "specifier"]
@@ -147,7 +147,8 @@ def resolved(imports: DataFrame, files: DataFrame, packs: DataFrame | None = Non
     configs: rows of ``compiler_configs``.  What a specifier means depends on its folder and commit alone, so
     each (commit, folder, specifier) is looked up once.  Resolution is relative:resolved, -:unresolved-asset,
     -:unresolved-excluded-file, -:unresolved-missing, bare:node-builtin, alias-or-baseurl:resolved,
-    workspace-package:resolved, -:unresolved, alias:unresolved or bare:external-package.
+    workspace-package:resolved, -:unresolved, alias:unresolved or bare:external-package.  An import of a file
+    without repository or commit has no row; of two files with one path the smaller id counts.
     """
     spec, relative = F.col("specifier"), F.col("specifier").startswith(".")
     files = indexed(files)
