@@ -62,7 +62,7 @@ def _asked(s, d):
 
 
 def _calls(s, d):
-    return E.calls(C.index_table(s, d, "chunks"), ["chunk_id"]).groupBy("chunk_id", "name").agg(F.count("*").alias("calls"))
+    return E.calls(C.chunks(s, d), ["chunk_id"]).groupBy("chunk_id", "name").agg(F.count("*").alias("calls"))
 
 
 def _definitions(s, d):
@@ -70,7 +70,7 @@ def _definitions(s, d):
 
     src = I.files(table(s, d, "ingested_files")).where("file_class = 'source'").select("file_id")
     sym = C.symbols(s, d).where(F.col("kind").isin("function", "method", "variable") & (F.col("end_line") > F.col("start_line"))).join(src, "file_id", "left_semi")
-    called = E.calls(C.index_table(s, d, "chunks"), ["repo", "file_id"]).select("repo", "file_id", "name").distinct()
+    called = E.calls(C.chunks(s, d), ["repo", "file_id"]).select("repo", "file_id", "name").distinct()
     return E.called_definitions(called, sym, C.index_table(s, d, "edges")).select("from_file", "name", "symbol_id")
 
 
@@ -97,7 +97,7 @@ def _verified(s, d):
 
 
 def _admitted(s, d):
-    top = lexical_top(s, d).join(C.index_table(s, d, "chunks").select("chunk_id", F.length("text").alias("chars")), "chunk_id").select("question_id", "rank", "chunk_id", "chars")
+    top = lexical_top(s, d).join(C.index_table(s, d, "chunks").select("chunk_id", "chars"), "chunk_id").select("question_id", "rank", "chunk_id", "chars")
     return E.admit(top, "question_id", ["rank"], "chars", 8, 6_000).select("question_id", "evidence_id", "chunk_id", "chars")
 
 
@@ -146,7 +146,7 @@ def _replies(s, d):
 
 def _claims(s, d):
     """First quotable line of every chunk: the deterministic stand-in for a model."""
-    return C.index_table(s, d, "chunks").select("chunk_id", X.extractive_claim(F.col("text")).alias("claim"))
+    return C.chunks(s, d).select("chunk_id", X.extractive_claim(F.col("text")).alias("claim"))
 
 
 def _suspects(s, d):

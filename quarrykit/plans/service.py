@@ -79,7 +79,7 @@ def _compared(s, d):
     """Evidence with three chunks of a file at most against one."""
     from quarrykit.operators import retrieval as R
 
-    chars = C.index_table(s, d, "chunks").select("chunk_id", F.length("text").alias("chars"))
+    chars = C.index_table(s, d, "chunks").select("chunk_id", "chars")
     top = checkpointed(lexical_top(s, d))
     one = R.capped_top_k(top.drop("rank"), "question_id", "file_id", "chunk_id", 1, 10)
     pick = lambda t: t.select("question_id", "rank", "chunk_id").join(chars, "chunk_id")

@@ -57,7 +57,7 @@ def _merged(s, d):
 
 
 def _hashes(s, d):
-    return C.index_table(s, d, "chunks").select("chunk_id", "end_line", "chunk_hash", F.length("text").alias("chars"))
+    return C.index_table(s, d, "chunks").select("chunk_id", "end_line", "chunk_hash", "chars")
 
 
 def _vocabulary(s, d):
@@ -80,7 +80,7 @@ def _quotes(s, d):
     """Whether the first line of every symbol, quoted with its number, stands in the chunk that holds it."""
     from quarrykit.operators.retrieval import symbol_chunks
 
-    c = C.index_table(s, d, "chunks")
+    c = C.chunks(s, d)
     placed = symbol_chunks(C.symbols(s, d), c).select("symbol_id", "chunk_id")
     sym = C.symbols(s, d).select("symbol_id", "file_id", "start_line")
     src = C.sources(s, d).select("file_id", "content")
