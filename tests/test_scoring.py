@@ -7,7 +7,9 @@ import random
 from pyspark.sql import functions as F
 
 from quarrykit.operators import index as I
+from quarrykit.operators import retrieval as R
 from quarrykit.operators import scoring as X
+from test_operators import corpus, files  # noqa: F401
 
 
 def blocks(spark):
@@ -64,3 +66,12 @@ def test_no_row_for_a_pair_of_question_and_chunk(spark):
     p = I.packed(b)
     got = X.lexical(p, q, I.document_frequencies(I.postings(p), ["repo"]), I.packed_stats(p), 3, 10, 9)
     assert sorted(r.chunk_id for r in got.collect()) == sorted(list(range(10)) * 3)
+
+
+def test_search_is_the_same_over_one_block_and_many(spark, files, rows, monkeypatch):
+    q = spark.createDataFrame(
+        [("o/r", 1, "Where is `parseConfig` defined?"), ("o/r", 2, "What is the entry point of the token store?"), ("o/r", 3, "load the token config"), ("none", 4, "token")], "repo STRING, question_id BIGINT, question STRING"
+    )
+    whole = rows(R.search(q, corpus(spark, files)))
+    monkeypatch.setattr(X, "BLOCK", 1)
+    assert rows(R.search(q, corpus(spark, files))) == whole and len(whole) > 3
