@@ -10,14 +10,14 @@ from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
 from quarrykit.plans.fused import FEATURES
 from quarrykit.plans.retrieval import LEXICAL, features, lexical_top
-from quarrykit.session import checkpointed, table
+from quarrykit.session import checkpointed, stored, table
 
 PAIRS = [(low, high) for low in (0.2, 0.3, 0.4) for high in (0.5, 0.65)]
 LABELS = ["SUPPORTED", "PARTIALLY_SUPPORTED", "UNSUPPORTED", "CONTRADICTED"]
 
 
 def _scores(s, d):
-    return checkpointed(V.question_scores(C.questions(s, d), checkpointed(lexical_top(s, d))))
+    return checkpointed(V.question_scores(C.questions(s, d), stored(lexical_top(s, d))))
 
 
 def _aggregate(s, d):

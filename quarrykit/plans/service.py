@@ -12,7 +12,7 @@ from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
 from quarrykit.plans.requests import DAY, events
 from quarrykit.plans.retrieval import LEXICAL, lexical_top
-from quarrykit.session import checkpointed, table
+from quarrykit.session import stored, table
 
 CACHE = S.SourceCache(ttl_ms=2 * DAY, negative_ttl_ms=DAY // 2, most_bytes=60_000, latency_ms=6 * 3_600_000)
 CONTROL = {"include_config": False, "symbols": True, "entry_boost": False, "entry_weight": 0.8, "class_weight": 1.0}
@@ -80,7 +80,7 @@ def _compared(s, d):
     from quarrykit.operators import retrieval as R
 
     chars = C.index_table(s, d, "chunks").select("chunk_id", "chars")
-    top = checkpointed(lexical_top(s, d))
+    top = stored(lexical_top(s, d))
     one = R.capped_top_k(top.drop("rank"), "question_id", "file_id", "chunk_id", 1, 10)
     pick = lambda t: t.select("question_id", "rank", "chunk_id").join(chars, "chunk_id")
     return S.compared_evidence(pick(top.where("rank <= 8")), pick(one.where("rank <= 8")))

@@ -75,3 +75,13 @@ def test_search_is_the_same_over_one_block_and_many(spark, files, rows, monkeypa
     whole = rows(R.search(q, corpus(spark, files)))
     monkeypatch.setattr(X, "BLOCK", 1)
     assert rows(R.search(q, corpus(spark, files))) == whole and len(whole) > 3
+
+
+def test_texts_are_cut_for_wanted_chunks_alone(spark, rows):
+    from quarrykit.plans import common as C
+
+    d = "/root/testdata/sf0.001"
+    every = C.chunks(spark, d)
+    wanted = every.where("pmod(chunk_id, 3) = 0").select("chunk_id", "file_id")
+    got = rows(C.texts(spark, d, wanted.unionByName(wanted)), "chunk_id", "text")
+    assert got == rows(every.where("pmod(chunk_id, 3) = 0"), "chunk_id", "text") and got
