@@ -153,3 +153,30 @@ def test_verified_links_and_clamped_seeds(spark):
     for r in U.document_subjects(d, lab, sub, ev).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     assert all(got[i] == {("law", "music")[i % 2]} for i in range(60)) and 91 not in got  # a wrong label does not come out
+
+
+def test_all_pairs_of_like_documents_are_linked(spark, monkeypatch):
+    """Every pair that meets the threshold, whatever its sentences begin with; what passes over the links is that of the rows."""
+    rng = random.Random(11)
+    contents = [sorted(rng.sample(range(40), rng.randint(1, 9))) for _ in range(60)] + [[]]
+    contents[50:56] = [contents[3]] * 6  # copies
+    nodes = spark.createDataFrame([(2 * i, c) for i, c in enumerate(contents)], "node BIGINT, content ARRAY<BIGINT>")
+    cosine = lambda a, b: len(set(a) & set(b)) / (len(a) * len(b)) ** 0.5 if a and b else 0.0
+    want = {(2 * i, 2 * j): cosine(a, b) ** 2 for i, a in enumerate(contents) for j, b in enumerate(contents) if i != j and cosine(a, b) >= U.COSINE}
+    state = {(2 * i, s): rng.random() for i in range(0, 61, 2) for s in rng.sample(["law", "music", "sport"], 2)}
+    given = spark.createDataFrame([(n, s, m) for (n, s), m in state.items()], "node BIGINT, subject STRING, mass DOUBLE")
+    got = {}
+    for (i, j), w in want.items():
+        for s in ("law", "music", "sport"):
+            got.setdefault(i, {}).setdefault(s, 0.0)
+            got[i][s] += w * state.get((j, s), 0.0)
+    shares = {(i, s): m / sum(by.values()) for i, by in got.items() for s, m in by.items() if m >= U.KEPT * sum(by.values()) > 0}
+    for block in (U.BLOCK, 7):
+        monkeypatch.setattr(U, "BLOCK", block)
+        rows = U.links(nodes).collect()
+        assert len(rows) == len(want) and all(abs(want[r.node, r.other] - r.weight) < 1e-12 for r in rows)
+        near = U.alike(nodes)
+        for wanted in (None, given):
+            mine = {(r.node, r.subject): r.mass for r in U._passed(near, given, ["law", "music", "sport"], wanted).collect()}
+            some = shares if wanted is None else {k: m for k, m in shares.items() if any(k[0] == n for n, _ in state)}
+            assert mine.keys() == some.keys() and all(abs(mine[k] - m) < 1e-9 for k, m in some.items())
