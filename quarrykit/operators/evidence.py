@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions import paths as P
 from quarrykit.functions import text as T
+from quarrykit.session import buckets_for, stored
 
+MOST_SPOTS, MOST_SCANS = 600_000, 4  # ranges (of some 110 bytes) that one scan of the sources is given, and scans before contents are moved instead
 
-def verified(candidates: DataFrame, sources: DataFrame) -> DataFrame:
-    """Candidates with text and reason: null if verified, else source-unavailable, range-outside-file or source-mismatch.
 
-    candidates: file_id, start_line, end_line, chunk_hash and any others; sources: file_id, content.
-    """
-    src = sources.dropDuplicates(["file_id"]).select("file_id", "content", F.lit(True).alias("there"))
-    j = candidates.join(src, "file_id", "left")
+def _read(j: DataFrame) -> DataFrame:
+    """The text of a range of the content beside it, the reason why it does not stand and whether it is suspicious."""
     n = F.size(T.lines(F.col("content")))
     text = T.line_slice(F.col("content"), F.col("start_line"), F.col("end_line"))
     bad = (F.col("start_line") < 1) | (F.col("end_line") > n) | (F.col("start_line") > F.col("end_line")) | F.col("end_line").isNull()
@@ -31,6 +29,38 @@ def verified(candidates: DataFrame, sources: DataFrame) -> DataFrame:
     return j.withColumn("suspect", F.coalesce(P.suspicious(F.col("text")), F.lit(False))).drop("content", "there")
 
 
+def verified(candidates: DataFrame, sources: DataFrame) -> DataFrame:
+    """Candidates with text and reason: null if verified, else source-unavailable, range-outside-file or source-mismatch.
+
+    candidates: file_id, start_line, end_line, chunk_hash and any others; sources: file_id, content.
+    """
+    src = sources.dropDuplicates(["file_id"]).select("file_id", "content", F.lit(True).alias("there"))
+    j = candidates.join(src, "file_id", "left")
+    return _read(j)
+
+
+def verdicts(spots: DataFrame, sources: DataFrame) -> DataFrame:
+    """chunk_id, reason and suspect of every spot as ``verified`` has them, without text; one row for each chunk.
+
+    Spots go to the scan of the sources, ``MOST_SPOTS`` at a time, so no content moves; if that took more than ``MOST_SCANS``
+    scans, the contents are shuffled.
+    """
+    spots = spots.select("chunk_id", "file_id", "start_line", "end_line", "chunk_hash").dropDuplicates(["chunk_id"])
+    scans = buckets_for(spots.count(), MOST_SPOTS)
+    if scans > MOST_SCANS:
+        return verified(spots, sources).select("chunk_id", "reason", "suspect")
+    src = sources.select("file_id", "content", F.lit(True).alias("there"))
+    read = None
+    for k in range(scans):
+        part = spots.where(F.pmod(F.xxhash64("chunk_id"), F.lit(scans)) == k)
+        one = stored(_read(src.join(F.broadcast(part), "file_id")).select("chunk_id", "reason", "suspect").dropDuplicates(["chunk_id"]))
+        read = one if read is None else read.unionByName(one)
+    there = F.col("suspect").isNotNull()
+    return spots.select("chunk_id").join(read, "chunk_id", "left").select(
+        "chunk_id", F.when(there, F.col("reason")).otherwise("source-unavailable").alias("reason"), F.coalesce("suspect", F.lit(False)).alias("suspect")
+    )
+
+
 def admitted(sizes: Column, most: int, budget: int) -> Column:
     """Which of an ordered array of sizes are admitted: at most ``most``, while they fit the budget.
 

@@ -13,7 +13,7 @@ from quarrykit.operators import validation as X
 from quarrykit.plans import common as C
 from quarrykit.plans import dialect as D
 from quarrykit.plans.retrieval import LEXICAL, lexical_top
-from quarrykit.session import table
+from quarrykit.session import stored, table
 
 
 def _imports(s, d):
@@ -93,7 +93,9 @@ def _verified(s, d):
     whole = table(s, d, "extracted_chunks").dropDuplicates(["chunk_id"]).select("chunk_id", F.coalesce("end_line", F.lit(-1)).alias("stored_end"))
     top = lexical_top(s, d).join(C.index_table(s, d, "chunks").select("chunk_id", "chunk_hash"), "chunk_id").join(whole, "chunk_id")
     top = top.withColumn("end_line", F.when(F.col("stored_end") < 0, F.col("end_line") - 1).otherwise(F.col("stored_end")))
-    return E.verified(top, C.sources(s, d)).select("question_id", "rank", "chunk_id", "reason", "suspect")
+    top = stored(top.select("question_id", "rank", "chunk_id", "file_id", "start_line", "end_line", "chunk_hash"))
+    src = table(s, d, "ingested_files").select("file_id", F.coalesce("content", F.lit("")).alias("content"))
+    return top.select("question_id", "rank", "chunk_id").join(E.verdicts(top, src), "chunk_id").select("question_id", "rank", "chunk_id", "reason", "suspect")
 
 
 def _admitted(s, d):

@@ -85,3 +85,22 @@ def test_texts_are_cut_for_wanted_chunks_alone(spark, rows):
     wanted = every.where("pmod(chunk_id, 3) = 0").select("chunk_id", "file_id")
     got = rows(C.texts(spark, d, wanted.unionByName(wanted)), "chunk_id", "text")
     assert got == rows(every.where("pmod(chunk_id, 3) = 0"), "chunk_id", "text") and got
+
+
+def test_no_source_is_moved_to_verify_a_chunk(spark, rows, monkeypatch):
+    from quarrykit.operators import evidence as E
+    from quarrykit.plans import catalogue
+
+    plans, write = [], E.stored
+    monkeypatch.setattr(E, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    catalogue.queries()["evidence_verified"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "hashpartitioning(file_id" not in plans[0] and "/ingested_files.parquet" in plans[0]
+    src = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "")], "file_id BIGINT, content STRING")
+    spots = [(10, 1, 1, 2), (11, 1, 2, 3), (12, 1, 3, 4), (13, 2, 1, 1), (14, 3, 1, 1), (15, 1, 0, 1), (16, 1, 1, None)]
+    given = spark.createDataFrame(spots * 2, "chunk_id BIGINT, file_id BIGINT, start_line INT, end_line INT").withColumn("chunk_hash", F.substring(F.sha1(F.lit("a\nb")), 1, 12))
+    want = rows(E.verified(given, src).select("chunk_id", "reason", "suspect").distinct())
+    assert rows(E.verdicts(given, src)) == want and {r[1] for r in want} == {None, "source-mismatch", "range-outside-file", "source-unavailable"}
+    for most, scans in ((3, 4), (3, 1)):  # several scans; contents moved
+        monkeypatch.setattr(E, "MOST_SPOTS", most)
+        monkeypatch.setattr(E, "MOST_SCANS", scans)
+        assert rows(E.verdicts(given, src)) == want
